@@ -104,8 +104,10 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def batches(rows: dict[str, pa.Array], schema: pa.Schema, limit: int = 20000) -> Iterator[pa.RecordBatch]:
-    """Record batches of at most `limit` rows with the columns of `schema`."""
-    whole = pa.RecordBatch.from_arrays([rows[f.name].cast(f.type) if hasattr(rows[f.name], "cast") else pa.array(rows[f.name], f.type) for f in schema], schema=schema)
-    for i in range(0, whole.num_rows, limit):
-        yield whole.slice(i, limit)
+def slide(v: np.ndarray, width: int, f) -> np.ndarray:
+    """f over each window of `width` values, by doubling; len(v) - width + 1 results."""
+    size = 1
+    while 2 * size <= width:
+        v = f(v[:-size], v[size:])
+        size *= 2
+    return f(v[: len(v) - (width - size)], v[width - size :]) if size < width else v

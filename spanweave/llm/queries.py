@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, quality, secret_scan, simhash
+from . import chunks, decontam, packing, quality, secret_scan, simhash, suffix, telephony
 
-QUERIES = {f.__name__: f for f in (secret_scan.op5_secret_forest, simhash.op7_simhash, decontam.op8_decontaminate, quality.op9_rule_quality, packing.op10_curve_packing)}
+QUERIES = {f.__name__: f for f in (telephony.op1_telephony, suffix.op3_suffix_dedup, secret_scan.op5_secret_forest, chunks.op6_gear_chunks, simhash.op7_simhash, decontam.op8_decontaminate, quality.op9_rule_quality, packing.op10_curve_packing)}
 
 
 def _pipeline(spark, sf_dir):
