@@ -150,7 +150,8 @@ def quality_scores(docs: DataFrame, model: RuleModel, keep: list[str] | None = N
     keep = ["doc_id"] if keep is None else keep
     # a generator of one row: filters on the score aren't pushed below it, where each rule would
     # compute its statistics anew
-    held = docs.select(F.struct(*keep).alias("__row"), F.inline(F.array(F.struct(*[c.alias(f"__s_{k}") for k, c in stats.items()]))))
+    once = docs.select(F.struct(*keep).alias("__row"), *[c.alias(f"__s_{k}") for k, c in stats.items()])
+    held = once.select("__row", F.inline(F.array(F.struct(*[f"__s_{k}" for k in stats]))))
     return held.select(*[F.col("__row")[k].alias(k) for k in keep], model.column({k: F.col(f"__s_{k}") for k in stats}).alias("__score"))
 
 
