@@ -301,13 +301,12 @@ def _content(z: np.ndarray, start: np.ndarray, size: np.ndarray, odd: np.uint64)
 
 # ---- the Spark plan ---------------------------------------------------------------------
 
-RUN_COLUMNS = "m long, h long, doc long, th int, at long, own boolean"
+RUN_COLUMNS = "m long, h long, doc long, th int, at long, own boolean, copy boolean"
 _START = 20  # bits of a packed span that hold its size
 
 
 def _runs(docs: DataFrame, width: int) -> DataFrame:
-    """The runs of all texts.  Of equal runs in a slice only the first and, marked by m null,
-    the places of its later copies are sent on; so a hot group shrinks before it is dealt."""
+    """The runs of all texts; `copy` marks those that an equal run of their slice precedes."""
 
     def run(parts):
         for b in parts:
@@ -325,8 +324,8 @@ def _runs(docs: DataFrame, width: int) -> DataFrame:
                 d, copy = doc[text], same.copy()
                 copy &= (d != d[first]) | (start != start[first])  # else it isn't later
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64), mask=copy), pa.array(content.view(np.int64)), pa.array(d), pa.array(th[text]), pa.array(start << _START | size), pa.array(own)],
-                    ["m", "h", "doc", "th", "at", "own"],
+                    [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(d), pa.array(th[text]), pa.array(start << _START | size), pa.array(own), pa.array(copy)],
+                    ["m", "h", "doc", "th", "at", "own", "copy"],
                 )
 
     return docs.mapInArrow(run, RUN_COLUMNS)
@@ -484,16 +483,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     texts = id_text(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.hash("text").alias("th"), "doc_id", "text")
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(partitions(spark), size // PARTITION + 1)
-    runs = staged(_runs(texts.select("doc", "th", "text"), width), "runs")
-    near = runs.where("m IS NULL").select("doc", "th", "at")
-    dealt = staged(runs.where("m IS NOT NULL").repartition(n, "m").mapInArrow(_first_of_each, "m long, doc long, th int, at long"), "first-runs")
+    runs = _runs(texts.select("doc", "th", "text"), width)
+    dealt = staged(runs.repartition(n, "m").mapInArrow(_first_of_each, "m long, doc long, th int, at long"), "first-runs")
     far = dealt.where("m IS NULL").select("doc", "th", "at")
     wanted = dealt.where("m IS NOT NULL").groupBy("doc", "th").agg(F.collect_list("m").alias("ms"), F.collect_list("at").alias("ats"))
     spread = texts.repartition(n, "doc", "th")
     cut = spread.join(wanted, ["doc", "th"]).select("doc", "th", "text", "ms", "ats").mapInArrow(_cut, "m long, doc long, th int, start long, run binary")
     sorted_runs = cut.repartition(n, "m").sortWithinPartitions("m", "doc", "start")
     shared = sorted_runs.mapInArrow(_shard_spans(width), "doc long, th int, at long")
-    return spread, near.unionAll(far).unionAll(shared)
+    return spread, far.unionAll(shared)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
