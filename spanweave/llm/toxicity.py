@@ -23,7 +23,7 @@ from .common import id_text, slices, table, utf8
 #: Most labelled documents the fit reads, and most words it keeps (documented bounds).
 ROWS, WORDS = 20_000, 2_000
 #: Least log likelihood ratio of a word that is kept, above the log of the number of words.
-EVIDENCE = -2.0
+EVIDENCE = 2.0
 
 #: What a sign may stand for, with the channel's log probability.
 LEET = {
