@@ -1,0 +1,107 @@
+"""Hypothesis tests and multiple-testing control, over frames of any size."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.prefix import prefix, ranges
+from . import special as sp
+
+
+def log_add_exp(a: Column, b: Column) -> Column:
+    """log(exp(a) + exp(b)) without overflow."""
+    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+
+
+def log_abs_diff_exp(a: Column, b: Column) -> Column:
+    return F.greatest(a, b) + F.log1p(-F.exp(-F.abs(a - b)))
+
+
+@F.pandas_udf(T.DoubleType())
+def log_factorial(n: pd.Series) -> pd.Series:
+    return pd.Series(sp.log_factorial(n.to_numpy()))
+
+
+@F.pandas_udf(T.DoubleType())
+def log_choose(n: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series(sp.log_choose(n.to_numpy(), k.to_numpy()))
+
+
+def _tiles(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _one(df: DataFrame, *aggregates: Column) -> DataFrame:
+    """df with the columns of a one-row aggregate."""
+    return df.crossJoin(df.agg(*aggregates))  # the right side is a single row
+
+
+def benjamini_hochberg(df: DataFrame, p: str = "p", tie: str = "id", out: str = "q", logs: bool = False) -> DataFrame:
+    """Add adjusted p-values: over ranks from the largest down the running minimum of p * m / rank,
+    at most 1.  With logs, p and the result are logarithms."""
+    rows = ranges(df, p, _tiles(df), "__tile")
+    rows = prefix(rows, [], "__tile", [F.col(p).asc(), F.col(tie).asc()], F.lit(1).cast("long"), "__rank", "sum", inclusive=True)
+    rows = _one(rows, F.count("*").alias("__m"))
+    value = F.least(F.lit(0.0), F.col(p) + F.log("__m") - F.log("__rank")) if logs else F.least(F.lit(1.0), F.col(p) * F.col("__m") / F.col("__rank"))
+    rows = prefix(rows.withColumn("__v", value), [], "__tile", [F.col(p).desc(), F.col(tie).desc()], F.col("__v"), out, "min", inclusive=True, reverse=True)
+    return rows.drop("__tile", "__rank", "__m", "__v")
+
+
+def _running(df: DataFrame, log_pep: str, tie: str) -> DataFrame:
+    rows = ranges(df, log_pep, _tiles(df), "__tile")
+    order = [F.col(log_pep).asc(), F.col(tie).asc()]
+    rows = prefix(rows, [], "__tile", order, F.exp(log_pep), "__sum", "sum", inclusive=True)
+    rows = prefix(rows, [], "__tile", order, F.lit(1).cast("long"), "__rank", "sum", inclusive=True)
+    return rows.withColumn("__mean", F.col("__sum") / F.col("__rank"))
+
+
+def fdr_control(df: DataFrame, log_pep: str = "logpep", alpha: float = 0.05, tie: str = "id") -> DataFrame:
+    """Add `rejected`: the smallest error probabilities while their running mean is at most alpha;
+    the very last hypothesis is never rejected."""
+    rows = _one(_running(df, log_pep, tie), F.count("*").alias("__m"))
+    return rows.withColumn("rejected", (F.col("__mean") <= alpha) & (F.col("__rank") < F.col("__m"))).drop("__tile", "__sum", "__rank", "__mean", "__m")
+
+
+def pep_qvalues(df: DataFrame, log_pep: str = "logpep", tie: str = "id", out: str = "q", logs: bool = False) -> DataFrame:
+    """Add q-values: running means of sorted error probabilities, then the running minimum from
+    the largest down."""
+    rows = _running(df, log_pep, tie)
+    rows = prefix(rows, [], "__tile", [F.col(log_pep).desc(), F.col(tie).desc()], F.col("__mean"), out, "min", inclusive=True, reverse=True)
+    rows = rows.drop("__tile", "__sum", "__rank", "__mean")
+    return rows.withColumn(out, F.log(out)) if logs else rows
+
+
+def null_probability(log_memberships: list[Column]) -> Column:
+    """The log of the sum of null states' memberships."""
+    out = log_memberships[0]
+    for c in log_memberships[1:]:
+        out = log_add_exp(out, c)
+    return out
+
+
+def fisher(alternative: str = "less"):
+    """The p-value of 2 x 2 tables (a, b, c, d): "less", "two_sided" or "greater"."""
+    if alternative not in ("less", "two_sided", "greater"):
+        raise ValueError(alternative)
+
+    @F.pandas_udf(T.DoubleType())
+    def p_value(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        t = np.stack([x.to_numpy(np.int64) for x in (a, b, c, d)])
+        table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, t.sum(axis=0).max(initial=0) + 1)))])
+        choose = lambda n, k: table[n] - table[k] - table[n - k]
+
+        def one(a, b, c, d):
+            total, k, n = a + b + c + d, a + b, a + c
+            x = np.arange(max(0, n - (total - k)), min(n, k) + 1)
+            p = np.exp(choose(k, x) + choose(total - k, n - x) - choose(total, n))
+            seen = p[a - x[0]]
+            chosen = {"less": x <= a, "greater": x >= a, "two_sided": p <= seen * (1 + 1e-7)}[alternative]
+            return min(1.0, float(p[chosen].sum()))
+
+        return pd.Series([one(*col) for col in t.T], dtype=float)
+
+    return p_value
