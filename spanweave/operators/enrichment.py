@@ -89,7 +89,8 @@ def permutation_test(loci: DataFrame, sets: DataFrame, background: DataFrame, ge
     )
     above, below = (F.col("above") + 1) / (F.col("simulations") + 1), (F.col("below") + 1) / (F.col("simulations") + 1)
     p = {"two_sided": 2 * F.least(above, below), "greater": above, "less": below}[alternative]
-    return benjamini_hochberg(stats.withColumn("p", p), "p", set_col, "q").orderBy("p", set_col)
+    one_each = stats.withColumn("p", p).persist()  # a row for each set; ranking reads it several times
+    return benjamini_hochberg(one_each, "p", set_col, "q").orderBy("p", set_col)
 
 
 def sample_locations(spark: SparkSession, genome: DataFrame, n: int, length: int, seed: int = 1) -> DataFrame:

@@ -16,7 +16,7 @@ from .prefix import prefix
 
 KEY = ("chrom", "strand")
 #: Powers of two of the bin sizes; a range is dealt at the least size that it spans few of.
-LEVELS = (12, 17, 23)
+LEVELS = (10, 14, 18, 23)
 SPAN = 4
 #: Positions in a tile of the prefix scans.
 TILE = 1 << 16
@@ -56,29 +56,35 @@ def flanked(df: DataFrame, flank: int) -> DataFrame:
 
 
 def _dealt(df: DataFrame, mark: str) -> DataFrame:
+    """One row for each bin of each range, at its own level and all coarser ones."""
+    start, stop = F.col(f"{mark}start"), F.col(f"{mark}stop")
     own = F.lit(LEVELS[-1])
     for level in reversed(LEVELS[:-1]):
-        own = F.when(F.shiftright(F.col(f"{mark}stop") - F.col(f"{mark}start"), level) < SPAN, level).otherwise(own)
-    last = F.greatest(F.col(f"{mark}start"), F.col(f"{mark}stop") - 1)
+        own = F.when(F.shiftright(stop - start, level) < SPAN, level).otherwise(own)
+    last = F.greatest(start, stop - 1)
+
     def at(level: int) -> Column:
-        bins = F.sequence(F.shiftright(f"{mark}start", level), F.shiftright(last, level))
-        return F.when(F.col(f"{mark}own") <= level, F.transform(bins, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"))))
+        bins = F.sequence(F.shiftright(start, level), F.shiftright(last, level))
+        return F.when(own <= level, F.transform(bins, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"), (own == level).alias("own"))))
 
     whole = F.flatten(F.array_compact(F.array(*map(at, LEVELS))))
-    return df.withColumn(f"{mark}own", own).select("*", F.explode(whole).alias("__at")).select("*", "__at.level", "__at.bin").drop("__at")
+    return df.select("*", F.inline(whole))
 
 
 def range_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY, how: str = "overlap") -> DataFrame:
     """Pairs of ranges that meet ("overlap") or where b holds a ("within").
 
     Columns of a keep their names, those of b get the prefix b_; both have start and stop.  A
-    pair is made in one bin only: at the larger of the two ranges' bin sizes, where the later
-    start lies.  So there is no distinct, and a long range isn't dealt to many small bins.
+    pair is made once: at the larger of the two ranges' bin sizes, in the bin where the later
+    start lies.  Two ranges that are both dealt to a coarser size than their own never meet
+    there: a's own bins meet all bins of b, and a's coarser ones meet b's own ones only.
     """
     left = _dealt(a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in keys]), "a_")
     right = _dealt(b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys]), "b_")
-    joined = left.join(right, [*keys, "level", "bin"])
-    met = ((F.col("a_own") == F.col("level")) | (F.col("b_own") == F.col("level"))) & (F.expr("shiftright(greatest(a_start, b_start), level)") == F.col("bin"))
+    left = left.withColumn("coarser", ~F.col("own")).drop("own")
+    right = right.withColumn("coarser", F.explode(F.when(F.col("own"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).drop("own")
+    joined = left.join(right, [*keys, "coarser", "level", "bin"])
+    met = F.expr("shiftright(greatest(a_start, b_start), level)") == F.col("bin")
     if how == "overlap":
         met = met & (F.col("a_start") < F.col("b_stop")) & (F.col("b_start") < F.col("a_stop"))
     else:
