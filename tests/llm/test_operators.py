@@ -1,0 +1,413 @@
+"""The training-data operators against brute force, exact round trips and held-out labels, with
+nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from spanweave.llm import chunks, decontam, graph, packing, quality, roles, secret_scan, simhash, suffix, telephony, toxicity
+from spanweave.llm.common import id_text
+
+SF = "/root/testdata/sf0.001"
+FIRST = -(2**63)
+
+
+def frame(spark, rows):
+    """Documents with extra columns that carry working names."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("doc", "th", "m", "h", "at", "u", "v", "fp", "key", "pid", "rows", "score", "start", "size"):
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+def key(d):
+    return FIRST if d is None else d
+
+
+def awkward(seed, n=40):
+    """Null ids and texts, empty texts, repeated ids and rows, shared passages, runs of one letter."""
+    r = random.Random(seed)
+    shared = ["".join(r.choices("abcdé \n", k=r.randint(60, 400))) for _ in range(5)]
+    docs = []
+    for i in range(n):
+        parts = [r.choice([r.choice(shared), "".join(r.choices("xyzw ", k=r.randint(0, 90))), r.choice(shared)[: r.randint(0, 300)], "ab" * r.randint(0, 150), "q" * r.randint(0, 700)]) for _ in range(r.randint(0, 4))]
+        docs.append((r.choice([i, i, i, None, 7]), r.choice(["".join(parts)] * 4 + [None])))
+    return docs + docs[:3]
+
+
+# ---- 1 ----------------------------------------------------------------------------------
+
+
+def test_telephony_round_trip(spark):
+    docs = [(1, "a"), (2, ""), (3, None), (None, "é" * 700), (4, "x" * 5000), (4, "x" * 5000), (5, "r\n" * 288)]
+    got = telephony.read_back(telephony.store(frame(spark, docs)), keep_pcm=True).collect()
+    assert len(got) == len(docs)
+    by = {}
+    for r in got:
+        by.setdefault(r.payload_sha256, set()).add((r.n_bytes, r.media_sha256, r.feature))
+        codec, data, n, _ = telephony.parse_wave(r.pcm)
+        assert codec == "pcm" and r.pcm_crc32 == zlib.crc32(r.pcm) and len(r.pcm) == r.pcm_bytes
+    for _, t in docs:
+        b = (t or "").encode()
+        p = b + b"\xff" * (max(576, -(-len(b) // 576) * 576) - len(b))
+        assert {x[0] for x in by[hashlib.sha256(p).hexdigest()]} >= {len(b)} and zlib.crc32(p[-32:]) in {r.tail_crc32 for r in got}
+    assert all(len(v) == 1 for k, v in by.items() if k != hashlib.sha256(b"\xff" * 576).hexdigest())
+
+
+@pytest.mark.parametrize("codec", telephony.CODECS)
+def test_each_codec_keeps_the_payload(codec):
+    text = bytes(range(256)) * 5
+    media = telephony.stored_form(text, codec)
+    ((found, payload, n, pcm),) = telephony.decoded([memoryview(media)])
+    assert (found, bytes(payload), n) == (codec, telephony.payload_of(text), len(text)) and pcm.dtype == np.int16
+
+
+def test_speech_codings():
+    assert telephony.EXPAND["ulaw"][[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
+    assert telephony.EXPAND["alaw"][[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
+    x = (np.sin(np.arange(1153 * 3) * 0.05) * 8000).astype(np.int16).reshape(3, 1153)
+    assert np.abs(x.astype(int) - telephony.decode_adpcm(*telephony.encode_adpcm(x)))[:, 50:].max() < 100
+    assert (telephony.resample(x[0])[::2] == x[0]).all()
+
+
+# ---- 2 ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_role_repair_costs_least(spark, block):
+    r = random.Random(3)
+    rows = [(i or None, r.choice([j, j, j, None]), r.choice(["user", "assistant", "system", "Human", None, "x"]), r.choice(["hi", "yo<|x", None])) for i in range(40) for j in range(r.randint(1, 6))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("blk", F.lit("clash"))
+    got = roles.repair_roles(turns, block).toPandas()
+    for conv, g in got.groupby("conv_id", dropna=False):
+        mine = sorted((x for x in rows if x[0] == (None if conv != conv else conv)), key=lambda x: [(v is not None, v) for v in x[1:]])
+        kinds, best = [roles.role_kind(x[2]) for x in mine], float("inf")
+        for states in itertools.product((1, 2, 3), repeat=len(kinds)):
+            cost, at = 0, 0
+            for k, s in zip(kinds, states):
+                cost, at = cost + roles.COST[k][at][s], s
+            best = min(best, cost + roles.END[at])
+        g = g.sort_values("ord")
+        assert g.cost.sum() == best and list(g.ord) == list(range(len(mine)))
+        seen = ",".join(re.findall(r"<\|(system|user|assistant)\|>\n", "".join(g.rendered))) + ","
+        assert re.fullmatch(r"(system,)?(user,assistant,)+", seen)
+    assert roles.repair_roles(turns.where("false"), block).count() == 0
+
+
+# ---- 3 ----------------------------------------------------------------------------------
+
+
+def brute_repeats(docs, width=100):
+    first = {}
+    for d, t in docs:
+        b = (t or "").encode()
+        for i in range(len(b) - width + 1):
+            w = b[i : i + width]
+            first[w] = min(first.get(w, (key(d), i)), (key(d), i))
+    out = []
+    for d, t in docs:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - width + 1):
+            if first[b[i : i + width]] < (key(d), i):
+                gone[i : i + width] = b"\1" * width
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_suffix_dedup_matches_brute_force(spark, seed, monkeypatch):
+    if seed == 6:  # strings of hot anchors are dealt by content
+        monkeypatch.setattr(suffix, "HOT", 500)
+        monkeypatch.setattr(suffix, "SHARD", 2000)
+    docs = awkward(seed)
+    assert sorted(map(tuple, suffix.remove_repeats(frame(spark, docs)).collect()), key=str) == brute_repeats(docs)
+
+
+def test_suffix_arrays_and_prefixes():
+    r = np.random.default_rng(0)
+    for symbols in (0, 2048):
+        suffix.SYMBOLS, old = symbols, suffix.SYMBOLS
+        for _ in range(60):
+            k = int(r.choice([2, 3, 5, 50]))
+            s = np.append(np.tile(r.integers(1, k, int(r.integers(1, 90))), int(r.integers(1, 4))), 0)
+            t = s.tolist()
+            assert suffix.suffix_array(s, k).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+        suffix.SYMBOLS = old
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [(1, "a")]).where("false")
+    model = toxicity.ToxicModel(toxicity.Letters.from_counts(np.zeros(28**3)), {}, (0.0, 0.0, 0.0, 0.0))
+    for out in (
+        suffix.remove_repeats(none), chunks.chunk_dedup(none), simhash.simhash_components(none), telephony.read_back(telephony.store(none)), secret_scan.scan(none, []),
+        packing.pack_along_curve(none, packing.vocabulary()), toxicity.toxicity_scores(none, model), decontam.contaminated(none, spark.createDataFrame([(1, "b")], "item_id long, text string")),
+    ):
+        assert out.count() == 0
+
+
+# ---- 4 ----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def letters(spark):
+    text = "you are an idiot and a moron or a worthless clown said the stupid but disgusting and pathetic loser in the trash with the scum " * 30
+    return toxicity.Letters.from_counts(toxicity.letter_counts(frame(spark, [(1, text), (2, None)])))
+
+
+def test_disguises_are_undone(letters):
+    read = toxicity.Restorer(letters).text
+    for seen, meant in (("you 1d10t", "you idiot"), ("i d i o t", "idiot"), ("idiooooot w0rthl3ss", "idiot worthless"), ("m.o.r.o.n", "moron"), ("p@thet1c", "pathetic"), ("the plain text, of 12 words", "the plain text, of 12 words"), ("", ""), (None, "")):
+        assert read(seen) == meant
+
+
+def test_viterbi_takes_the_best_reading(letters):
+    steps = toxicity.lattice("1d10t")
+    score = {}
+    for way in itertools.product(*steps):
+        s = "".join(c for c, _ in way)
+        codes = [0, 0, *map(toxicity._code, s), 0]
+        score[s] = max(score.get(s, -1e9), sum(p for _, p in way) + sum(letters.logp[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:])))
+    assert toxicity.viterbi(steps, letters) == max(score, key=score.get)
+
+
+def test_toxicity_learns_and_generalises(spark):
+    r = random.Random(1)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(200)]
+    make = lambda bad: " ".join(r.choices(words, k=40) + ([r.choice(["scumbag", "sc1mbag".replace("1", "u")])] if bad else []))
+    rows = [(i, make(i % 4 == 0)) for i in range(400)] + [(None, None), (1000, ""), (3, "x")]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, toxicity.train(docs, labels)).join(docs.select("doc_id", "text"), "doc_id").where("length(text) > 9").collect()
+    assert np.mean([(x.score >= 0.5) == ("scumbag" in x.text) for x in got]) > 0.99
+    assert toxicity.toxicity_scores(docs, toxicity.train(docs, labels.where("false"))).agg(F.count("*"), F.min("score"), F.max("score")).first() == (403, 0.5, 0.5)
+
+
+# ---- 5 ----------------------------------------------------------------------------------
+
+
+def test_forest_tells_secrets_from_others():
+    model = secret_scan.train(secret_scan.labelled_findings(3000, 1))
+    rows = secret_scan.labelled_findings(1000, 2)
+    p = secret_scan.vote(model, np.array([secret_scan.features(b, c, a, k) for b, c, a, k, _ in rows]))
+    assert np.mean((p >= 0.5) == [r[-1] for r in rows]) > 0.97
+
+
+def test_scan_and_mask(spark):
+    token = hashlib.sha1(b"x").hexdigest()
+    docs = frame(spark, [(1, f'say token = "{token}" now'), (2, "commit " + token + " was fine"), (3, None), (None, ""), (1, "a " * 40_000 + f" secret: {token}")])
+    got = secret_scan.scan(docs).collect()
+    assert [r.is_secret for r in got if r.doc_id == 1] == [1, 1] and [r.is_secret for r in got if r.doc_id == 2] == [0]
+    texts = [r.text for r in secret_scan.masked(docs).select("text").collect()]
+    assert f'say token = "{secret_scan.MASK}" now' in texts and None in texts and "commit " + token + " was fine" in texts
+
+
+# ---- 6 ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chunks_match_brute_force(spark, seed):
+    docs = awkward(seed)
+    seen, cut = {}, {}
+    for d, t in docs:
+        b = np.frombuffer((t or "").encode(), np.uint8)
+        cut[t] = ends = chunks.cuts(b, np.array([0, len(b)]))[0]
+        for a, z in zip([0, *ends], ends):
+            w = b[a:z].tobytes()
+            seen[w] = min(seen.get(w, (key(d), a)), (key(d), a))
+    want = []
+    for d, t in docs:
+        b, ends = (t or "").encode(), cut[t]
+        again = [(a << 10) | (z - a) for a, z in zip([0, *ends], ends) if seen[b[a:z]] < (key(d), a)]
+        spans = chunks.stretches(again)
+        want.append((d, len(b), len(ends), len(again), sum(z - a for a, z, _ in spans), len(spans)))
+    assert sorted(map(tuple, chunks.chunk_dedup(frame(spark, docs)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_chunks_resist_insertions_and_rolling_is_rolling():
+    r = random.Random(1)
+    text = bytes(r.choices(b"abcdefghijklmnop ", k=4000))
+    parts = lambda b: {b[a:z] for e in chunks.cuts(np.frombuffer(b, np.uint8), np.array([0, len(b)])) for a, z in zip([0, *e], e)}
+    assert len(parts(text) - parts(text[:2000] + b"!" + text[2000:])) <= 3
+    h = chunks.rolled(np.frombuffer(text, np.uint8))
+    assert all(int(h[i]) == sum(int(chunks.GEAR[text[i - j]]) << j for j in range(16)) % (1 << 16) for i in range(20, 60))
+
+
+def test_deduplicated_texts(spark):
+    passage = " ".join(f"word{i}" for i in range(90))
+    got = {r.doc_id: r.text for r in chunks.deduplicated(frame(spark, [(1, "start " + passage), (2, "other begin " + passage + " tail"), (3, None)])).collect()}
+    assert got[1] == "start " + passage and len(got[2]) < len(passage) / 2 and got[3] == ""
+
+
+# ---- 7 ----------------------------------------------------------------------------------
+
+
+def brute_components(fps):
+    ids = sorted(fps, key=lambda i: (fps[i], i))
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(ids, 2):
+        if bin(fps[i] ^ fps[j]).count("1") <= 2:
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize("bucket", [2, 64])
+def test_links_give_the_components_of_two_bits(spark, bucket):
+    r = random.Random(bucket)
+    centres = [r.getrandbits(64) for _ in range(6)]
+    fps = {c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for c in centres for _ in range(25)} | {0, 1, 3}
+    signed = {f - (1 << 64) if f >> 63 else f for f in fps}
+    d = spark.createDataFrame([(f,) for f in signed], "fp long")
+    comp = {x.node: x.component for x in graph.connected_components(simhash.links(d, bucket)).collect()}
+    want = brute_components({f: f & (2**64 - 1) for f in signed})
+    assert all(comp.get(f, f) == want[f] for f in signed)
+
+
+def test_fingerprints_and_components(spark):
+    r = random.Random(8)
+    base = [r.choice("abcdefgh") * r.randint(1, 4) for _ in range(300)]
+    docs = [(i, " ".join(base[: 280 + i % 7])) for i in range(20)] + [(50, None), (51, " \n"), (52, "A b"), (53, "a B"), (52, "zz"), (None, "A b"), (54, "É x y z")]
+    got = [tuple(x) for x in simhash.simhash_components(frame(spark, docs)).collect()]
+    fps = {}
+    for d, t in docs:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        grams = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        fps.setdefault(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)), []).append(d)
+    least = {f: min((d for d in ds if d is not None), default=None) for f, ds in fps.items()}
+    comp = brute_components({f: f for f in fps})
+    name = {f: min((least[g] for g in fps if comp[g] == comp[f] and least[g] is not None), default=None) for f in fps}
+    want = sorted(((d, f, name[f]) for f, ds in fps.items() for d in ds), key=str)
+    assert sorted(((d, f & (2**64 - 1), c) for d, f, c in got), key=str) == want
+
+
+# ---- 8 ----------------------------------------------------------------------------------
+
+
+def edit_distance(a, b, free):
+    row = [0] * (len(b) + 1) if free else list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row) if free else row[-1]
+
+
+def test_myers_against_the_plain_table():
+    r = random.Random(1)
+    for _ in range(400):
+        item, text, k = "".join(r.choices("abc", k=r.randint(1, 14))), "".join(r.choices("abc", k=r.randint(0, 30))), r.randint(0, 5)
+        want, got = edit_distance(item, text, True), decontam.occurrence(item, text, k)
+        assert (want <= k) == (got is not None)
+        assert got is None or got[0] == want == edit_distance(item, text[got[1] : got[2]], False)
+
+
+def test_decontamination_matches_brute_force(spark):
+    r = random.Random(2)
+    items = [(i, " ".join("".join(r.choices("abcdefg", k=r.randint(2, 7))) for _ in range(20))) for i in range(6)] + [(90, None), (91, " "), (0, "abc def")]
+
+    def damage(t, n):
+        for _ in range(n):
+            i = r.randrange(len(t))
+            t = t[:i] + r.choice(["", "z", t[i] + "y"]) + t[i + 1 :]
+        return t
+
+    docs = [(i, "lead " * r.randint(0, 9) + damage(r.choice(items[:6])[1], r.randint(0, 16)).upper() + "\n tail") for i in range(60)] + [(None, items[0][1]), (3, None), (4, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("t", F.lit(1))
+    for block in (decontam.BLOCK_BYTES, 200):
+        got = sorted((tuple(x)[:3] for x in decontam.contaminated(frame(spark, docs), bench, block_bytes=block).collect()), key=str)
+        want = []
+        for d, t in docs:
+            for i, x in items:
+                x, t2 = decontam.normal(x), decontam.normal(t)
+                if x and (n := edit_distance(x, t2, True)) <= decontam.budget(x):
+                    want.append((d, i, n))
+        assert got == sorted(want, key=str)
+
+
+# ---- 9 ----------------------------------------------------------------------------------
+
+
+def test_rules_learn_and_compile(spark):
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(300)]
+    good = lambda: ". ".join(" ".join(r.choices(words, k=9)) for _ in range(6))
+    bad = lambda: r.choice([lambda: "$$$ ".join(r.choices(words, k=40)), lambda: "Buy " * 60, lambda: "!! ".join(r.choices(words, k=40)).upper()])()
+    rows = [(i, good() if i % 3 else bad()) for i in range(300)] + [(None, None), (900, ""), (901, "x" * 200_000)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = {x.doc_id: x["__score"] for x in quality.quality_scores(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == (i % 3 != 0) for i in range(300)]) > 0.97 and 0 <= got[900] <= 1 and len(got) == 303 and 0 < len(model.rules) < 120
+    stats = docs.select("doc_id", *[c.alias(k) for k, c in quality.statistics(F.col("text")).items()]).where("doc_id < 300").toPandas()
+    z = np.full(len(stats), model.bias)
+    for rule, w in zip(model.rules, model.weights):
+        hit = np.ones(len(stats), bool)
+        for f, low, t in rule:
+            x = stats[model.names[f]].to_numpy(float)
+            hit &= x <= t if low else x > t
+        z += w * hit
+    assert np.allclose(1 / (1 + np.exp(-z)), [got[i] for i in stats.doc_id])
+    assert quality.train(docs, labels.where("false")).rules == ()
+    assert quality.stage.__doc__ and id_text(docs).count() == 303
+
+
+# ---- 10 ---------------------------------------------------------------------------------
+
+
+def test_hilbert_visits_neighbours():
+    for dims, bits in ((2, 4), (3, 3), (4, 2)):
+        cells = np.array(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij")).reshape(dims, -1).T
+        at = packing.hilbert(cells, bits)
+        assert sorted(at) == list(range(len(cells))) and (np.abs(np.diff(cells[np.argsort(at)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_packing_keeps_every_id(spark):
+    docs = [(i, "the quick brown fox " * (i % 90) + "é漢字 <|endoftext|>" * (i % 3)) for i in range(120)] + [(None, None), (5, ""), (7, "same"), (7, "same"), (500, "long text " * 4000)]
+    got = packing.pack_along_curve(frame(spark, docs), packing.vocabulary(), emit_ids=True).toPandas()
+    enc = packing.encoder(packing.vocabulary())
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= packing.LENGTH
+    assert all(zlib.crc32(i) == c and len(i) == 4 * n for i, c, n in zip(got.ids, got.ids_crc32, got.length))
+    for d, t in [x for x in docs if x[0] not in (5, 7, None)]:
+        want = np.append(enc.one(t), 0).astype("<u4").tobytes()
+        g = got[got.doc_id == d].sort_values("start")
+        assert b"".join(g.ids) == want and (g.doc_tokens == len(want) // 4).all()
+    assert got.length.sum() == sum(len(enc.one(t or "")) + 1 for _, t in docs) and len(got[got.doc_id == 7].query("start == 0")) == 3
+
+
+# ---- pipeline ---------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = docs.withColumn("component_id", F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, whole, SF)
+        assert kept.columns == whole.columns
+        n, m = whole.count(), kept.count()
+        assert 0 < m <= n and (m == n or name != "secrets")
+    fps = {r.doc_id: r.component_id for r in simhash.simhash_components(docs).collect()}
+    one = simhash.stage(spark, docs, SF)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(set(fps.values()))
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns[:2] == ["doc_id", "start"] and out.count() > 0
