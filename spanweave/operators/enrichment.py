@@ -75,7 +75,7 @@ def overlap_counts(ranges: DataFrame, sets: DataFrame, set_col: str, by: str) ->
 def permutation_test(loci: DataFrame, sets: DataFrame, background: DataFrame, genome: DataFrame, set_col: str = "name", simulations: int = 100, alternative: str = "two_sided", seed: int = 1) -> DataFrame:
     """One row for each set: observed overlap, median, mean and variance of the simulated ones,
     p-value (not capped when two-sided) and q-value, sorted by p-value."""
-    from ..functions.tests import benjamini_hochberg
+    from ..functions.hypothesis_tests import benjamini_hochberg
 
     spark = loci.sparkSession
     names = sets.select(set_col).distinct()

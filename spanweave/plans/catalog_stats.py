@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import tests as ts
+from ..functions import hypothesis_tests as ts
 from ..operators import enrichment as en
 from ..operators import ontology as on
 from .catalog import Catalog
@@ -47,7 +47,7 @@ def _edges(n, s):
 
 
 add("dag_depth", "nation supplier", lambda n, s: on.depths(_edges(n, s)),
-    "SELECT node, max(depth) AS depth FROM d GROUP BY node", e=_EDGES,
+    "SELECT node, cast(max(depth) AS bigint) AS depth FROM d GROUP BY node", e=_EDGES,
     d="SELECT DISTINCT parent AS node, 0 AS depth FROM e WHERE parent NOT IN (SELECT child FROM e) UNION SELECT child, 1 FROM e WHERE parent NOT IN (SELECT child FROM e) UNION SELECT b.child, 2 FROM e a JOIN e b ON b.parent = a.child WHERE a.parent NOT IN (SELECT child FROM e)")
 add("ontology_associations", "part supplier", lambda p, s: on.associations(p.select(F.col("p_brand").alias("term"), F.lit(False).alias("obsolete")).distinct(), p.select(F.col("p_brand").alias("term"), F.col("p_type").alias("symbol"))).select("term", F.concat_ws("|", "symbols").alias("symbols")),
     "SELECT p_brand AS term, array_to_string(list_sort(list(DISTINCT upper(p_type))), '|') AS symbols FROM part GROUP BY 1")
