@@ -55,20 +55,37 @@ def flanked(df: DataFrame, flank: int) -> DataFrame:
 # ---- range join -------------------------------------------------------------------------
 
 
-def _dealt(df: DataFrame, mark: str) -> DataFrame:
-    """One row for each bin of each range, at its own level and all coarser ones."""
-    start, stop = F.col(f"{mark}start"), F.col(f"{mark}stop")
+def _own_level(mark: str = "") -> Column:
     own = F.lit(LEVELS[-1])
     for level in reversed(LEVELS[:-1]):
-        own = F.when(F.shiftright(stop - start, level) < SPAN, level).otherwise(own)
-    last = F.greatest(start, stop - 1)
+        own = F.when(F.shiftright(F.col(f"{mark}stop") - F.col(f"{mark}start"), level) < SPAN, level).otherwise(own)
+    return own
+
+
+def levels_of(df: DataFrame) -> set[int]:
+    """The bin sizes that ranges of this frame are dealt at; at most len(LEVELS) numbers."""
+    return {r[0] for r in df.select(_own_level().alias("l")).distinct().collect()}
+
+
+#: A bin is one number: its level above this bit, its place below.
+_PLACE = 44
+
+
+def _dealt(df: DataFrame, mark: str, own_levels: set[int], others: set[int]) -> DataFrame:
+    """One row (bin, own) for each bin of each range, at its own level and the coarser ones in
+    `others`."""
+    start, stop = F.col(f"{mark}start"), F.col(f"{mark}stop")
+    own, last = _own_level(mark), F.greatest(start, stop - 1)
 
     def at(level: int) -> Column:
-        bins = F.sequence(F.shiftright(start, level), F.shiftright(last, level))
-        return F.when(own <= level, F.transform(bins, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"), (own == level).alias("own"))))
+        code = F.lit(level << _PLACE)
+        bins = F.sequence(F.shiftright(start, level) + code, F.shiftright(last, level) + code)
+        used = own <= level if level in others else own == level
+        return bins if len(levels) == 1 else F.when(used, bins).otherwise(F.array().cast("array<bigint>"))
 
-    whole = F.flatten(F.array_compact(F.array(*map(at, LEVELS))))
-    return df.select("*", F.inline(whole))
+    levels = sorted(own_levels | others) or [LEVELS[0]]
+    bins = F.concat(*map(at, levels)) if len(levels) > 1 else at(levels[0])
+    return df.select("*", F.explode(bins).alias("bin")).withColumn("own", F.shiftright("bin", _PLACE) == own)
 
 
 def range_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY, how: str = "overlap") -> DataFrame:
@@ -76,15 +93,20 @@ def range_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY, how: str =
 
     Columns of a keep their names, those of b get the prefix b_; both have start and stop.  A
     pair is made once: at the larger of the two ranges' bin sizes, in the bin where the later
-    start lies.  Two ranges that are both dealt to a coarser size than their own never meet
-    there: a's own bins meet all bins of b, and a's coarser ones meet b's own ones only.
+    start lies.  Ranges go only to coarser sizes that the other side has.  Two ranges that are
+    both dealt to a coarser size than their own never meet there: a's own bins meet all bins of
+    b, and a's coarser ones meet b's own ones only.
     """
-    left = _dealt(a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in keys]), "a_")
-    right = _dealt(b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys]), "b_")
-    left = left.withColumn("coarser", ~F.col("own")).drop("own")
-    right = right.withColumn("coarser", F.explode(F.when(F.col("own"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).drop("own")
-    joined = left.join(right, [*keys, "coarser", "level", "bin"])
-    met = F.expr("shiftright(greatest(a_start, b_start), level)") == F.col("bin")
+    la, lb = levels_of(a), levels_of(b)
+    left = _dealt(a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in keys]), "a_", la, lb)
+    right = _dealt(b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys]), "b_", lb, la)
+    on = [*keys, "bin"]
+    if any(x < y for x in la for y in lb):
+        left = left.withColumn("coarser", ~F.col("own"))
+        right = right.withColumn("coarser", F.explode(F.when(F.col("own"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+        on.append("coarser")
+    joined = left.drop("own").join(right.drop("own"), on)
+    met = F.expr(f"shiftright(greatest(a_start, b_start), cast(shiftright(bin, {_PLACE}) as int)) = (bin & {(1 << _PLACE) - 1})")
     if how == "overlap":
         met = met & (F.col("a_start") < F.col("b_stop")) & (F.col("b_start") < F.col("a_stop"))
     else:
@@ -97,17 +119,22 @@ def _numbered(a: DataFrame) -> DataFrame:
     return a.groupBy(*a.columns).agg(F.count("*").alias("__n"))
 
 
-def _semi(a: DataFrame, pairs: DataFrame) -> DataFrame:
-    hits = pairs.select(*a.columns).distinct()
-    return a.join(hits, a.columns, "left_semi")
+def _named(a: DataFrame) -> DataFrame:
+    """Rows with a 128-bit name of their values, so that repeated rows share one."""
+    cols = [F.col(c) for c in a.columns]
+    return a.withColumns({"__h1": F.xxhash64(*cols), "__h2": F.xxhash64(F.lit(1), *cols)})
+
+
+def _hit(named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those rows, as often as they are given, whose name is in pairs."""
+    return named.join(pairs.select("__h1", "__h2").distinct(), ["__h1", "__h2"], "left_semi").drop("__h1", "__h2")
 
 
 def overlapping(a: DataFrame, b: DataFrame, flank: int = 0, keys: Sequence[str] = KEY) -> DataFrame:
     """Rows of a that meet a range of b, each once and as it is; a is widened by the flank."""
-    wide = a.withColumns({"o_start": F.col("start"), "o_stop": F.col("stop")})
-    hits = range_join(flanked(wide, flank), b.select(*keys, "start", "stop"), keys)
-    own = [F.col(f"o_{c}").alias(c) if c in ("start", "stop") else F.col(c) for c in a.columns]
-    return _semi(a, hits.select(*own))
+    named = _named(a)
+    wide = flanked(named.select(*keys, "start", "stop", "__h1", "__h2"), flank)
+    return _hit(named, range_join(wide, b.select(*keys, "start", "stop"), keys)).select(*a.columns)
 
 
 def intersections(a: DataFrame, b: DataFrame, flank: int = 0, keys: Sequence[str] = KEY) -> DataFrame:
@@ -119,7 +146,9 @@ def intersections(a: DataFrame, b: DataFrame, flank: int = 0, keys: Sequence[str
 
 def within(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Rows of a that lie in a range of b."""
-    return _semi(a, range_join(a, b.select(*keys, "start", "stop"), keys, "within"))
+    named = _named(a)
+    pairs = range_join(named.select(*keys, "start", "stop", "__h1", "__h2"), b.select(*keys, "start", "stop"), keys, "within")
+    return _hit(named, pairs).select(*a.columns)
 
 
 # ---- merging ----------------------------------------------------------------------------
@@ -157,7 +186,7 @@ def complement(merged_ranges: DataFrame, universe: DataFrame, keys: Sequence[str
 
 def subtract(a: DataFrame, b: DataFrame, id_col: str, keys: Sequence[str] = KEY) -> DataFrame:
     """What is left of each range of a (unique `id_col`) without the ranges of b."""
-    holes = intersections(a.select(id_col, *keys, "start", "stop"), merged(b, keys), keys=keys)
+    holes = intersections(a.select(id_col, *keys, "start", "stop"), merged(b, keys).persist(), keys=keys)
     pieces = holes.select(id_col, *keys, F.col("start").alias("a0"), F.col("stop").alias("a1"), F.col("i_start").alias("h0"), F.col("i_stop").alias("h1"))
     # holes of one range are disjoint: each leaves the piece before it, the last one after it too
     w = W.partitionBy(id_col).orderBy("h0")
@@ -197,7 +226,7 @@ def overlap_fraction(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """Common positions of merged a and b over all their positions."""
-    a, b = merged(a), merged(b)
+    a, b = merged(a).persist(), merged(b).persist()  # each is read for its size and for the join
     sizes = [a.agg(length(a).alias("la")), b.agg(length(b).alias("lb")), intersections(a, b).agg(F.coalesce(F.sum(F.col("i_stop") - F.col("i_start")), F.lit(0)).alias("lab"))]
     one = sizes[0].crossJoin(sizes[1]).crossJoin(sizes[2])  # three single rows
     return one.select(F.try_divide(F.col("lab").cast("double"), F.col("la") + F.col("lb") - F.col("lab")).alias("jaccard"))

@@ -15,10 +15,11 @@ MOST, FIRST = 32767, 2147483647
 
 def build(calls: DataFrame, ignore_duplicates: bool = True) -> DataFrame:
     """(chrom, strand, pos, tag, k, n): calls with a positive total, counts cut at 32767.  Of
-    several at a place of a chromosome, whatever the strand, the first by `arrival` counts."""
+    several at a place of a chromosome, whatever the strand, the first by `arrival` counts (of equal
+    arrivals the least by strand, tag and counts)."""
     held = calls.where("n > 0").withColumns({"k": F.least("k", F.lit(MOST)), "n": F.least("n", F.lit(MOST))})
     if ignore_duplicates:
-        held = held.groupBy("chrom", "pos").agg(F.min_by(F.struct("strand", "tag", "k", "n"), "arrival").alias("c")).select("chrom", "c.strand", "pos", "c.tag", "c.k", "c.n")
+        held = held.groupBy("chrom", "pos").agg(F.min(F.struct("arrival", "strand", "tag", "k", "n")).alias("c")).select("chrom", "c.strand", "pos", "c.tag", "c.k", "c.n")
     return held.select("chrom", "strand", "pos", "tag", "k", "n")
 
 

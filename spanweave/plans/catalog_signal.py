@@ -83,7 +83,7 @@ add("stdev", "regions", lambda r: r.groupBy("chrom").agg(F.round(F.stddev_samp(F
 
 # ---- methylation ------------------------------------------------------------------------
 
-_METH = "SELECT chrom, strand, pos, tag, least(k, 32767) AS k, least(n, 32767) AS n FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY arrival) AS i FROM methyl WHERE n > 0) WHERE i = 1"
+_METH = "SELECT chrom, strand, pos, tag, least(k, 32767) AS k, least(n, 32767) AS n FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY arrival, strand, tag, k, n) AS i FROM methyl WHERE n > 0) WHERE i = 1"
 add("methylome_build", "methyl", me.build, "SELECT * FROM m", m=_METH)
 add("methylome_duplicates", "methyl", me.duplicates, "SELECT chrom, count(*) - count(DISTINCT pos) AS duplicates FROM methyl WHERE n > 0 GROUP BY 1")
 add("methylome_peel", "methyl", lambda d: me.peel(me.build(d)).withColumn("level", F.round(F.col("level").cast("double"), 5)), "SELECT chrom, pos, tag, round(((k::float) / (n::float))::double, 5) AS level, k, n, strand = '+' AS strand FROM m", m=_METH)
