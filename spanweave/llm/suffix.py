@@ -34,8 +34,8 @@ GRAM = 16
 #: Most strings in a run; longer runs are cut, which loses nothing.
 RUN = 512
 #: Bytes of runs in a shard.  An anchor isn't split between shards; one with over HOT bytes of
-#: different runs has its strings dealt by content instead (see _dealt_by_content).
-SHARD, HOT = 1 << 20, 3 << 20
+#: different runs has its strings dealt by content instead (see _hot_spans).
+SHARD, HOT = 1 << 20, 1 << 19
 #: Input bytes for each partition of the steps by anchor.
 PARTITION = 24 << 20
 
@@ -380,29 +380,36 @@ def _later(place: np.ndarray, group: np.ndarray, doc: np.ndarray, start: np.ndar
     return place[(doc != doc[first]) | (start != start[first])]
 
 
-def _dealt_by_content(data: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """As repeats(), for one anchor with very many different runs: its strings are dealt by a
-    hash of their bytes into blocks of bounded size, and equal ones are found by sorting."""
-    ends = np.cumsum(sizes)
-    pos = np.concatenate([np.arange(e - k, e - width + 1) for e, k in zip(ends, sizes)])
-    z = np.zeros(len(pos), np.uint64)
-    buf = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.ndarray((len(data) + 1,), "<u8", buf, strides=(1,))
-    for t in [*range(0, width - 7, 8), width - 8]:
-        z = (z ^ words[pos + t]) * _A
-        z ^= z >> np.uint64(32)
-    blocks = max(1, len(pos) * width // SHARD)
-    which = z % np.uint64(blocks)
-    rows = np.lib.stride_tricks.sliding_window_view(data, width)
-    place, group, base = [], [], 0
-    for g in range(blocks):
-        p = pos[which == np.uint64(g)]
-        _, inverse, counts = np.unique(np.ascontiguousarray(rows[p]).view(f"V{width}").ravel(), return_inverse=True, return_counts=True)
-        again = counts[inverse] > 1
-        place.append(p[again])
-        group.append(inverse[again] + base)
-        base += len(counts)
-    return np.concatenate(place), np.concatenate(group)
+def _strings(width: int):
+    """(w1, w2, doc, th, at): every string of `width` bytes of the runs, by a 128-bit hash."""
+
+    def run(parts):
+        for b in parts:
+            at, data = utf8(b.column(4))
+            doc, th, start = (b.column(i).to_numpy() for i in (1, 2, 3))
+            words = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+            for i, j in slices(at, 64 << 10):
+                per = np.diff(at[i : j + 1]) - width + 1
+                row = np.repeat(np.arange(i, j), per)
+                off = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+                pos = at[row] + off
+                w1, w2 = np.zeros(len(pos), np.uint64), np.full(len(pos), _A)
+                for t in [*range(0, width - 7, 8), width - 8]:
+                    x = words[pos + t]
+                    w1, w2 = (w1 ^ x) * _A, (w2 ^ (x >> np.uint64(7) | x << np.uint64(57))) * _B
+                    w1, w2 = w1 ^ w1 >> np.uint64(32), w2 ^ w2 >> np.uint64(29)
+                cols = [w1.view(np.int64), w2.view(np.int64), doc[row], th[row], (start[row] + off) << _START | width]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w1", "w2", "doc", "th", "at"])
+
+    return run
+
+
+def _hot_spans(runs: DataFrame, width: int) -> DataFrame:
+    """Repeated strings of hot anchors.  Their runs would all meet in one shard, so each string
+    is dealt by its own content and the earliest of equal ones is found by a combined minimum."""
+    strings = runs.mapInArrow(_strings(width), "w1 long, w2 long, doc long, th int, at long")
+    first = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return strings.join(first, ["w1", "w2"]).where(F.struct("doc", "at") > F.col("first")).select("doc", "th", "at")
 
 
 def _shard_spans(width: int):
@@ -412,9 +419,8 @@ def _shard_spans(width: int):
         held = pa.Table.from_batches(rows).combine_chunks()
         at, data = utf8(held["run"])
         sizes = np.diff(at)
-        doc, th, start, m = (held[c].to_numpy() for c in ("doc", "th", "start", "m"))
-        one_anchor = m[0] == m[-1]
-        place, group = (_dealt_by_content if one_anchor and len(data) > HOT else lambda d, s, w: repeats(d, s, w))(data, sizes, width)
+        doc, th, start = (held[c].to_numpy() for c in ("doc", "th", "start"))
+        place, group = repeats(data, sizes, width)
         run = np.searchsorted(at, place, "right") - 1
         place = np.sort(_later(place, group, doc[run], start[run] + place - at[run]))
         if not len(place):
@@ -486,12 +492,18 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     runs = _runs(texts.select("doc", "th", "text"), width)
     dealt = staged(runs.repartition(n, "m").mapInArrow(_first_of_each, "m long, doc long, th int, at long"), "first-runs")
     far = dealt.where("m IS NULL").select("doc", "th", "at")
-    wanted = dealt.where("m IS NOT NULL").groupBy("doc", "th").agg(F.collect_list("m").alias("ms"), F.collect_list("at").alias("ats"))
+    live = dealt.where("m IS NOT NULL")
+    size_of = F.col("at").bitwiseAND((1 << _START) - 1)
+    hot = staged(live.groupBy("m").agg(F.sum(size_of).alias("b")).where(F.col("b") > HOT).select("m"), "hot-anchors")
     spread = texts.repartition(n, "doc", "th")
-    cut = spread.join(wanted, ["doc", "th"]).select("doc", "th", "text", "ms", "ats").mapInArrow(_cut, "m long, doc long, th int, start long, run binary")
-    sorted_runs = cut.repartition(n, "m").sortWithinPartitions("m", "doc", "start")
+
+    def cut(runs: DataFrame) -> DataFrame:
+        wanted = runs.groupBy("doc", "th").agg(F.collect_list("m").alias("ms"), F.collect_list("at").alias("ats"))
+        return spread.join(wanted, ["doc", "th"]).select("doc", "th", "text", "ms", "ats").mapInArrow(_cut, "m long, doc long, th int, start long, run binary")
+
+    sorted_runs = cut(live.join(hot, "m", "left_anti")).repartition(n, "m").sortWithinPartitions("m", "doc", "start")
     shared = sorted_runs.mapInArrow(_shard_spans(width), "doc long, th int, at long")
-    return spread, far.unionAll(shared)
+    return spread, far.unionAll(shared).unionAll(_hot_spans(cut(live.join(hot, "m", "left_semi")), width))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
