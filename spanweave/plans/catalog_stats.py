@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hypothesis_tests as ts
+from ..functions import text as tx
 from ..operators import enrichment as en
 from ..operators import ontology as on
 from .catalog import Catalog
@@ -52,3 +53,7 @@ add("dag_depth", "nation supplier", lambda n, s: on.depths(_edges(n, s)),
 add("ontology_associations", "part supplier", lambda p, s: on.associations(p.select(F.col("p_brand").alias("term"), F.lit(False).alias("obsolete")).distinct(), p.select(F.col("p_brand").alias("term"), F.col("p_type").alias("symbol"))).select("term", F.concat_ws("|", "symbols").alias("symbols")),
     "SELECT p_brand AS term, array_to_string(list_sort(list(DISTINCT upper(p_type))), '|') AS symbols FROM part GROUP BY 1")
 add("is_input", "part", lambda p: p.select("p_partkey", F.lower("p_name").rlike("input|control|5").alias("input")), "SELECT p_partkey, regexp_matches(lower(p_name), 'input|control|5') AS input FROM part")
+add("location_text", "regions", lambda r: r.select("id", tx.location_text(F.col("chrom"), F.col("strand"), F.col("start"), F.col("stop")).alias("text")).select("id", "text", tx.parse_location(F.col("text")).alias("l")).select("id", "text", "l.chrom", "l.strand", "l.start", "l.stop"),
+    "SELECT id, concat(chrom, ':', strand, '[', start, ', ', stop, ')') AS text, chrom, strand, start, stop FROM regions")
+add("number_text", "regions", lambda r: r.select("id", tx.long_number(F.col("start"), True).alias("text"), tx.percent_of(F.col("start"), F.col("stop")).alias("share")),
+    "SELECT id, replace(format('{:,}', start), ',', ' ') AS text, round(100.0 * start / stop, 2) AS share FROM regions")

@@ -107,3 +107,42 @@ def test_ontology_and_tables(spark, tmp_path):
     assert [tuple(x) for x in annotations.centromeres(gaps).collect()] == [("chr1", 5, 30)]
     config = "genome: x\ntracks:\n  chip:\n    od:\n      r1: a.bed\n      r2: {path: b.bed, failed: true}\n    yd: [c.bed]\n"
     assert sorted((r.cell, r.replicate, r.path) for r in annotations.tracks(spark, config).collect()) == [("od", "r1", "a.bed"), ("od", "r2", "b.bed"), ("yd", "rep1", "c.bed")]
+
+
+def test_texts():
+    from spanweave.functions import text
+
+    assert text.parse_place("chr1: 1,000-2.000", {"chr1": 5000}) == ("chr1", 1000, 2000)
+    for bad in ("chr1:5", "chr2:1-2", "chr1:1-9000"):
+        with pytest.raises(ValueError):
+            text.parse_place(bad, {"chr1": 5000})
+    assert text.parse_genome_id("hg[chr1,chr2]") == ("hg", ["chr1", "chr2"]) and text.parse_genome_id("hg") == ("hg", [])
+    assert text.short_id(["a/b c#1.bed", "x/b-c"]) == "b_c" and len(text.short_id(["n" * 300])) == 100
+    assert text.short_id([f"GSM{i}_{'x' * 60}" for i in range(3)]) == "GSM0_GSM1_GSM2"
+
+
+def test_named_tables(spark, tmp_path):
+    from spanweave.operators import named
+
+    built = []
+    make = lambda: built.append(1) or spark.range(3)
+    for _ in range(2):
+        assert named.stored(spark, str(tmp_path), "t", {"a": 1}, make).count() == 3
+    q = named.Named("n", make)
+    assert q.get() is q.get() and len(built) == 2
+    q.forget()
+
+
+def test_command_line(spark, tmp_path):
+    from spanweave import cli
+
+    put(tmp_path, "loci.bed", "".join(f"chr1\t{i * 100}\t{i * 100 + 10}\n" for i in range(20)))
+    (tmp_path / "sets").mkdir()
+    put(tmp_path, "sets/a.bed", "chr1\t0\t1000\n")
+    put(tmp_path, "sets/b.bed", "chr1\t50000\t50010\n")
+    sizes = put(tmp_path, "sizes", "chr1\t100000\n")
+    cli.run(["enrichment", "--loci", str(tmp_path / "loci.bed"), "--regions", str(tmp_path / "sets" / "*.bed"), "--chrom-sizes", sizes, "--simulations", "30", "--out", str(tmp_path / "out")], spark)
+    got = {r.name: r for r in spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out")).collect()}
+    assert got["a.bed"].seen == "10" and float(got["a.bed"].p) < 0.1 and got["b.bed"].seen == "0"
+    cli.run(["overlaps", "--loci", str(tmp_path / "loci.bed"), "--regions", str(tmp_path / "sets" / "*.bed"), "--out", str(tmp_path / "each")], spark)
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "each")).count() == 40
