@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, staged, utf8
+from .common import id_text, partitions, staged, table, utf8
 from .graph import connected_components
 
 SEED = 42
@@ -73,7 +73,8 @@ def _signatures(d: DataFrame) -> DataFrame:
         for j in range(33):
             kept = half if j == 32 else half.bitwiseAND(0xFFFFFFFF ^ (1 << j))
             keys.append(kept + F.lit((seg * 33 + j) << 32))
-    return d.select("fp", F.explode(F.array(*keys)).alias("k"))
+    spread = d.repartition(partitions(d.sparkSession), "fp")  # few small files become 66 rows each
+    return spread.select("fp", F.explode(F.array(*keys)).alias("k"))
 
 
 def links(d: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -128,8 +129,6 @@ def fp_hex(column: str = "fp"):
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", fp_hex().alias("fingerprint"), "component_id")
 
