@@ -53,16 +53,16 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp long) for each row of (doc_id, text)."""
+    """(doc_id, fp, th) for each row of (doc_id, text); th is a hash of the text."""
 
     def run(parts):
         for b in parts:
             at, data = utf8(b.column(1))
             raw = data.tobytes()
             out = [fingerprint(raw[at[i] : at[i + 1]], words) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64()), b.column(2)], ["doc_id", "fp", "th"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, th long")
 
 
 def _signatures(d: DataFrame) -> DataFrame:
@@ -109,19 +109,20 @@ def links(d: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of documents.
+    """(doc_id, fp, component_id, component, th) for each row of documents.
 
     component_id is the smallest doc_id that can be reached over links of at most two
     differing bits.  Texts without words share fingerprint 0 and link like any other.  A null
-    doc_id is never a component's name unless all of its rows have one.
+    doc_id is never a component's name unless all of its rows have one; `component` tells such
+    components apart, and th is a hash of the text.
     """
     fps = staged(fingerprints(docs, words), "fingerprints")
     d = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     comp = staged(connected_components(links(d)), "components")
     named = d.join(comp, d.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    label = named.join(least, "component").select("fp", "component_id")
-    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = named.join(least, "component").select("fp", "component", "component_id")
+    return fps.join(label, "fp").select("doc_id", "fp", "component_id", "component", "th")
 
 
 def fp_hex(column: str = "fp"):
@@ -134,13 +135,15 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one whose id names it.
+    """Pipeline stage: one row of each component stays, that with the smallest doc_id.
 
-    Rows that repeat a doc_id are settled by their text, so one row of each component is
-    kept even then; columns are those of `docs`.
+    Of rows with one id the one with the least fingerprint and text hash counts, and of rows
+    that are the same any one; a row without an id stays only if its component has no id.
+    Columns are those of `docs`.
     """
     cols = docs.columns
-    comp = simhash_components(docs).select(F.col("doc_id").alias("__i"), F.col("fp").alias("__f"), F.col("component_id").alias("__c"))
-    heads = comp.where("__i <=> __c").groupBy("__c").agg(F.min("__f").alias("__f")).select(F.col("__c").alias("__i"), "__f").distinct()
-    kept = docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(heads["__i"]))
-    return kept.select(*[docs[c] for c in cols])
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "th")
+    heads = simhash_components(docs).groupBy("component").agg(F.min(rank).alias("h")).select(F.col("h.doc_id").alias("__i"), F.col("h.th").alias("__t")).distinct()
+    rows = docs.select(F.struct(*cols).alias("__row"), F.col("doc_id").cast("long").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__x"))
+    kept = rows.join(heads, F.col("__d").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__t")), "left_semi")
+    return kept.groupBy("__d", "__x").agg(F.first("__row").alias("__row")).select("__row.*")
