@@ -9,6 +9,7 @@ from ..operators import coverage as cv
 from ..operators import methylome as me
 from ..operators import nearest as nn
 from ..operators import search as se
+from ..operators import tracks as tk
 from ..operators import transcripts as tr
 from .catalog import Catalog
 
@@ -152,3 +153,4 @@ add("kmismatch_search", "sequences", lambda s: se.search(s, ["acgtat", "ttnaca"]
     "SELECT id, pattern, p AS pos, strand FROM c, q WHERE p + 6 < length(seq) AND list_sum(list_transform(range(1, 7), lambda j: CASE WHEN substr(w, j, 1) = 'n' OR substr(w, j, 1) = substr(seq, p + j, 1) THEN 0 ELSE 1 END)) <= 1",
     q="SELECT pattern, strand, CASE strand WHEN '+' THEN pattern ELSE reverse(translate(pattern, 'acgt', 'tgca')) END AS w FROM (VALUES ('acgtat'), ('ttnaca')) v(pattern), (VALUES ('+'), ('-')) s(strand)",
     c="SELECT id, seq, unnest(range(length(seq) - 6)) AS p FROM sequences WHERE length(seq) > 6")
+add("peaks_report", "regions genome", lambda r, g: tk.report(cv.peaks_info(r, g).select("count", "total", "most")), "SELECT unnest(['count', 'total', 'most']) AS metric, unnest([n, t, m]) AS value FROM (SELECT count(*)::varchar AS n, cast(sum(stop - start) AS bigint)::varchar AS t, max(stop - start)::varchar AS m FROM regions)")

@@ -146,3 +146,12 @@ def test_command_line(spark, tmp_path):
     assert got["a.bed"].seen == "10" and float(got["a.bed"].p) < 0.1 and got["b.bed"].seen == "0"
     cli.run(["overlaps", "--loci", str(tmp_path / "loci.bed"), "--regions", str(tmp_path / "sets" / "*.bed"), "--out", str(tmp_path / "each")], spark)
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "each")).count() == 40
+
+
+def test_track_accessors(spark):
+    from spanweave.operators import tracks
+
+    t = annotations.tracks(spark, "tracks:\n  methylation:\n    od: {r1: a, r2: {path: b, failed: true}}\n  H3K4me3:\n    yd: [c]\n")
+    assert sorted(r.cell for r in tracks.cells(t).collect()) == ["od", "yd"] and tracks.usable(t).count() == 2
+    assert sorted(map(tuple, tracks.data_types(t).collect())) == [("H3K4me3", "chip-seq"), ("methylation", "methylation")]
+    assert sorted(r.replicate for r in tracks.cell_ids(t, "METHYLATION").collect()) == ["r1", "r2"]
