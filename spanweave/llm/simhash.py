@@ -5,6 +5,9 @@ bits, one half differs in at most one.  So each half is indexed as it is, and in
 with one bit masked out; fingerprints that meet in a bucket are candidates and are verified
 by the count of differing bits.  Equal fingerprints are one node from the start, so a group
 of exact copies costs one signature set whatever its size.
+
+The pipeline stage links texts by the Jaccard similarity of their sets of five-word shingles
+instead: prefixes of the sets give candidates without a miss, and each link is verified.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, partitions, staged, table, utf8
@@ -25,6 +28,12 @@ WORDS = 3
 #: A bucket with more distinct fingerprints is not compared in pairs: it is re-indexed by
 #: variants that imply a link, and its members are tied to one of them (same components).
 BUCKET = 64
+#: The pipeline stage compares sets of shingles of this many words.
+STAGE_WORDS = 5
+#: Texts whose shingles are counted to order them, and counted shingles kept; both save work only.
+SAMPLE, COMMON = 8000, 100_000
+#: Rounds in which each set is compared with one candidate, before all candidates left are.
+ROUNDS = 3
 
 
 def _hashes(text: bytes, words: int) -> np.ndarray:
@@ -134,16 +143,162 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fp_hex().alias("fingerprint"), "component_id")
 
 
+def _shingles(text: bytes) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, in order; a shorter text is one shingle."""
+    return np.unique(_hashes(text, STAGE_WORDS))
+
+
+def _parity(h: np.ndarray) -> np.ndarray:
+    """256 bits (4 longs): how often each is hit, modulo 2.
+
+    Two of them differ in no more bits than the sets have elements that are in one only.
+    """
+    return np.packbits((np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _set_id(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) if len(h) else 0
+
+
+def _texts(batch: pa.RecordBatch, column: int):
+    at, data = utf8(batch.column(column))
+    raw = data.tobytes()
+    return (raw[at[i] : at[i + 1]] for i in range(batch.num_rows))
+
+
+SKETCH = [f"p{i}" for i in range(4)]
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, n, p0..p3, th) for each row: fp names the set of its n shingles."""
+
+    def run(parts):
+        for b in parts:
+            sets = [(_set_id(h), len(h), *_parity(h).tolist()) for h in map(_shingles, _texts(b, 1))]
+            cols = list(zip(*sets)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:]), b.column(2)], ["doc_id", "fp", "n", *SKETCH, "th"])
+
+    return id_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, n int, p0 long, p1 long, p2 long, p3 long, th long")
+
+
+def _common(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that a sample of the texts repeats, by hash."""
+
+    def run(parts):
+        for b in parts:
+            for t in _texts(b, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(t).view(np.int64))], ["h"])
+
+    some = id_text(docs).sample(min(1.0, SAMPLE / max(rows, 1)), SEED)
+    got = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "h").limit(COMMON).collect()
+    h, c = np.array([r.h for r in got], np.int64).view(np.uint64), np.array([r.c for r in got], np.int64)
+    return h[np.argsort(h)], c[np.argsort(h)]
+
+
+def _prefixes(docs: DataFrame, rows: int) -> DataFrame:
+    """(k, fp, n, pos): of each set the shingles that come first, rare ones before common ones.
+
+    Sets with a similarity of at least 4/5 share more than n - ceil(4n / 5) places of either
+    can miss, so they share one of these whatever the order is; the order saves work only.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(_common(docs, rows))
+
+    def run(parts):
+        common, counts = shared.value
+        seen: set[int] = set()  # copies in one task give their rows once
+        for b in parts:
+            out = []
+            for h in map(_shingles, _texts(b, 1)):
+                if not len(h) or (fp := _set_id(h)) in seen:
+                    continue
+                if len(seen) < 1 << 20:
+                    seen.add(fp)
+                if len(common):
+                    i = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    order = np.where(common[i] == h, counts[i], 0).argsort(kind="stable")
+                else:
+                    order = np.arange(len(h))
+                first = h[order[: len(h) - -(-4 * len(h) // 5) + 1]].view(np.int64)
+                out.append((first, np.full(len(first), fp, np.int64), np.full(len(first), len(h), np.int32), np.arange(len(first), dtype=np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["k", "fp", "n", "pos"])
+
+    return id_text(docs).mapInArrow(run, "k long, fp long, n int, pos int")
+
+
+def _candidates(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
+    """(u, v), u > v: pairs of sets that can be as similar; none that is gets lost.
+
+    They share a prefix shingle, and sizes, places of that shingle and parities allow it.
+    """
+    w = Window.partitionBy("k")
+    index = _prefixes(docs, rows).withColumn("least", F.min("fp").over(w)).withColumn("most", F.max("fp").over(w)).where("least <> most").drop("least", "most")
+    met = staged(staged(index, "prefixes").distinct().join(nodes.select("fp", *SKETCH), "fp"), "met")
+    other = met.select("k", *(F.col(c).alias(f"o_{c}") for c in ("fp", "n", "pos", *SKETCH)))
+    need = F.col("n") + F.col("o_n")  # 9 * common >= 4 * need
+    most = F.least("pos", "o_pos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) - 1
+    odd = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in SKETCH), F.lit(0))
+    fits = (5 * F.least("n", "o_n") >= 4 * F.greatest("n", "o_n")) & (9 * most >= 4 * need) & (9 * odd <= need)
+    return met.join(other, "k").where((F.col("fp") > F.col("o_fp")) & fits).select(F.col("fp").alias("u"), F.col("o_fp").alias("v")).distinct()
+
+
+def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(fp, hs) from one row for each of `reps` (doc_id, th)."""
+
+    def run(parts):
+        for b in parts:
+            sets = [_shingles(t) for t in _texts(b, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["fp", "hs"])
+
+    rows = id_text(docs).withColumn("th", F.xxhash64("text"))
+    found = rows.join(reps.select(F.col("doc_id").alias("i"), F.col("th").alias("t")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left_semi")
+    return found.select("text").mapInArrow(run, "fp long, hs array<long>").groupBy("fp").agg(F.first("hs").alias("hs"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, th, component): rows linked, also over others, by a Jaccard similarity of
+    at least 0.8 of their sets of five-word shingles.  Texts without words are one component.
+
+    Candidates are verified exactly.  Those within a component change nothing any more, so for
+    a few rounds each set is compared with its least candidate only, then all that are left.
+    """
+    fps = staged(shingle_sets(docs), "sets")
+    rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep")
+    nodes = staged(fps.groupBy("fp").agg(rep, *(F.min(c).alias(c) for c in SKETCH)), "nodes")
+    left = staged(_candidates(docs, nodes, fps.count()), "candidates")
+    ends = left.select(F.col("u").alias("fp")).unionAll(left.select(F.col("v").alias("fp"))).distinct()
+    sets = staged(_sets(docs, nodes.join(ends, "fp", "left_semi").select("rep.doc_id", "rep.th")), "shingles")
+    a, b = (sets.select(F.col("fp").alias(x), F.col("hs").alias(f"h{x}")) for x in "uv")
+    common = F.size(F.array_intersect("hu", "hv"))
+    edges, comp = None, None
+    for last in (*[False] * ROUNDS, True):
+        if left.isEmpty():
+            break
+        pick = left if last else left.groupBy("u").agg(F.min("v").alias("v"))
+        good = staged(pick.join(a, "u").join(b, "v").where(9 * common >= 4 * (F.size("hu") + F.size("hv"))).select("u", "v"), "links")
+        edges = good if edges is None else edges.unionAll(good)
+        comp = staged(connected_components(edges), "components")
+        if not last:
+            cu, cv = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+            apart = F.coalesce("cu", "u") != F.coalesce("cv", "v")
+            left = staged(left.join(pick, ["u", "v"], "left_anti").join(cu, "u", "left").join(cv, "v", "left").where(apart).select("u", "v"), "candidates")
+    if comp is None:
+        return fps.select("doc_id", "fp", "th", F.col("fp").alias("component"))
+    return fps.join(comp, fps.fp == comp.node, "left").select("doc_id", "fp", "th", F.coalesce("component", "fp").alias("component"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of each component stays, that with the smallest doc_id.
+    """Pipeline stage: one row of each component of jaccard_components stays, that with the
+    smallest doc_id.
 
-    Of rows with one id the one with the least fingerprint and text hash counts, and of rows
+    Of rows with one id the one with the least set and text hash counts, and of rows
     that are the same any one; a row without an id stays only if its component has no id.
     Columns are those of `docs`.
     """
     cols = docs.columns
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "th")
-    heads = simhash_components(docs).groupBy("component").agg(F.min(rank).alias("h")).select(F.col("h.doc_id").alias("__i"), F.col("h.th").alias("__t")).distinct()
+    heads = jaccard_components(docs).groupBy("component").agg(F.min(rank).alias("h")).select(F.col("h.doc_id").alias("__i"), F.col("h.th").alias("__t")).distinct()
     rows = docs.select(F.struct(*cols).alias("__row"), F.col("doc_id").cast("long").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__x"))
     kept = rows.join(heads, F.col("__d").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__t")), "left_semi")
     return kept.groupBy("__d", "__x").agg(F.first("__row").alias("__row")).select("__row.*")

@@ -296,6 +296,43 @@ def test_fingerprints_and_components(spark):
     assert sorted(((d, f & (2**64 - 1), c) for d, f, c in got), key=str) == want
 
 
+def five_word_sets(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_near_duplicate_stage_matches_brute_force_jaccard(spark):
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefgh", k=4)) for _ in range(3000)]
+    docs, n = [], 0
+    for _ in range(80):
+        base = r.choices(words, k=r.choice([3, 8, 30, 45, 60, 120, 400, 900]))
+        for _ in range(r.choice([1, 2, 2, 6])):
+            copy = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, len(base) // 45])):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            docs.append((n, " ".join(copy) + r.choice(["", " \n"])))
+            n += 1
+    licence = " ".join(r.choices(words, k=40))
+    docs += [(n + i, licence + " " + " ".join(r.choices(words, k=r.choice([6, 9, 60])))) for i in range(60)] + [(None, None), (n + 99, " "), (None, docs[5][1])]
+    sets = [five_word_sets(t) for _, t in docs]
+    comp = list(range(len(docs)))
+    near = 0
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            near += sets[i] != sets[j]
+            comp = [comp[i] if c == comp[j] else c for c in comp]
+    assert near > 30
+    heads = {}
+    for c, (d, _) in zip(comp, docs):
+        heads[c] = min(heads.get(c, d), d, key=lambda x: (x is None, x or 0))
+    for rounds in (0, simhash.ROUNDS):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(simhash, "ROUNDS", rounds)
+            got = [x.doc_id for x in simhash.stage(spark, frame(spark, docs), SF).collect()]
+        assert sorted(got, key=key) == sorted(heads.values(), key=key)
+
+
 # ---- 8 ----------------------------------------------------------------------------------
 
 
