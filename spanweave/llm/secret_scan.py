@@ -13,6 +13,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,14 @@ FINDINGS = 6000
 #: Characters on either side that count as a finding's neighbourhood.
 AROUND = 60
 
-_ASSIGNED = r"(?i:\b(?:[a-z0-9_]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)s?))[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>,;]{6,512})"
-_SHAPES = r"\b(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk-[A-Za-z0-9_-]{20,200}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|[A-Za-z]+://[^\s:/@]{1,64}:[^\s:/@]{3,64}@[^\s/]{1,200})"
-_BLOB = r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{20,512}={0,2})(?![A-Za-z0-9+/_=-])"
-_PEM = r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}(?:-----END [A-Z ]*PRIVATE KEY-----)?)"
+# No pattern caps a finding: each runs to the end of its token (or END line).  Possessive
+# quantifiers keep that linear.
+_ASSIGNED = r"(?i:\b(?:[a-z0-9_]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)s?))[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?!-----BEGIN )([^\s\"'<>,;]{6,}+)"
+_SHAPES = r"\b(AKIA[0-9A-Z]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[0-9A-Za-z_-]{35,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+|[A-Za-z]++://[^\s:/@]++:[^\s:/@]{3,}+@[^\s/]++)"
+_BLOB = r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2})(?![A-Za-z0-9+/_=-])"
+# Any body up to an END line; where that was cut off, what can stand in a key.
+_BEGIN, _END = "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----END [A-Z ]*PRIVATE KEY-----"
+_PEM = rf"({_BEGIN}(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+{_END}|(?:(?<=\n)(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*+|\\+[nrt]|[A-Za-z0-9+/=\s])*+))"
 PATTERN = re.compile("|".join((_ASSIGNED, _SHAPES, _BLOB, _PEM)))
 KINDS = ("assigned", "shaped", "blob", "pem")
 #: A text without any of these can't hold a finding; a cheap first look.
@@ -66,7 +71,8 @@ def features(before: str, found: str, after: str, kind: str) -> list[float]:
     classes = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in found]
     changed = sum(a != b for a, b in zip(classes, classes[1:]))
     counts = np.bincount(classes, minlength=4) if classes else np.zeros(4)
-    share = [found.count(c) / n for c in set(found)]
+    often = Counter(found).values()
+    share = [c / n for c in often]
     vowels = [c in "aeiouAEIOU" for c, k in zip(found, classes) if k in (1, 2)]
     run = best = 0
     for c, k in zip(found, classes):
@@ -82,7 +88,7 @@ def features(before: str, found: str, after: str, kind: str) -> list[float]:
         sum(len(w) for w in _WORD.findall(found)) / n, float(bool(_HEX.fullmatch(found))),
         found.count("/") / n, float("/" in stretch.replace("//", "", 1) and kind != "shaped"), float(bool(re.search(r"(?i)test|example|fixture|mock|sample|docs?/", stretch))),
         float(len(parts & FOR)), float(len(parts & AGAINST)), float(kind == "assigned"), float(kind in ("shaped", "pem")),
-        max((found.count(c) for c in set(found)), default=0) / n, float(bool(_UUID.fullmatch(found))),
+        max(often, default=0) / n, float(bool(_UUID.fullmatch(found))),
     ]
 
 
