@@ -9,6 +9,9 @@ Texts are compared in lower case with each run of white space as one blank.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,6 +151,18 @@ def contaminated(docs: DataFrame, bench: DataFrame, rate: float = BUDGET, block_
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
+def _holds(spark, block: list[tuple[int, str]], rate: float = BUDGET):
+    """A column function: whether a text holds an item of the block."""
+    shared = spark.sparkContext.broadcast(block)  # at most BLOCK_BYTES of text
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = Matcher(shared.value, rate)
+        for texts in parts:
+            yield pd.Series([bool(m.find(t)) for t in texts], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -155,8 +170,8 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold an item within its error budget go.
 
-    The ids found are joined back; rows with a null id are matched null-safely, so one bad row
-    without an id takes all rows without an id.
+    Each row is judged by its own text, so ids may repeat or be missing.
     """
-    hit = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__i")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["__i"]), "left_anti")
+    for block in _blocks(table(spark, sf_dir, "benchmark")):
+        docs = docs.where(~_holds(spark, block)(F.coalesce("text", F.lit(""))))
+    return docs

@@ -400,6 +400,18 @@ def test_decontamination_matches_brute_force(spark):
         assert got == sorted(want, key=str)
 
 
+def test_decontamination_stage_judges_each_row(spark, tmp_path):
+    item = "which of these rivers is the longest one in the southern part of the country"
+    spark.createDataFrame([(1, item), (2, "x" * 40 + " another item that is in no document")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad = f"lead {item.upper()} tail"
+    docs = [(None, bad), (None, "clean one"), (None, "clean two"), (None, None), (7, bad), (7, "clean three"), (7, "clean three"), (8, bad), (9, "")]
+    for limit in (decontam.BLOCK_BYTES, 60):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decontam._blocks, "__defaults__", (limit,))
+            got = decontam.stage(spark, frame(spark, docs), str(tmp_path))
+            assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted((d for d in docs if d[1] != bad), key=str)
+
+
 # ---- 9 ----------------------------------------------------------------------------------
 
 
