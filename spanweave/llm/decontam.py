@@ -4,11 +4,14 @@ A test item may occur in a document with an error budget of k edits, a fixed sha
 length.  The item is cut into k + 1 pieces: at most k of them can hold an edit, so at least
 one occurs exactly.  All pieces of a block of items are found in one pass by an automaton;
 around each hit Myers' bit-parallel recurrence gives the edit distance of the best occurrence.
-Texts are compared in lower case with each run of white space as one blank.
+An item too short for an edit (k = 0) counts only as whole words.  Items without letters match
+nothing.  Texts are compared in lower case with each run of white space as one blank.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,13 +76,27 @@ def occurrence(item: str, text: str, k: int) -> tuple[int, int, int] | None:
     return best, stop - next(j for s, j in back if s == best), stop
 
 
+#: Letters of scripts that are written without blanks: Thai to Tibetan, Myanmar, Khmer, and from CJK on.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\uabff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _joined(a: str, b: str) -> bool:
+    """Whether neighbouring characters belong to one word."""
+    return all((c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") and not _UNSPACED.match(c) for c in (a, b))
+
+
+def _whole(text: str, start: int, stop: int) -> bool:
+    """Whether text[start:stop] begins and ends at word boundaries."""
+    return not (start and _joined(text[start - 1], text[start])) and not (stop < len(text) and _joined(text[stop - 1], text[stop]))
+
+
 class Matcher:
     """Finds the items of a block in texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = BUDGET):
         import ahocorasick
 
-        self.items = [(i, t, budget(t, rate)) for i, x in items if (t := normal(x))]
+        self.items = [(i, t, budget(t, rate)) for i, x in items if any(map(str.isalpha, t := normal(x)))]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
             cuts = [len(t) * q // (k + 1) for q in range(k + 2)]
@@ -103,6 +120,10 @@ class Matcher:
         for n, starts in near.items():
             item, x, k = self.items[n]
             starts.sort()
+            if not k:  # each start is an occurrence
+                if (s := next((s for s in starts if _whole(t, s, s + len(x))), None)) is not None:
+                    out.append((item, 0, s, s + len(x)))
+                continue
             found, low = [], starts[0]
             for s, after in zip(starts, [*starts[1:], None]):
                 if after is None or after - s > 2 * k + 1:  # else one window takes both

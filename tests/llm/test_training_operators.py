@@ -412,6 +412,14 @@ def test_decontamination_stage_judges_each_row(spark, tmp_path):
             assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted((d for d in docs if d[1] != bad), key=str)
 
 
+def test_short_items_match_as_whole_words_and_none_without_letters(spark):
+    items = [(1, "."), (2, "42"), (3, " yes "), (4, "9" * 30), (5, "op. 7"), (6, "今日は"), (7, "c++")]
+    docs = [(1, "Eyes, yesterday 42 ."), (2, "eyes. (Yes)"), (3, "9" * 50), (4, "no op. 71 but op. 7"), (5, "明今日は雨"), (6, "cc++ or C++."), (7, "yes\u0301 yes_")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(x) for x in decontam.contaminated(frame(spark, docs), bench).collect()}
+    assert got == {(2, 3, 0, 7, 10), (4, 5, 0, 14, 19), (5, 6, 0, 1, 4), (6, 7, 0, 8, 11)}
+
+
 # ---- 9 ----------------------------------------------------------------------------------
 
 
