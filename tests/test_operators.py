@@ -205,3 +205,12 @@ def test_stream_of_events_matches_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("bins").collect())) == sorted(map(tuple, binning.tumbling(events).collect()))
+
+
+def test_registered_hmm_is_fitted_to_its_threshold(spark, monkeypatch):
+    from spanweave.plans import catalog_models
+
+    seen = []
+    monkeypatch.setattr(catalog_models.hm, "fit", lambda *a, **k: seen.append(k) or (a[4], []))
+    catalog_models._hmm(spark.createDataFrame([("a", 100 * i) for i in range(9)], "chrom string, start long"))
+    assert seen == [{}]
