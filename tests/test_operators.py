@@ -214,3 +214,12 @@ def test_registered_hmm_is_fitted_to_its_threshold(spark, monkeypatch):
     monkeypatch.setattr(catalog_models.hm, "fit", lambda *a, **k: seen.append(k) or (a[4], []))
     catalog_models._hmm(spark.createDataFrame([("a", 100 * i) for i in range(9)], "chrom string, start long"))
     assert seen == [{}]
+
+
+def test_registered_permutations_resolve_usual_levels(spark, monkeypatch):
+    from spanweave.plans import catalog_models, registry
+
+    seen = []
+    monkeypatch.setattr(catalog_models.en, "permutation_test", lambda *a, **k: seen.append(k["simulations"]) or a[0])
+    registry.QUERIES["permutation_enrichment"](spark, "/root/testdata/sf0.001")
+    assert 2 / (seen[0] + 1) < 0.01
