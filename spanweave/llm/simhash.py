@@ -6,8 +6,9 @@ with one bit masked out; fingerprints that meet in a bucket are candidates and a
 by the count of differing bits.  Equal fingerprints are one node from the start, so a group
 of exact copies costs one signature set whatever its size.
 
-The pipeline stage links texts by the Jaccard similarity of their sets of five-word shingles
-instead: prefixes of the sets give candidates without a miss, and each link is verified.
+The pipeline stage links texts by the Jaccard similarity of their sets of five-word shingles.
+SimHash links of those shingles come first, each verified by its exact similarity; then an
+index of prefixes of the sets adds the pairs that two bits don't reach, so that none is missed.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ BUCKET = 64
 STAGE_WORDS = 5
 #: Texts whose shingles are counted to order them, and counted shingles kept; both save work only.
 SAMPLE, COMMON = 8000, 100_000
-#: Rounds in which each set is compared with one candidate, before all candidates left are.
-ROUNDS = 3
+#: Rounds in which each set is compared with one pivot, before all candidates left are.
+ROUNDS = 2
+#: Input bytes for each partition of the prefix index; most rows of a broadcast side.
+PARTITION, SMALL = 24 << 20, 1_000_000
 
 
 def _hashes(text: bytes, words: int) -> np.ndarray:
@@ -93,9 +96,8 @@ def links(d: DataFrame, bucket: int = BUCKET) -> DataFrame:
     variants (two bits of the other half masked, or one where this half has a masked bit);
     sharing such a variant implies a link, so tying all to the least member loses none.
     """
-    sig = _signatures(d)
-    multi = sig.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    met = staged(sig.join(multi, "k"), "signatures")
+    sig = _signatures(d).repartition(partitions(d.sparkSession), "k")
+    met = staged(sig.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1"), "signatures")
     kind = F.shiftright("k", 32)  # seg * 33 + j
     bit = F.when(kind >= 33, kind - 33 + 32).otherwise(kind).cast("int")
     cold = met.where(F.col("n") <= bucket).select("k", "fp", F.pmod(kind, F.lit(33)).alias("j"), bit.alias("bit"))
@@ -148,14 +150,6 @@ def _shingles(text: bytes) -> np.ndarray:
     return np.unique(_hashes(text, STAGE_WORDS))
 
 
-def _parity(h: np.ndarray) -> np.ndarray:
-    """256 bits (4 longs): how often each is hit, modulo 2.
-
-    Two of them differ in no more bits than the sets have elements that are in one only.
-    """
-    return np.packbits((np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8), bitorder="little").view("<i8")
-
-
 def _set_id(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) if len(h) else 0
 
@@ -166,19 +160,25 @@ def _texts(batch: pa.RecordBatch, column: int):
     return (raw[at[i] : at[i + 1]] for i in range(batch.num_rows))
 
 
-SKETCH = [f"p{i}" for i in range(4)]
+def _rows(docs: DataFrame) -> DataFrame:
+    return id_text(docs).withColumn("th", F.xxhash64("text"))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, p0..p3, th) for each row: fp names the set of its n shingles."""
+    """(doc_id, fp, n, sim, th) for each row: fp names the set of its n shingles, sim is the
+    SimHash of the shingles, th a hash of the text."""
 
     def run(parts):
         for b in parts:
-            sets = [(_set_id(h), len(h), *_parity(h).tolist()) for h in map(_shingles, _texts(b, 1))]
-            cols = list(zip(*sets)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:]), b.column(2)], ["doc_id", "fp", "n", *SKETCH, "th"])
+            out = []
+            for t in _texts(b, 1):
+                all_h = _hashes(t, STAGE_WORDS)
+                h = np.unique(all_h)
+                out.append((_set_id(h), len(h), _majority(all_h) if len(h) else 0))
+            cols = [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, b.column(2)], ["doc_id", "fp", "n", "sim", "th"])
 
-    return id_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, n int, p0 long, p1 long, p2 long, p3 long, th long")
+    return _rows(docs).mapInArrow(run, "doc_id long, fp long, n int, sim long, th long")
 
 
 def _common(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,14 +195,17 @@ def _common(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return h[np.argsort(h)], c[np.argsort(h)]
 
 
-def _prefixes(docs: DataFrame, rows: int) -> DataFrame:
-    """(k, fp, n, pos): of each set the shingles that come first, rare ones before common ones.
+def _reach(n):
+    """How many shingles of a set are indexed: two sets with a similarity of at least 4/5 share
+    at least 4/5 of the places of either, so one of these whatever the order is."""
+    return n - (4 * n + 4) // 5 + 1
 
-    Sets with a similarity of at least 4/5 share more than n - ceil(4n / 5) places of either
-    can miss, so they share one of these whatever the order is; the order saves work only.
-    """
+
+def _prefixes(docs: DataFrame, rows: int) -> DataFrame:
+    """(k, fp, n): of each set the shingles that come first, rare ones before common ones; the
+    order saves work only.  Shingles that one set alone has are dropped."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_common(docs, rows))
+    shared = spark.sparkContext.broadcast(_common(docs, rows))  # at most COMMON pairs of numbers
 
     def run(parts):
         common, counts = shared.value
@@ -219,72 +222,113 @@ def _prefixes(docs: DataFrame, rows: int) -> DataFrame:
                     order = np.where(common[i] == h, counts[i], 0).argsort(kind="stable")
                 else:
                     order = np.arange(len(h))
-                first = h[order[: len(h) - -(-4 * len(h) // 5) + 1]].view(np.int64)
-                out.append((first, np.full(len(first), fp, np.int64), np.full(len(first), len(h), np.int32), np.arange(len(first), dtype=np.int32)))
+                first = h[order[: _reach(len(h))]].view(np.int64)
+                out.append((first, np.full(len(first), fp, np.int64), np.full(len(first), len(h), np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["k", "fp", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["k", "fp", "n"])
 
-    return id_text(docs).mapInArrow(run, "k long, fp long, n int, pos int")
+    dealt = id_text(docs).mapInArrow(run, "k long, fp long, n int").repartition(_parts(docs), "k")
+    w = Window.partitionBy("k")
+    one = dealt.groupBy("k", "fp").agg(F.first("n").alias("n"))  # dealt by k already: no shuffle
+    return one.withColumns({"least": F.min("fp").over(w), "most": F.max("fp").over(w)}).where("least <> most").drop("least", "most")
 
 
-def _candidates(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
-    """(u, v), u > v: pairs of sets that can be as similar; none that is gets lost.
+def _parts(docs: DataFrame) -> int:
+    """Partitions of a shuffle of about as many bytes as the texts have."""
+    size = id_text(docs).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), size // PARTITION + 1)
+
+
+def _small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """Marked for broadcast if its rows (of two or three numbers) are counted to be few; a larger
+    one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
-    They share a prefix shingle, and sizes, places of that shingle and parities allow it.
-    """
-    w = Window.partitionBy("k")
-    index = _prefixes(docs, rows).withColumn("least", F.min("fp").over(w)).withColumn("most", F.max("fp").over(w)).where("least <> most").drop("least", "most")
-    met = staged(staged(index, "prefixes").distinct().join(nodes.select("fp", *SKETCH), "fp"), "met")
-    other = met.select("k", *(F.col(c).alias(f"o_{c}") for c in ("fp", "n", "pos", *SKETCH)))
-    need = F.col("n") + F.col("o_n")  # 9 * common >= 4 * need
-    most = F.least("pos", "o_pos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) - 1
-    odd = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in SKETCH), F.lit(0))
-    fits = (5 * F.least("n", "o_n") >= 4 * F.greatest("n", "o_n")) & (9 * most >= 4 * need) & (9 * odd <= need)
-    return met.join(other, "k").where((F.col("fp") > F.col("o_fp")) & fits).select(F.col("fp").alias("u"), F.col("o_fp").alias("v")).distinct()
 
+def _same_row(i: str, t: str):
+    return F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("th") == F.col(t))
 
-def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(fp, hs) from one row for each of `reps` (doc_id, th)."""
+
+def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs of sets (u, v) that have a similarity of at least 0.8, exactly."""
 
     def run(parts):
         for b in parts:
             sets = [_shingles(t) for t in _texts(b, 0)]
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["fp", "hs"])
 
-    rows = id_text(docs).withColumn("th", F.xxhash64("text"))
-    found = rows.join(reps.select(F.col("doc_id").alias("i"), F.col("th").alias("t")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left_semi")
-    return found.select("text").mapInArrow(run, "fp long, hs array<long>").groupBy("fp").agg(F.first("hs").alias("hs"))
+    ends = pairs.select(F.col("u").alias("fp")).unionAll(pairs.select(F.col("v").alias("fp"))).distinct()
+    reps = staged(nodes.join(ends, "fp", "left_semi").select(F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("t")), "ends")
+    found = _rows(docs).join(_small(reps), _same_row("i", "t"), "left_semi").select("text").mapInArrow(run, "fp long, hs array<long>")
+    sets = staged(found.dropDuplicates(["fp"]), "shingles")
+    a, b = (sets.select(F.col("fp").alias(x), F.col("hs").alias(f"h{x}")) for x in "uv")
+    common = F.size(F.array_intersect("hu", "hv"))
+    return pairs.join(a, "u").join(b, "v").where(9 * common >= 4 * (F.size("hu") + F.size("hv"))).select("u", "v")
+
+
+def _labelled(met: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
+    """Index rows with their component and the pivot of their bucket: a set of the largest
+    component that is met there, another one in each round."""
+    size = comp.groupBy("component").agg(F.count("*").alias("z"))
+    names = comp.join(size, "component").select(F.col("node").alias("fp"), F.col("component").alias("c"), "z")
+    rows = met.join(names, "fp", "left").select("k", "fp", "n", F.coalesce("c", "fp").alias("c"), F.coalesce("z", F.lit(1)).alias("z"))
+    best = F.min(F.struct((-F.col("z")).alias("z"), "c", F.xxhash64(F.lit(turn), "fp").alias("at"), "fp", "n")).over(Window.partitionBy("k"))
+    return rows.withColumn("top", best).drop("z")
+
+
+def _near_sizes():
+    return 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
+
+
+def _tied(labelled: DataFrame) -> DataFrame:
+    """(u, v): each set with the pivot of another component that most of its buckets name."""
+    far = labelled.select("fp", "n", F.col("top.fp").alias("v"), F.col("top.n").alias("m"), F.col("top.c").alias("tc"), "c").where((F.col("c") != F.col("tc")) & _near_sizes())
+    often = far.groupBy("fp", "v").agg(F.count("*").alias("a"))
+    best = often.groupBy("fp").agg(F.max(F.struct("a", "v")).alias("b"))
+    return best.select(F.greatest("fp", "b.v").alias("u"), F.least("fp", "b.v").alias("v")).distinct()
+
+
+def _candidates(labelled: DataFrame) -> DataFrame:
+    """(u, v), u > v: pairs of sets of different components that can be as similar; none that
+    is gets lost.
+
+    In a bucket every such pair has a side outside the pivot's component.  A pair that shares
+    `a` indexed shingles shares at most those and the rest of one of the two sets.
+    """
+    outside = labelled.where("c <> top.c").select("k", "fp", "n", "c")
+    other = labelled.select("k", F.col("fp").alias("g"), F.col("n").alias("m"), F.col("c").alias("d"), (F.col("c") == F.col("top.c")).alias("inner"))
+    met = outside.join(other, "k").where((F.col("c") != F.col("d")) & (F.col("inner") | (F.col("fp") < F.col("g"))) & _near_sizes())
+    pairs = met.groupBy(F.greatest("fp", "g").alias("u"), F.least("fp", "g").alias("v")).agg(F.count("*").alias("a"), F.first(F.col("n") + F.col("m")).alias("need"), F.first(F.greatest("n", "m")).alias("big"))
+    rest = F.expr("(4 * big + 4) div 5 - 1")  # what the larger set doesn't index
+    return pairs.where(9 * (F.col("a") + rest) >= 4 * F.col("need")).select("u", "v")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, th, component): rows linked, also over others, by a Jaccard similarity of
     at least 0.8 of their sets of five-word shingles.  Texts without words are one component.
 
-    Candidates are verified exactly.  Those within a component change nothing any more, so for
-    a few rounds each set is compared with its least candidate only, then all that are left.
+    Links are verified exactly.  Candidates come from SimHash links, then from a few rounds that
+    compare each set with one pivot of its buckets, at last from all indexed pairs of different
+    components; pairs within a component change nothing any more.
     """
     fps = staged(shingle_sets(docs), "sets")
     rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep")
-    nodes = staged(fps.groupBy("fp").agg(rep, *(F.min(c).alias(c) for c in SKETCH)), "nodes")
-    left = staged(_candidates(docs, nodes, fps.count()), "candidates")
-    ends = left.select(F.col("u").alias("fp")).unionAll(left.select(F.col("v").alias("fp"))).distinct()
-    sets = staged(_sets(docs, nodes.join(ends, "fp", "left_semi").select("rep.doc_id", "rep.th")), "shingles")
-    a, b = (sets.select(F.col("fp").alias(x), F.col("hs").alias(f"h{x}")) for x in "uv")
-    common = F.size(F.array_intersect("hu", "hv"))
-    edges, comp = None, None
-    for last in (*[False] * ROUNDS, True):
-        if left.isEmpty():
-            break
-        pick = left if last else left.groupBy("u").agg(F.min("v").alias("v"))
-        good = staged(pick.join(a, "u").join(b, "v").where(9 * common >= 4 * (F.size("hu") + F.size("hv"))).select("u", "v"), "links")
-        edges = good if edges is None else edges.unionAll(good)
+    nodes = staged(fps.groupBy("fp").agg(rep, F.min("sim").alias("sim"), F.min("n").alias("n")), "nodes")
+    sims = staged(nodes.where("n > 0").groupBy("sim").agg(F.min("fp").alias("lead")), "fingerprints")
+    near = links(sims.select(F.col("sim").alias("fp")))
+    lead = lambda x: sims.select(F.col("sim").alias(x), F.col("lead").alias(f"l{x}"))
+    across = near.join(lead("u"), "u").join(lead("v"), "v").select("lu", "lv")
+    equal = nodes.where("n > 0").join(sims, "sim").where("fp <> lead").select(F.col("fp").alias("lu"), F.col("lead").alias("lv"))
+    first = across.unionAll(equal).select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v"))
+    edges = staged(_alike(docs, nodes, staged(first, "candidates")), "links")
+    comp = staged(connected_components(edges), "components")
+    met = staged(_prefixes(docs, fps.count()), "prefixes")
+    for turn in range(ROUNDS + 1):
+        pairs = staged((_tied if turn < ROUNDS else _candidates)(_labelled(met, comp, turn)), "candidates")
+        if pairs.isEmpty():
+            continue
+        edges = edges.unionAll(staged(_alike(docs, nodes, pairs), "links"))
         comp = staged(connected_components(edges), "components")
-        if not last:
-            cu, cv = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
-            apart = F.coalesce("cu", "u") != F.coalesce("cv", "v")
-            left = staged(left.join(pick, ["u", "v"], "left_anti").join(cu, "u", "left").join(cv, "v", "left").where(apart).select("u", "v"), "candidates")
-    if comp is None:
-        return fps.select("doc_id", "fp", "th", F.col("fp").alias("component"))
     return fps.join(comp, fps.fp == comp.node, "left").select("doc_id", "fp", "th", F.coalesce("component", "fp").alias("component"))
 
 
@@ -294,11 +338,20 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows with one id the one with the least set and text hash counts, and of rows
     that are the same any one; a row without an id stays only if its component has no id.
-    Columns are those of `docs`.
+    Null texts count as empty ones, and all texts without words are one component.  An empty
+    table gives an empty one.  Columns are those of `docs`.
     """
-    cols = docs.columns
+    found = staged(jaccard_components(docs), "components")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "th")
-    heads = jaccard_components(docs).groupBy("component").agg(F.min(rank).alias("h")).select(F.col("h.doc_id").alias("__i"), F.col("h.th").alias("__t")).distinct()
-    rows = docs.select(F.struct(*cols).alias("__row"), F.col("doc_id").cast("long").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__x"))
-    kept = rows.join(heads, F.col("__d").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__t")), "left_semi")
-    return kept.groupBy("__d", "__x").agg(F.first("__row").alias("__row")).select("__row.*")
+    heads = found.groupBy("component").agg(F.min(rank).alias("h"))  # h sorts null ids last
+    times = found.groupBy("component", "doc_id", "th").agg(F.count("*").alias("times"), F.min("fp").alias("fp"))
+    judged = times.join(heads, "component").withColumn("head", rank.eqNullSafe(F.col("h")))
+    marks = staged(judged.where(~F.col("head") | (F.col("times") > 1)).select(F.col("doc_id").alias("__i"), F.col("th").alias("__t"), F.col("head").alias("__head")), "marks")
+    cols = [F.col(c) for c in docs.columns]
+    rows = docs.select(F.struct(*cols).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    kept = rows.join(_small(marks), _same_row("__i", "__t"), "left_anti").select("__row.*")
+    twice = marks.where("__head")
+    if twice.isEmpty():
+        return kept
+    one = rows.join(_small(twice), _same_row("__i", "__t"), "left_semi").groupBy("doc_id", "th").agg(F.first("__row").alias("__row"))
+    return kept.unionAll(one.select("__row.*"))
