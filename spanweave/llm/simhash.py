@@ -7,8 +7,8 @@ by the count of differing bits.  Equal fingerprints are one node from the start,
 of exact copies costs one signature set whatever its size.
 
 The pipeline stage links texts by the Jaccard similarity of their sets of five-word shingles.
-SimHash links of those shingles come first, each verified by its exact similarity; then an
-index of prefixes of the sets adds the pairs that two bits don't reach, so that none is missed.
+SimHash links of those shingles come first, each verified by its exact similarity; an index of
+prefixes of the sets adds the pairs that two bits don't reach, so that none is missed.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ BUCKET = 64
 STAGE_WORDS = 5
 #: Texts whose shingles are counted to order them, and counted shingles kept; both save work only.
 SAMPLE, COMMON = 8000, 100_000
-#: Rounds in which each set is compared with one pivot, before all candidates left are.
-ROUNDS = 2
 #: Input bytes for each partition of the prefix index; most rows of a broadcast side.
 PARTITION, SMALL = 24 << 20, 1_000_000
 
@@ -164,24 +162,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return id_text(docs).withColumn("th", F.xxhash64("text"))
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, sim, th) for each row: fp names the set of its n shingles, sim is the
-    SimHash of the shingles, th a hash of the text."""
-
-    def run(parts):
-        for b in parts:
-            out = []
-            for t in _texts(b, 1):
-                all_h = _hashes(t, STAGE_WORDS)
-                h = np.unique(all_h)
-                out.append((_set_id(h), len(h), _majority(all_h) if len(h) else 0))
-            cols = [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, b.column(2)], ["doc_id", "fp", "n", "sim", "th"])
-
-    return _rows(docs).mapInArrow(run, "doc_id long, fp long, n int, sim long, th long")
-
-
-def _common(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of shingles that a sample of the texts repeats, by hash."""
 
     def run(parts):
@@ -189,7 +170,7 @@ def _common(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
             for t in _texts(b, 1):
                 yield pa.RecordBatch.from_arrays([pa.array(_shingles(t).view(np.int64))], ["h"])
 
-    some = id_text(docs).sample(min(1.0, SAMPLE / max(rows, 1)), SEED)
+    some = id_text(docs).sample(min(1.0, SAMPLE / max(docs.count(), 1)), SEED)
     got = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "h").limit(COMMON).collect()
     h, c = np.array([r.h for r in got], np.int64).view(np.uint64), np.array([r.c for r in got], np.int64)
     return h[np.argsort(h)], c[np.argsort(h)]
@@ -201,36 +182,54 @@ def _reach(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def _prefixes(docs: DataFrame, rows: int) -> DataFrame:
-    """(k, fp, n): of each set the shingles that come first, rare ones before common ones; the
-    order saves work only.  Shingles that one set alone has are dropped."""
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, n, sim, th, first) for each row: fp names the set of its n shingles, sim is
+    the SimHash of the shingles, th a hash of the text.
+
+    first has the shingles to index, rare ones before common ones; the order is one for all
+    sets and saves work only.  It is null for copies that a task has met already.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_common(docs, rows))  # at most COMMON pairs of numbers
+    shared = spark.sparkContext.broadcast(_common(docs))  # at most COMMON pairs of numbers
 
     def run(parts):
         common, counts = shared.value
-        seen: set[int] = set()  # copies in one task give their rows once
+        seen: set[int] = set()
         for b in parts:
             out = []
-            for h in map(_shingles, _texts(b, 1)):
-                if not len(h) or (fp := _set_id(h)) in seen:
-                    continue
-                if len(seen) < 1 << 20:
-                    seen.add(fp)
-                if len(common):
-                    i = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    order = np.where(common[i] == h, counts[i], 0).argsort(kind="stable")
-                else:
+            for t in _texts(b, 1):
+                all_h = _hashes(t, STAGE_WORDS)
+                h, first, fp = np.unique(all_h), None, 0
+                if len(h) and (fp := _set_id(h)) not in seen:
+                    if len(seen) < 1 << 20:
+                        seen.add(fp)
                     order = np.arange(len(h))
-                first = h[order[: _reach(len(h))]].view(np.int64)
-                out.append((first, np.full(len(first), fp, np.int64), np.full(len(first), len(h), np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["k", "fp", "n"])
+                    if len(common):
+                        i = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                        order = np.where(common[i] == h, counts[i], 0).argsort(kind="stable")
+                    first = h[order[: _reach(len(h))]].view(np.int64)
+                out.append((fp, len(h), _majority(all_h) if len(h) else 0, first))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            fp, n, sim, first = (pa.array([o[c] for o in out], t) for c, t in enumerate(kinds))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, n, sim, b.column(2), first], ["doc_id", "fp", "n", "sim", "th", "first"])
+
+    return _rows(docs).mapInArrow(run, "doc_id long, fp long, n int, sim long, th long, first array<long>")
 
-    dealt = id_text(docs).mapInArrow(run, "k long, fp long, n int").repartition(_parts(docs), "k")
+
+def _fits(n: str, i: str, m: str, j: str):
+    """Whether sets of n and m shingles whose first common one has the places i and j can share
+    enough: that one, and at most what follows it in either.  Each similar pair fits there."""
+    return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) AND 9 * least({n} - {i}, {m} - {j}) >= 4 * ({n} + {m})")
+
+
+def _index(fps: DataFrame, parts: int) -> DataFrame:
+    """(k, fp, n, i, o): the indexed shingles k of each set, at place i, without those that one
+    set alone has; o is the next set (fp, n, i) of the bucket in an order of its own."""
+    dealt = fps.where("first IS NOT NULL").select("fp", "n", F.posexplode("first").alias("i", "k")).repartition(parts, "k")
+    one = dealt.groupBy("k", "fp").agg(F.first("n").alias("n"), F.first("i").alias("i"))  # dealt by k already: no shuffle
     w = Window.partitionBy("k")
-    one = dealt.groupBy("k", "fp").agg(F.first("n").alias("n"))  # dealt by k already: no shuffle
-    return one.withColumns({"least": F.min("fp").over(w), "most": F.max("fp").over(w)}).where("least <> most").drop("least", "most")
+    after = F.lead(F.struct("fp", "n", "i")).over(w.orderBy(F.xxhash64("k", "fp"), "fp"))
+    return one.withColumns({"least": F.min("fp").over(w), "most": F.max("fp").over(w), "o": after}).where("least <> most").drop("least", "most")
 
 
 def _parts(docs: DataFrame) -> int:
@@ -249,6 +248,10 @@ def _same_row(i: str, t: str):
     return F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("th") == F.col(t))
 
 
+def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+
+
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs of sets (u, v) that have a similarity of at least 0.8, exactly."""
 
@@ -266,70 +269,50 @@ def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(9 * common >= 4 * (F.size("hu") + F.size("hv"))).select("u", "v")
 
 
-def _labelled(met: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
-    """Index rows with their component and the pivot of their bucket: a set of the largest
-    component that is met there, another one in each round."""
-    size = comp.groupBy("component").agg(F.count("*").alias("z"))
-    names = comp.join(size, "component").select(F.col("node").alias("fp"), F.col("component").alias("c"), "z")
-    rows = met.join(names, "fp", "left").select("k", "fp", "n", F.coalesce("c", "fp").alias("c"), F.coalesce("z", F.lit(1)).alias("z"))
-    best = F.min(F.struct((-F.col("z")).alias("z"), "c", F.xxhash64(F.lit(turn), "fp").alias("at"), "fp", "n")).over(Window.partitionBy("k"))
-    return rows.withColumn("top", best).drop("z")
-
-
-def _near_sizes():
-    return 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
-
-
-def _tied(labelled: DataFrame) -> DataFrame:
-    """(u, v): each set with the pivot of another component that most of its buckets name."""
-    far = labelled.select("fp", "n", F.col("top.fp").alias("v"), F.col("top.n").alias("m"), F.col("top.c").alias("tc"), "c").where((F.col("c") != F.col("tc")) & _near_sizes())
-    often = far.groupBy("fp", "v").agg(F.count("*").alias("a"))
-    best = often.groupBy("fp").agg(F.max(F.struct("a", "v")).alias("b"))
-    return best.select(F.greatest("fp", "b.v").alias("u"), F.least("fp", "b.v").alias("v")).distinct()
-
+def _across(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """(u, v): all pairs of sets of different components that meet in a bucket and fit.
 
-def _candidates(labelled: DataFrame) -> DataFrame:
-    """(u, v), u > v: pairs of sets of different components that can be as similar; none that
-    is gets lost.
-
-    In a bucket every such pair has a side outside the pivot's component.  A pair that shares
-    `a` indexed shingles shares at most those and the rest of one of the two sets.
+    In a bucket every such pair has a side outside the largest component that is met there, so
+    a large group of near copies, once it is one component, makes no pairs with itself.
     """
-    outside = labelled.where("c <> top.c").select("k", "fp", "n", "c")
-    other = labelled.select("k", F.col("fp").alias("g"), F.col("n").alias("m"), F.col("c").alias("d"), (F.col("c") == F.col("top.c")).alias("inner"))
-    met = outside.join(other, "k").where((F.col("c") != F.col("d")) & (F.col("inner") | (F.col("fp") < F.col("g"))) & _near_sizes())
-    pairs = met.groupBy(F.greatest("fp", "g").alias("u"), F.least("fp", "g").alias("v")).agg(F.count("*").alias("a"), F.first(F.col("n") + F.col("m")).alias("need"), F.first(F.greatest("n", "m")).alias("big"))
-    rest = F.expr("(4 * big + 4) div 5 - 1")  # what the larger set doesn't index
-    return pairs.where(9 * (F.col("a") + rest) >= 4 * F.col("need")).select("u", "v")
+    size = comp.groupBy("component").agg(F.count("*").alias("z"))
+    names = comp.join(size, "component").select(F.col("node").alias("fp"), F.col("component").alias("c"), "z")
+    rows = met.drop("o").join(names, "fp", "left").select("k", "fp", "n", "i", F.coalesce("c", "fp").alias("c"), F.coalesce("z", F.lit(1)).alias("z"))
+    w = Window.partitionBy("k")
+    mixed = rows.withColumns({"top": F.max(F.struct("z", "c")).over(w), "low": F.min("c").over(w), "high": F.max("c").over(w)}).where("low <> high")
+    outside = mixed.where("c <> top.c").select("k", "fp", "n", "i", "c")
+    other = mixed.select("k", F.col("fp").alias("g"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"), (F.col("c") == F.col("top.c")).alias("inner"))
+    return _pairs(outside.join(other, "k").where("c <> d AND (inner OR fp < g)").where(_fits("n", "i", "m", "j")), "fp", "g")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, near: bool = True) -> DataFrame:
     """(doc_id, fp, th, component): rows linked, also over others, by a Jaccard similarity of
     at least 0.8 of their sets of five-word shingles.  Texts without words are one component.
 
-    Links are verified exactly.  Candidates come from SimHash links, then from a few rounds that
-    compare each set with one pivot of its buckets, at last from all indexed pairs of different
-    components; pairs within a component change nothing any more.
+    Links are verified exactly.  Candidates are SimHash links of the shingles and, with `near`,
+    neighbours in the buckets of the index, both in proportion to the input; then all pairs of
+    the index that fit and are in different components still, so that none is lost.
     """
     fps = staged(shingle_sets(docs), "sets")
     rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep")
     nodes = staged(fps.groupBy("fp").agg(rep, F.min("sim").alias("sim"), F.min("n").alias("n")), "nodes")
     sims = staged(nodes.where("n > 0").groupBy("sim").agg(F.min("fp").alias("lead")), "fingerprints")
-    near = links(sims.select(F.col("sim").alias("fp")))
+    signed = links(sims.select(F.col("sim").alias("fp")))
     lead = lambda x: sims.select(F.col("sim").alias(x), F.col("lead").alias(f"l{x}"))
-    across = near.join(lead("u"), "u").join(lead("v"), "v").select("lu", "lv")
-    equal = nodes.where("n > 0").join(sims, "sim").where("fp <> lead").select(F.col("fp").alias("lu"), F.col("lead").alias("lv"))
-    first = across.unionAll(equal).select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v"))
-    edges = staged(_alike(docs, nodes, staged(first, "candidates")), "links")
-    comp = staged(connected_components(edges), "components")
-    met = staged(_prefixes(docs, fps.count()), "prefixes")
-    for turn in range(ROUNDS + 1):
-        pairs = staged((_tied if turn < ROUNDS else _candidates)(_labelled(met, comp, turn)), "candidates")
-        if pairs.isEmpty():
-            continue
-        edges = edges.unionAll(staged(_alike(docs, nodes, pairs), "links"))
-        comp = staged(connected_components(edges), "components")
-    return fps.join(comp, fps.fp == comp.node, "left").select("doc_id", "fp", "th", F.coalesce("component", "fp").alias("component"))
+    linked = _pairs(signed.join(lead("u"), "u").join(lead("v"), "v"), "lu", "lv")
+    equal = _pairs(nodes.where("n > 0").join(sims, "sim").where("fp <> lead"), "fp", "lead")
+    met = staged(_index(fps, _parts(docs)), "index")
+    beside = _pairs(met.where("o IS NOT NULL").where(_fits("n", "i", "o.n", "o.i")), "fp", "o.fp")
+    first = linked.unionAll(equal).unionAll(beside).distinct() if near else linked.unionAll(equal)
+    comp = staged(connected_components(_alike(docs, nodes, staged(first, "candidates"))), "components")
+    named = fps.join(comp, fps.fp == comp.node, "left").select("doc_id", "fp", "th", F.coalesce("component", "fp").alias("component"))
+    rest = staged(_across(met, comp), "candidates")
+    more = _alike(docs, nodes, rest)
+    for x in "uv":  # links between components
+        name = comp.select(F.col("node").alias(x), F.col("component").alias("c"))
+        more = more.join(name, x, "left").withColumn(x, F.coalesce("c", x)).drop("c")
+    joined = staged(connected_components(more), "joined").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return named.join(joined, "component", "left").select("doc_id", "fp", "th", F.coalesce("whole", "component").alias("component"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -348,9 +348,9 @@ def test_near_duplicate_stage_matches_brute_force_jaccard(spark):
     heads = {}
     for c, (d, _) in zip(comp, docs):
         heads[c] = min(heads.get(c, d), d, key=lambda x: (x is None, x or 0))
-    for rounds in (0, simhash.ROUNDS):
+    for near in (False, True):
         with pytest.MonkeyPatch.context() as m:
-            m.setattr(simhash, "ROUNDS", rounds)
+            m.setattr(simhash.jaccard_components, "__defaults__", (near,))
             got = [x.doc_id for x in simhash.stage(spark, frame(spark, docs), SF).collect()]
         assert sorted(got, key=key) == sorted(heads.values(), key=key)
 
