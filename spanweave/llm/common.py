@@ -37,11 +37,33 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, th, doc_id, text): documents with a key that is never null.
+
+    th is a 64-bit hash of the text.  doc is the id; a null id gets a number from another hash
+    of the text, in the lowest eighth of all numbers, so that texts without an id are told apart
+    by 125 bits and come before all usual ids.  Rows with equal keys are one document given
+    several times.
+    """
+    unnamed = F.shiftrightunsigned(F.xxhash64(F.lit("null"), "text"), 3) + F.lit(NULL_ID)
+    return id_text(docs).select(F.coalesce("doc_id", unnamed).alias("doc"), F.xxhash64("text").alias("th"), "doc_id", "text")
+
+
+def one_text_each(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(i, y, text) of the documents with ids in `picked` (i, y; a bounded sample of labels): one
+    text for each id, that with the least hash where an id has several."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "i")
+    return rows.groupBy("i").agg(F.first("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, a local session has one of its own
+    and a cluster raises, as its executors share no other folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     held = getattr(spark, "_spanweave_dir", None)
     if held is None:
         held = tempfile.mkdtemp(prefix="spanweave-")

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import one_text_each, table
 from .trees import edges, grow, paths, predict
 
 #: Most labelled rows that the fit reads.
@@ -132,13 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> RuleModel:
     picked = l.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(rows)
     picked = spark.createDataFrame(picked.collect(), "i long, y double")  # at most `rows` pairs
     stats = statistics(F.col("text"))
-    got = (
-        docs.select(F.col("doc_id").cast("long").alias("i"), "text")
-        .join(F.broadcast(picked), "i")
-        .select("i", "y", *[c.alias(k) for k, c in stats.items()])
-        .limit(2 * rows)
-        .toArrow()
-    )
+    got = one_text_each(docs, picked).select("i", "y", *[c.alias(k) for k, c in stats.items()]).toArrow()
     order = np.lexsort([got[k].to_numpy() for k in ("chars", "i")]) if got.num_rows else np.zeros(0, int)
     x = np.stack([got[k].to_numpy() for k in stats], axis=1)[order]
     return fit(x, got["y"].to_numpy()[order], list(stats))
@@ -156,6 +150,9 @@ def quality_scores(docs: DataFrame, model: RuleModel, keep: list[str] | None = N
 
 
 def op9_rule_quality(spark, sf_dir: str) -> DataFrame:
+    """A score for each row of documents.  Null texts count as empty ones, whose statistics are
+    defined; a null id is held out as the empty string's checksum says; repeated rows are scored
+    each; texts of any length are read whole; no documents give no rows."""
     docs = table(spark, sf_dir, "documents")
     out = quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
@@ -163,6 +160,7 @@ def op9_rule_quality(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score under 0.5 go.  The model is fitted on the whole
-    table of labelled documents in `sf_dir`, so what the stage sees doesn't change it."""
+    table of labelled documents in `sf_dir`, so what the stage sees doesn't change it.  Each row
+    is judged by its own text (null as empty), whatever its id; an empty table stays empty."""
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_scores(docs, model, docs.columns).where("__score >= 0.5").drop("__score")
