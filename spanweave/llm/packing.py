@@ -24,7 +24,9 @@ BUCKETS, DIMS, BITS = 256, 4, 10
 #: Low key bits that order documents of one curve cell, so a hot cell can be cut in ranges.
 TIE_BITS = 63 - DIMS * BITS
 #: Share of the documents whose keys place the range bounds (balance only, never results).
-BOUNDS_SHARE = 0.02
+BOUNDS_SHARE, WEIGHT = 0.02, 256
+#: Input bytes for each range of the curve; a range is sorted by Spark and packed as a stream.
+PARTITION = 64 << 20
 #: Texts within these letters take the fast encoder; others take the reference one.
 PLAIN = re.compile("[^\u0000-ɏ‐-›€]")
 
@@ -33,8 +35,8 @@ class Encoder:
     """Ids of a byte-level BPE file for `tokenizers`.
 
     The same vocabulary drives a faster encoder.  Each batch compares one of its texts with
-    `tokenizers`, which also takes every text with letters outside PLAIN; if they differ, the
-    whole batch is encoded by `tokenizers`.
+    `tokenizers`, which also takes every text with letters outside PLAIN or with the string of
+    an added token; if they differ, the whole batch is encoded by `tokenizers`.
     """
 
     def __init__(self, path: str):
@@ -42,11 +44,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
         special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(special))) or r"(?!)", re.I)
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in self.slow.get_vocab().items() if piece not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("spanweave", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -56,10 +58,11 @@ class Encoder:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
-        probe = max((t for t in texts if t.strip()), key=lambda t: (len(t) <= 2000, len(t)), default="")
+        usual = [(t.isascii() or not PLAIN.search(t)) and not self.added.search(t) for t in texts]
+        probe = max((t for t, u in zip(texts, usual) if u and t.strip()), key=lambda t: (len(t) <= 2000, len(t)), default="")
         if probe and not np.array_equal(self.fast.encode_to_numpy(probe, disallowed_special=()), self.one(probe)):
             return [self.one(t) for t in texts]
-        return [self.fast.encode_to_numpy(t, disallowed_special=()) if t.isascii() or not PLAIN.search(t) else self.one(t) for t in texts]
+        return [self.fast.encode_to_numpy(t, disallowed_special=()) if u else self.one(t) for t, u in zip(texts, usual)]
 
 
 @lru_cache(2)
@@ -117,7 +120,7 @@ def curve_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _tokenised(docs: DataFrame, path: str, bounds: list[int] | None) -> DataFrame:
-    """(pid, key, doc_id, ids) of each document; with bounds None only the keys."""
+    """(pid, key, doc_id, ids) of each document; with bounds None only the keys, by weight."""
 
     def run(parts):
         enc = encoder(path)
@@ -132,8 +135,8 @@ def _tokenised(docs: DataFrame, path: str, bounds: list[int] | None) -> DataFram
                 flat = np.concatenate(got)
                 low = (who[i:j].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TIE_BITS)
                 key = (curve_keys(flat, counts) << TIE_BITS) | low.astype(np.int64)
-                if bounds is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
+                if bounds is None:  # a key for each WEIGHT ids, so ranges hold about as many ids
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, -(-counts // WEIGHT)))], ["key"])
                     continue
                 ends = np.concatenate([[0], np.cumsum(counts)]) * np.dtype(kind).itemsize
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat.astype(kind))])
@@ -183,11 +186,12 @@ def pack_along_curve(docs: DataFrame, path: str, length: int = LENGTH, emit_ids:
     packed once for each row.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    size = id_text(docs).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(partitions(spark), size // PARTITION + 1)
     bounds: list[int] = []
     if n > 1:
         some = _tokenised(docs.sample(False, BOUNDS_SHARE, 11), path, None)
-        cut = some.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000)).first()[0]
+        cut = some.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0]
         bounds = sorted(set(cut or []))
     rows = _tokenised(docs, path, bounds)
     ranged = rows.repartitionById(len(bounds) + 1, "pid").sortWithinPartitions("pid", "key", "doc_id").select("pid", "doc_id", "ids")
@@ -204,9 +208,13 @@ def vocabulary() -> str:
 
 
 def op10_curve_packing(spark, sf_dir: str) -> DataFrame:
+    """Every document, packed along the curve; rules as in pack_along_curve: a null or empty text
+    is its end id alone, a null id stays null, repeated rows are packed each, a long text is cut
+    over as many sequences as it fills, ties on the curve go by doc_id, no documents give no rows."""
     return pack_along_curve(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: pieces of packed sequences of all that is left."""
+    """Pipeline stage, the last: pieces of packed sequences of all that is left, by the rules of
+    pack_along_curve for nulls, empty and long texts, ties, repeated rows and empty tables."""
     return pack_along_curve(docs, vocabulary())
