@@ -12,13 +12,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, table, utf8
+from .common import id_text, one_text_each, slices, table, utf8
 
 #: Most labelled documents the fit reads, and most words it keeps (documented bounds).
 ROWS, WORDS = 20_000, 2_000
@@ -35,12 +36,16 @@ _LEET = "".join(map(re.escape, LEET))
 #: single letters set apart.
 DISGUISED = re.compile(
     rf"(?<![^\s\"'(])(?:[{_LEET}]{{1,2}}[^\W\d_]|[^\W\d_]+(?:[{_LEET}]+[^\W\d_]|[013457](?![\w{_LEET}])))[\w{_LEET}]*"
-    r"|\w*?([^\W\d_])\1\1+\w*"
+    r"|(?<!\w)\w*?([^\W\d_])\1\1+\w*"
     r"|(?<!\w)[^\W\d_](?:([ .\-_*~])[^\W\d_])(?:\2[^\W\d_])+(?!\w)"
 )
 _WORD = re.compile(r"[^\W\d_]+")
-#: Most signs of a stretch that are decoded together; longer ones are decoded piece by piece.
-PIECE = 64
+_APART = re.compile(r"[^\W\d_](?:([ .\-_*~])[^\W\d_])(?:\1[^\W\d_])+")
+#: Steps of a lattice after which the part that all readings share is written down, and the
+#: longest stretch whose reading is kept for reuse; neither changes a reading.
+SETTLE, REUSED = 1024, 64
+#: The only option of a sign that says nothing: a letter after the second of a run.
+NOTHING = [("", 0.0)]
 
 
 # ---- the character model ----------------------------------------------------------------
@@ -112,18 +117,15 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     letters; anything else ends a word.
     """
     s = stretch.lower()
-    apart = re.fullmatch(r"[^\W\d_](?:([ .\-_*~])[^\W\d_])(?:\1[^\W\d_])+", s)
-    if apart:
+    if _APART.fullmatch(s):
         return [[(s[0], 0.0)]] + [[(c, -0.3), (" " + c, -1.5)] for c in s[2::2]]
     out: list[list[tuple[str, float]]] = []
-    run = 0
-    for i, c in enumerate(s):
-        run = run + 1 if i and s[i - 1] == c else 0
-        length = next((k for k in range(i, len(s)) if s[k] != c), len(s)) - i + run
+    places = [(c, run, length) for c, same in groupby(s) for length in (len(list(same)),) for run in range(length)]
+    for c, run, length in places:
         if c in LEET and run == 0 or c in LEET and length < 3:
             options = [(x, -0.5 - 0.2 * k) for k, x in enumerate(LEET[c])]
         elif c in LEET:
-            options = [("", 0.0)]
+            options = NOTHING
         elif c.isalpha():
             options = [(c, 0.0)]
         else:
@@ -131,28 +133,57 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
         if length >= 3 and run == 1:
             options = [*options, ("", -0.3)]
         elif length >= 3 and run > 1:
-            options = [("", 0.0)]
+            options = NOTHING
         out.append(options)
     return out
 
 
 def viterbi(steps: list[list[tuple[str, float]]], letters: Letters) -> str:
-    """The likeliest reading of a lattice between two word ends; ties go to the earlier option."""
+    """The likeliest reading of a lattice between two word ends; ties go to the earlier option.
+
+    Back pointers lead from each state to the one before it; where all of them lead to one state,
+    the reading up to it is settled, so a long lattice holds few of them.
+    """
     logp = letters.logp
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+    settled: list[str] = []
+
+    def trace(state: tuple[int, int], stop: int) -> list[str]:
+        out = []
+        for step in reversed(back[:stop]):
+            state, emitted = step[state]
+            out.append(emitted)
+        return out[::-1]
+
+    due = SETTLE
     for options in steps:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, read) in states.items():
+        if options == NOTHING:
+            continue
+        new: dict[tuple[int, int], float] = {}
+        best: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (a, b), score in states.items():
             for emitted, cost in options:
                 u, v, total = a, b, score + cost
                 for c in emitted:
                     w = _code(c)
                     total += logp[u, v, w]
                     u, v = v, w
-                if (u, v) not in new or total > new[u, v][0]:
-                    new[u, v] = (total, read + emitted)
+                if (u, v) not in new or total > new[u, v]:
+                    new[u, v], best[u, v] = total, ((a, b), emitted)
         states = new
-    return max(((score + logp[a, b, 0], read) for (a, b), (score, read) in states.items()), key=lambda x: x[0])[1]
+        back.append(best)
+        if len(back) >= due:
+            alive, at = set(states), len(back)
+            while len(alive) > 1 and at:
+                at -= 1
+                alive = {back[at][x][0] for x in alive}
+            if at:
+                settled += trace(*alive, at)
+                del back[:at]
+            due = SETTLE + 2 * len(back)  # so that all walks back take as long as the way on
+    last = max(states, key=lambda x: states[x] + logp[x[0], x[1], 0])
+    return "".join(settled + trace(last, len(back)))
 
 
 class Restorer:
@@ -160,11 +191,13 @@ class Restorer:
 
     def __init__(self, letters: Letters):
         self.letters = letters
-        self.read = lru_cache(100_000)(self._read)
+        self.known = lru_cache(100_000)(self._read)
 
     def _read(self, stretch: str) -> str:
-        steps = lattice(stretch)
-        return "".join(viterbi(steps[i : i + PIECE], self.letters) for i in range(0, len(steps), PIECE))
+        return viterbi(lattice(stretch), self.letters)
+
+    def read(self, stretch: str) -> str:
+        return self.known(stretch) if len(stretch) <= REUSED else self._read(stretch)
 
     def text(self, text: str | None) -> str:
         return DISGUISED.sub(lambda m: self.read(m[0]), text) if text else ""
@@ -222,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_words: int
     l = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("double").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("i")))
     picked = l.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(rows)
     picked = spark.createDataFrame(picked.collect(), "i long, y double")  # at most `rows` pairs
-    sample = docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(F.broadcast(picked), "i").select("y", "text")
+    sample = one_text_each(docs, picked).select("y", "text")
 
     def count(parts):
         read = Restorer(letters)
@@ -255,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_words: int
             if x:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*x)], ["y", "a", "b", "c"])
 
-    got = np.array(sorted(map(tuple, sample.mapInArrow(measure, "y double, a double, b double, c double").limit(2 * rows).collect())))
+    got = np.array(sorted(map(tuple, sample.mapInArrow(measure, "y double, a double, b double, c double").collect())))
     return ToxicModel(letters, model.weights, tuple(_logistic(got[:, 1:], got[:, 0])))
 
 
@@ -278,6 +311,9 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel, keep_text: bool = False)
 
 
 def op4_noisy_channel(spark, sf_dir: str) -> DataFrame:
+    """A score for each row of documents.  Null and empty texts get that of a text without known
+    words; a null id is held out as the empty string's checksum says; repeated rows are scored
+    each; words of any length are read whole; no documents give no rows."""
     docs = table(spark, sf_dir, "documents")
     out = toxicity_scores(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
