@@ -4,17 +4,19 @@ Strings of `width` bytes that also start earlier in the corpus are found in four
 
 1. Every such string holds an anchor, the least hash among its K-byte grams.  Neighbouring
    strings with the same anchor form a run; equal strings have equal anchors.
-2. Runs are dealt by anchor.  Of runs with equal content only the earliest goes on (the
-   others are repeats as a whole); an anchor with a single run that can't repeat in itself is
-   dropped.  So a group of copies counts once, whatever its size.
-3. The runs that are left are gathered in shards by anchor.  For each shard a suffix array is
-   built by induced sorting, and the permuted common prefixes tell which of its strings are
-   equal.
-4. The repeated strings of a document become removed spans, joined to its text by its id.
-
-Documents are ordered by id; a null id comes before all others.  Rows with the same id and
-the same text are one document given twice and get the same result; strings that start at
-the same place of the same id are never "earlier" than each other.
+2. Runs are dealt by anchor and sorted.  Of runs with equal content only the earliest goes on
+   (the others are repeats as a whole, those of one slice of text before they are dealt); an
+   anchor with a single run that can't repeat in itself is dropped.  So a group of copies
+   counts once, whatever its size.
+3. The runs that are left are gathered in shards by anchor; those of a hot anchor are cut anew
+   by a second kind of anchor.  For each shard a suffix array is built by induced sorting, and
+   the permuted common prefixes tell which of its strings are equal.
+4. The repeated strings of a document become removed spans, joined to its text by its key.
+
+Documents are ordered by id; null ids come before usual ones, in the order of a hash of their
+texts (see common.keyed).  Rows with the same id and the same text are one document given twice
+and get the same result; strings that start at the same place of the same id are never
+"earlier" than each other.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_text, ids, partitions, slices, slide, staged, table, utf8
+from .common import keyed, partitions, slices, slide, staged, table, utf8
 
 WIDTH = 100
 #: Bytes of a gram; every string of `width` bytes has width - GRAM + 1 of them.
@@ -34,12 +37,14 @@ GRAM = 16
 #: Most strings in a run; longer runs are cut, which loses nothing.
 RUN = 512
 #: Bytes of runs in a shard.  An anchor isn't split between shards; one with over HOT bytes of
-#: different runs has its strings dealt by content instead (see _hot_spans).
-SHARD, HOT = 1 << 20, 3 << 20
+#: different runs has them cut anew by a second anchor (see _anew).
+SHARD, HOT = 1 << 20, 1 << 19
 #: Input bytes for each partition of the steps by anchor.
 PARTITION = 24 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Multipliers of the grams' hash: of the anchors, and of the second anchors.
+FIRST, SECOND = (_A, _B), (np.uint64(0xD1B54A32D192ED03), np.uint64(0x94D049BB133111EB))
 
 
 # ---- induced sorting --------------------------------------------------------------------
@@ -237,7 +242,7 @@ def repeats(data: np.ndarray, sizes: np.ndarray, width: int = WIDTH) -> tuple[np
 # ---- anchors ----------------------------------------------------------------------------
 
 
-def anchor_runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
+def anchor_runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, odd: tuple[np.uint64, np.uint64] = FIRST) -> tuple[np.ndarray, ...]:
     """The runs of all texts in a slice: (text, start, bytes, anchor, content hash, may repeat in itself)."""
     n, w = len(data), width - GRAM + 1
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
@@ -245,9 +250,9 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tu
         return none
     buf = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.ndarray((n + 1,), "<u8", buf, strides=(1,))
-    mix = words[: n - GRAM + 1] * _A ^ (words[8 : n - GRAM + 9] * _B)
+    mix = words[: n - GRAM + 1] * odd[0] ^ (words[8 : n - GRAM + 9] * odd[1])
     mix ^= mix >> np.uint64(32)
-    mix *= _B
+    mix *= odd[1]
     mix ^= mix >> np.uint64(29)
     least = slide(mix, w, np.minimum)  # of the string that starts here
     sizes = np.diff(offsets)
@@ -279,9 +284,8 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tu
     z ^= z >> np.uint64(31)
     z *= _A
     z ^= z >> np.uint64(33)
-    odd = np.uint64(0xD6E8FEB86659FD93)
     size = stop - start + width - 1
-    return text, start - offsets[text], size, anchor, _content(z, start, size, odd), own
+    return text, start - offsets[text], size, anchor, _content(z, start, size, np.uint64(0xD6E8FEB86659FD93)), own
 
 
 def _content(z: np.ndarray, start: np.ndarray, size: np.ndarray, odd: np.uint64) -> np.ndarray:
@@ -301,17 +305,18 @@ def _content(z: np.ndarray, start: np.ndarray, size: np.ndarray, odd: np.uint64)
 
 # ---- the Spark plan ---------------------------------------------------------------------
 
-RUN_COLUMNS = "m long, h long, doc long, th int, at long, own boolean, copy boolean"
+RUN_COLUMNS = "m long, h long, doc long, th long, at long, own boolean, copy boolean"
 _START = 20  # bits of a packed span that hold its size
 
 
 def _runs(docs: DataFrame, width: int) -> DataFrame:
-    """The runs of all texts; `copy` marks those that an equal run of their slice precedes."""
+    """The runs of all texts; `copy` marks those that an equal run of their slice precedes, which
+    are dealt by document, not by anchor."""
 
     def run(parts):
         for b in parts:
             at, data = utf8(b.column(2))
-            doc, th = ids(b.column(0)), b.column(1).to_numpy()
+            doc, th = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, j in slices(at):
                 text, start, size, anchor, content, own = anchor_runs(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
                 if not len(text):
@@ -321,38 +326,51 @@ def _runs(docs: DataFrame, width: int) -> DataFrame:
                 text, start, size, anchor, content, own = (c[by] for c in (text, start, size, anchor, content, own))
                 same = np.append(False, (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1]) & (size[1:] == size[:-1]))
                 first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-                d, copy = doc[text], same.copy()
-                copy &= (d != d[first]) | (start != start[first])  # else it isn't later
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(d), pa.array(th[text]), pa.array(start << _START | size), pa.array(own), pa.array(copy)],
-                    ["m", "h", "doc", "th", "at", "own", "copy"],
-                )
+                d, t = doc[text], th[text]
+                copy = same & ((d != d[first]) | (start != start[first]))  # else it isn't later
+                m = np.where(copy, d * 31 + t, anchor.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(content.view(np.int64)), pa.array(d), pa.array(t), pa.array(start << _START | size), pa.array(own), pa.array(copy)], ["m", "h", "doc", "th", "at", "own", "copy"])
 
     return docs.mapInArrow(run, RUN_COLUMNS)
 
 
 def _first_of_each(parts):
-    """Of the runs of whole anchors: (m, doc, th, at), m null for a run that repeats an earlier
-    one, else a run that may share strings with other runs of its anchor or with itself."""
-    held = pa.Table.from_batches(list(parts)) if (parts := list(parts)) else None
-    if held is None or not held.num_rows:
-        return
-    m, h, doc, th, at = (held[c].to_numpy() for c in ("m", "h", "doc", "th", "at"))
-    own = held["own"].to_numpy()
-    size, start = at & ((1 << _START) - 1), at >> _START
-    by = np.lexsort((th, start, doc, size, h, m))
-    m, h, doc, th, at, own, size, start = (c[by] for c in (m, h, doc, th, at, own, size, start))
-    same = np.append(False, (m[1:] == m[:-1]) & (h[1:] == h[:-1]) & (size[1:] == size[:-1]))
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-    level = same & (doc == doc[first]) & (start == start[first])
-    copy = same & ~level
-    again = level & (th == np.append(0, th[:-1]))  # the same document given twice
-    kept = ~copy & ~again
-    _, nth = np.unique(m, return_inverse=True)
-    many = np.bincount(nth, kept)[nth] > 1
-    live = kept & (many | (np.bincount(nth, own)[nth] > 0))
-    out = copy | live
-    yield pa.RecordBatch.from_arrays([pa.array(m[out], mask=copy[out]), pa.array(doc[out]), pa.array(th[out]), pa.array(at[out])], ["m", "doc", "th", "at"])
+    """Of the runs of whole anchors, sorted: (m, doc, th, at), m null for a run that repeats an
+    earlier one, else a run that may share strings with other runs of its anchor or with itself.
+
+    Between batches at most three runs of the last anchor are held: its first one, which waits
+    until another one or a repeat in itself is known, the first with the last content, and the
+    last one.
+    """
+    held, sent, live_before = None, np.zeros(0, bool), False
+    for b in parts:
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("m", "h", "doc", "th", "at", "own")]
+        local = b.column("copy").to_numpy(zero_copy_only=False)
+        far = [c[local] for c in cols]
+        cols = [c[~local] for c in cols]
+        if held is not None:
+            cols = [np.concatenate([x, c]) for x, c in zip(held, cols)]
+        done = np.append(sent, np.zeros(len(cols[0]) - len(sent), bool))
+        m, h, doc, th, at, own = cols
+        if len(m):
+            size, start, rows = at & ((1 << _START) - 1), at >> _START, np.arange(len(m))
+            same = np.append(False, (m[1:] == m[:-1]) & (h[1:] == h[:-1]) & (size[1:] == size[:-1]))
+            first = np.maximum.accumulate(np.where(same, 0, rows))
+            level = same & (doc == doc[first]) & (start == start[first])
+            copy = same & ~level
+            kept = ~copy & ~(level & (th == np.append(0, th[:-1])))  # else the same document given twice
+            nth = np.cumsum(np.append(0, m[1:] != m[:-1]))
+            lively = (np.bincount(nth, kept) > 1) | (np.bincount(nth, own) > 0)
+            lively[0] |= live_before
+            out = (copy | (kept & lively[nth])) & ~done
+            tail = np.unique([rows[(nth == nth[-1]) & kept][0], first[-1], rows[-1]])
+            held, live_before = [c[tail] for c in cols], bool(lively[-1])
+            sent = ~kept[tail] | live_before
+        else:
+            out = copy = np.zeros(0, bool)
+        got = [np.concatenate([f, c[out]]) for f, c in zip(far, cols)]
+        gone = np.append(np.ones(len(far[0]), bool), copy[out])
+        yield pa.RecordBatch.from_arrays([pa.array(got[0], mask=gone), *(pa.array(c) for c in got[2:5])], ["m", "doc", "th", "at"])
 
 
 def _cut(parts):
@@ -380,36 +398,46 @@ def _later(place: np.ndarray, group: np.ndarray, doc: np.ndarray, start: np.ndar
     return place[(doc != doc[first]) | (start != start[first])]
 
 
-def _strings(width: int):
-    """(w1, w2, doc, th, at): every string of `width` bytes of the runs, by a 128-bit hash."""
+def _anew(width: int):
+    """Runs (m, doc, th, start, run) of hot anchors, cut anew by a second anchor: what all of them
+    share doesn't place them any more, what stands beside it does."""
 
     def run(parts):
         for b in parts:
             at, data = utf8(b.column(4))
             doc, th, start = (b.column(i).to_numpy() for i in (1, 2, 3))
-            words = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-            for i, j in slices(at, 64 << 10):
-                per = np.diff(at[i : j + 1]) - width + 1
-                row = np.repeat(np.arange(i, j), per)
-                off = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-                pos = at[row] + off
-                w1, w2 = np.zeros(len(pos), np.uint64), np.full(len(pos), _A)
-                for t in [*range(0, width - 7, 8), width - 8]:
-                    x = words[pos + t]
-                    w1, w2 = (w1 ^ x) * _A, (w2 ^ (x >> np.uint64(7) | x << np.uint64(57))) * _B
-                    w1, w2 = w1 ^ w1 >> np.uint64(32), w2 ^ w2 >> np.uint64(29)
-                cols = [w1.view(np.int64), w2.view(np.int64), doc[row], th[row], (start[row] + off) << _START | width]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w1", "w2", "doc", "th", "at"])
+            for i, j in slices(at):
+                part = data[at[i] : at[j]]
+                base = at[i : j + 1] - at[i]
+                row, off, size, anchor, _, _ = anchor_runs(part, base, width, SECOND)
+                begin, row = base[row] + off, row + i
+                cut = [part[a : a + k].tobytes() for a, k in zip(begin, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc[row]), pa.array(th[row]), pa.array(start[row] + off), pa.array(cut, pa.binary())], ["m", "doc", "th", "start", "run"])
 
     return run
 
 
-def _hot_spans(runs: DataFrame, width: int) -> DataFrame:
-    """Repeated strings of hot anchors.  Their runs would all meet in one shard, so each string
-    is dealt by its own content and the earliest of equal ones is found by a combined minimum."""
-    strings = runs.mapInArrow(_strings(width), "w1 long, w2 long, doc long, th int, at long")
-    first = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return strings.join(first, ["w1", "w2"]).where(F.struct("doc", "at") > F.col("first")).select("doc", "th", "at")
+def _unequal(parts):
+    """Batches of runs, sorted by anchor and bytes, without those that equal an earlier run byte
+    for byte; with each the spans of those."""
+    prior = None  # the last run's anchor and bytes, and the place of the first that equals it
+    for b in parts:
+        if not b.num_rows:
+            continue
+        m, run = b.column(0).to_numpy(), b.column(4)
+        doc, th, start = (b.column(i).to_numpy() for i in (1, 2, 3))
+        same = np.append(False, (m[1:] == m[:-1]) & pc.equal(run.slice(1), run.slice(0, len(run) - 1)).to_numpy(zero_copy_only=False))
+        same[0] = prior is not None and prior[0] == m[0] and prior[1] == run[0].as_py()
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(m))))
+        d, s = doc[first], start[first]
+        if same[0]:
+            lead = np.cumprod(same).astype(bool)
+            d, s = np.where(lead, prior[2], d), np.where(lead, prior[3], s)
+        copy = same & ((doc != d) | (start != s))
+        prior = (m[-1], run[-1].as_py(), d[-1], s[-1])
+        size = np.diff(utf8(run)[0])[copy]
+        spans = [pa.array(doc[copy]), pa.array(th[copy]), pa.array(start[copy] << _START | size)]
+        yield b.filter(pa.array(~copy)), pa.RecordBatch.from_arrays(spans, ["doc", "th", "at"])
 
 
 def _shard_spans(width: int):
@@ -433,7 +461,11 @@ def _shard_spans(width: int):
 
     def run(parts):
         held, size = [], 0
-        for b in parts:
+        for b, again in _unequal(parts):
+            if again.num_rows:
+                yield again
+            if not b.num_rows:
+                continue
             anchors = b.column(0).to_numpy()
             step = np.append(0, np.nonzero(np.diff(anchors))[0] + 1)
             weight = utf8(b.column(4))[0]
@@ -486,24 +518,26 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     """(texts, spans): texts (doc, th, doc_id, text) dealt by document, and the spans (doc, th,
     at) that later copies cover, at = start << 20 | size in bytes, overlapping ones included."""
     spark = docs.sparkSession
-    texts = id_text(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.hash("text").alias("th"), "doc_id", "text")
+    texts = keyed(docs)
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(partitions(spark), size // PARTITION + 1)
-    runs = _runs(texts.select("doc", "th", "text"), width)
-    dealt = staged(runs.repartition(n, "m").mapInArrow(_first_of_each, "m long, doc long, th int, at long"), "first-runs")
+    size_of = F.col("at").bitwiseAND((1 << _START) - 1)
+    runs = _runs(texts.select("doc", "th", "text"), width).repartition(n, "m").sortWithinPartitions("m", "h", size_of, "doc", "at", "th")
+    dealt = staged(runs.mapInArrow(_first_of_each, "m long, doc long, th long, at long"), "first-runs")
     far = dealt.where("m IS NULL").select("doc", "th", "at")
     live = dealt.where("m IS NOT NULL")
-    size_of = F.col("at").bitwiseAND((1 << _START) - 1)
     hot = staged(live.groupBy("m").agg(F.sum(size_of).alias("b")).where(F.col("b") > HOT).select("m"), "hot-anchors")
     spread = texts.repartition(n, "doc", "th")
+    columns = "m long, doc long, th long, start long, run binary"
 
     def cut(runs: DataFrame) -> DataFrame:
         wanted = runs.groupBy("doc", "th").agg(F.collect_list("m").alias("ms"), F.collect_list("at").alias("ats"))
-        return spread.join(wanted, ["doc", "th"]).select("doc", "th", "text", "ms", "ats").mapInArrow(_cut, "m long, doc long, th int, start long, run binary")
+        return spread.join(wanted, ["doc", "th"]).select("doc", "th", "text", "ms", "ats").mapInArrow(_cut, columns)
 
-    sorted_runs = cut(live.join(hot, "m", "left_anti")).repartition(n, "m").sortWithinPartitions("m", "doc", "start")
-    shared = sorted_runs.mapInArrow(_shard_spans(width), "doc long, th int, at long")
-    return spread, far.unionAll(shared).unionAll(_hot_spans(cut(live.join(hot, "m", "left_semi")), width))
+    cold = cut(live.join(hot, "m", "left_anti"))
+    again = cut(live.join(hot, "m", "left_semi")).mapInArrow(_anew(width), columns)
+    sharded = cold.unionAll(again).repartition(n, "m").sortWithinPartitions("m", "run", "doc", "start")
+    return spread, far.unionAll(sharded.mapInArrow(_shard_spans(width), "doc long, th long, at long"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -515,4 +549,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """The bytes that repeat earlier ones, of each row of documents.  A null text is an empty one,
+    without strings, as is any text under WIDTH bytes; null ids stay null and come first;
+    repeated rows are one document; texts of any length are read whole; ties and equal places
+    are as told above; no documents give no rows."""
     return remove_repeats(table(spark, sf_dir, "documents"))
