@@ -232,4 +232,8 @@ def read_back(stored: DataFrame, keep_pcm: bool = False) -> DataFrame:
 
 
 def op1_telephony(spark, sf_dir: str) -> DataFrame:
-    return read_back(store(table(spark, sf_dir, "documents")))
+    """Each row of documents as telephone speech: digests of what was stored and read back, and
+    the resampled PCM itself in `pcm`, a WAVE file.  Null and empty texts are one block of
+    padding; a null id stays null; repeated rows give equal files; long texts are many blocks;
+    no documents give no rows."""
+    return read_back(store(table(spark, sf_dir, "documents")), keep_pcm=True)
