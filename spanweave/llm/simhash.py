@@ -33,6 +33,9 @@ BUCKET = 64
 STAGE_WORDS = 5
 #: Texts whose shingles are counted to order them, and counted shingles kept; both save work only.
 SAMPLE, COMMON = 8000, 100_000
+#: Neighbours that a set is compared with before its component is known; all others that fit are
+#: compared after that, unless they are in its component by then.
+BESIDE = 8
 #: Input bytes for each partition of the prefix index; most rows of a broadcast side.
 PARTITION, SMALL = 24 << 20, 1_000_000
 
@@ -139,6 +142,9 @@ def fp_hex(column: str = "fp"):
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each row of documents; null and empty texts have fingerprint
+    zero and are linked like any other; null ids and repeated rows as in simhash_components;
+    long texts are read whole; no documents give no rows."""
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", fp_hex().alias("fingerprint"), "component_id")
 
@@ -302,7 +308,8 @@ def jaccard_components(docs: DataFrame, near: bool = True) -> DataFrame:
     linked = _pairs(signed.join(lead("u"), "u").join(lead("v"), "v"), "lu", "lv")
     equal = _pairs(nodes.where("n > 0").join(sims, "sim").where("fp <> lead"), "fp", "lead")
     met = staged(_index(fps, _parts(docs)), "index")
-    beside = _pairs(met.where("o IS NOT NULL").where(_fits("n", "i", "o.n", "o.i")), "fp", "o.fp")
+    nth = F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("k", "fp"), "k"))
+    beside = _pairs(met.where("o IS NOT NULL").where(_fits("n", "i", "o.n", "o.i")).withColumn("nth", nth).where(F.col("nth") <= BESIDE), "fp", "o.fp")
     first = linked.unionAll(equal).unionAll(beside).distinct() if near else linked.unionAll(equal)
     comp = staged(connected_components(_alike(docs, nodes, staged(first, "candidates"))), "components")
     named = fps.join(comp, fps.fp == comp.node, "left").select("doc_id", "fp", "th", F.coalesce("component", "fp").alias("component"))
