@@ -137,7 +137,9 @@ class Matcher:
 
 
 def _blocks(bench: DataFrame, limit: int = BLOCK_BYTES):
-    """Lists of (item id, text) of about `limit` bytes each; no more is ever on the driver."""
+    """Lists of (item id, text) of about `limit` bytes each.  The driver reads one at a time; the
+    broadcasts made of them stay until the query ends, so a benchmark of many blocks takes its
+    own size on the driver and a scan of the documents for each block."""
     items = bench.select(F.col("item_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // limit)
@@ -185,13 +187,17 @@ def _holds(spark, block: list[tuple[int, str]], rate: float = BUDGET):
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Each item that each row of documents holds; rules as in contaminated(): null and empty texts
+    and items hold and match nothing, null ids stay null, repeated rows count each, the first
+    closest occurrence counts, long texts are read whole, empty tables give no rows."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold an item within its error budget go.
 
-    Each row is judged by its own text, so ids may repeat or be missing.
+    Each row is judged by its own text, so ids may repeat or be missing; null texts hold no item
+    and stay; with an empty benchmark all documents stay.
     """
     for block in _blocks(table(spark, sf_dir, "benchmark")):
         docs = docs.where(~_holds(spark, block)(F.coalesce("text", F.lit(""))))

@@ -236,4 +236,5 @@ def repair_roles(turns: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def op2_role_repair(spark, sf_dir: str) -> DataFrame:
+    """Each turn of conversations, repaired and rendered; rules as in repair_roles()."""
     return repair_roles(table(spark, sf_dir, "conversations"))

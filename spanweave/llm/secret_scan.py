@@ -212,9 +212,13 @@ def masked(docs: DataFrame, model: list | None = None) -> DataFrame:
 
 
 def op5_secret_forest(spark, sf_dir: str) -> DataFrame:
+    """Each candidate finding of each row of documents; rules as in scan(): texts without one, null
+    and empty ones have no rows, null ids stay null, repeated rows count each, candidates don't
+    overlap and run to the end of their token in texts of any length."""
     return scan(table(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: secrets in the texts are masked; no document goes."""
+    """Pipeline stage: secrets in the texts are masked; no document goes.  Null texts stay null,
+    repeated rows and missing ids don't matter, an empty table stays empty."""
     return masked(docs)
