@@ -110,7 +110,14 @@ def reorder(df: DataFrame, on: str, reverse: bool = False) -> DataFrame:
 
 
 def permutation(df: DataFrame, on: str, reverse: bool = False) -> DataFrame:
-    """(_row, position): where each row of a numeric column goes when sorted."""
+    """(_row, position): where each row goes when sorted by a column.
+
+    Strings are ordered by their first four characters as a number, then by all of them, so they
+    are dealt into tiles like numbers are.
+    """
+    if isinstance(df.schema[on].dataType, T.StringType):
+        head = F.conv(F.hex(F.rpad(F.substring(F.col(on).cast("binary"), 1, 4), 4, F.lit("\0").cast("binary"))), 16, 10).cast("long")
+        return prefix.row_number(df.withColumn("__on", head), "__on", ordering(df, on, reverse), "position", descending=reverse).select(ROW, "position")
     flag = isinstance(df.schema[on].dataType, T.BooleanType)
     held = df.withColumn("__on", F.col(on).cast("int")) if flag else df.withColumn("__on", F.col(on))
     return prefix.row_number(held, "__on", [ordering(df, on, reverse)[1]], "position", descending=reverse).select(ROW, "position")

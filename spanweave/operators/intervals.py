@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .prefix import prefix
 
@@ -186,14 +185,15 @@ def complement(merged_ranges: DataFrame, universe: DataFrame, keys: Sequence[str
 
 def subtract(a: DataFrame, b: DataFrame, id_col: str, keys: Sequence[str] = KEY) -> DataFrame:
     """What is left of each range of a (unique `id_col`) without the ranges of b."""
-    holes = intersections(a.select(id_col, *keys, "start", "stop"), merged(b, keys).persist(), keys=keys)
-    pieces = holes.select(id_col, *keys, F.col("start").alias("a0"), F.col("stop").alias("a1"), F.col("i_start").alias("h0"), F.col("i_stop").alias("h1"))
-    # holes of one range are disjoint: each leaves the piece before it, the last one after it too
-    w = W.partitionBy(id_col).orderBy("h0")
-    before = pieces.select(id_col, *keys, F.coalesce(F.lag("h1").over(w), F.col("a0")).alias("start"), F.col("h0").alias("stop"))
-    after = pieces.groupBy(id_col, *keys).agg(F.max("h1").alias("start"), F.max("a1").alias("stop"))
-    whole = a.select(id_col, *keys, "start", "stop").join(pieces.select(id_col).distinct(), id_col, "left_anti")
-    return before.unionAll(after).unionAll(whole).where("start < stop")
+    cut = a.select(id_col, *keys, "start", "stop")
+    # holes of one range are disjoint: in order, their ends and begins bound what is left
+    hole = F.struct(F.col("i_start").cast("long").alias("h0"), F.col("i_stop").cast("long").alias("h1"))
+    holes = intersections(cut, merged(b, keys).persist(), keys=keys).groupBy(id_col).agg(F.array_sort(F.collect_list(hole)).alias("__holes"))
+    held = cut.join(holes, id_col, "left").withColumn("__holes", F.coalesce("__holes", F.array().cast("array<struct<h0:bigint,h1:bigint>>")))
+    begins = F.concat(F.array(F.col("start").cast("long")), F.transform("__holes", lambda h: h["h1"]))
+    ends = F.concat(F.transform("__holes", lambda h: h["h0"]), F.array(F.col("stop").cast("long")))
+    left = F.explode(F.arrays_zip(begins.alias("p0"), ends.alias("p1")))
+    return held.select(id_col, *keys, left.alias("__left")).select(id_col, *keys, F.col("__left.p0").alias("start"), F.col("__left.p1").alias("stop")).where("start < stop")
 
 
 def runs(df: DataFrame, keys: Sequence[str], pos: str = "pos", gap: int = 0) -> DataFrame:
@@ -232,6 +232,16 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     return one.select(F.try_divide(F.col("lab").cast("double"), F.col("la") + F.col("lb") - F.col("lab")).alias("jaccard"))
 
 
+METRICS = {"overlap": overlap_number, "intersection_number": intersection_number, "jaccard": jaccard, "overlap_fraction": overlap_fraction}
+
+
+def metric(name: str):
+    """The metric of two sets of ranges by its name."""
+    if name not in METRICS:
+        raise ValueError(f"unsupported metric {name!r}; names are {sorted(METRICS)}")
+    return METRICS[name]
+
+
 def metric_matrix(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> DataFrame:
     """Overlap numbers of each set in a with each set in b as long rows (a_name, b_name, value),
     zeros included; names are columns."""

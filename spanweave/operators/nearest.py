@@ -126,3 +126,8 @@ STRATEGIES = {"single": associated_single, "two": associated_two, "multiple": as
 def great_distance(mid, pos):
     """Distance of a midpoint to a 5' end; -1 where there is none."""
     return F.coalesce(F.abs(mid - pos), F.lit(-1))
+
+
+def signed_great_distance(mid, pos):
+    """How far a midpoint lies above a 5' end, below zero if it lies before it, whatever the strand."""
+    return mid - pos

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import IUPAC
 
+#: Places of a piece that an exact search looks at together.
+STEP = 256
 _BIT = {"a": 1, "c": 2, "g": 4, "t": 8}
 _MASK = np.zeros(256, np.uint8)
 for _code, _bases in IUPAC.items():
@@ -73,7 +75,13 @@ def unique_matches(found: DataFrame) -> DataFrame:
 
 
 def exact(sequences: DataFrame, text: str) -> DataFrame:
-    """(id, pos) of each place of a text, overlapping ones too, without Python."""
+    """(id, pos) of each place of an ASCII text in sequences of one byte a base, overlapping ones
+    too, without Python.  Pieces of STEP places are cut from the bytes, so the work grows with
+    the length of a sequence, not its square."""
     n = len(text)
-    places = F.filter(F.sequence(F.lit(0), F.length("seq") - n), lambda i: F.substring(F.col("seq"), i + 1, F.lit(n)) == text)
-    return sequences.where(F.length("seq") >= n).select("id", F.explode(places).alias("i")).select("id", F.col("i").cast("long").alias("pos"))
+    raw = F.col("seq").cast("binary")
+    cut = lambda at: F.struct(at.alias("at"), F.substring(raw, at + 1, F.lit(STEP + n - 1)).cast("string").alias("piece"))
+    pieces = sequences.where(F.octet_length("seq") >= n).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.octet_length("seq") - n, F.lit(STEP)), cut)).alias("p"))
+    held = pieces.where(F.contains("p.piece", F.lit(text))).select("id", "p.at", "p.piece")
+    places = F.filter(F.sequence(F.lit(0), F.length("piece") - n), lambda i: F.substring(F.col("piece"), i + 1, F.lit(n)) == text)
+    return held.select("id", "at", F.explode(places).alias("i")).select("id", (F.col("at") + F.col("i")).cast("long").alias("pos"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import relative
+from .intervals import complement, merged, relative
 
 _TILE = ("tid", "chrom", "strand")
 
@@ -79,6 +79,22 @@ def parse_locus(text: str) -> tuple[str, Callable[[DataFrame], DataFrame]]:
     return f"{kind}[{left}..{right}]", around("five" if kind == "tss" else "three", left, right)
 
 
+def cpg_islands(islands: DataFrame) -> DataFrame:
+    """The ranges of CpG islands, all on plus."""
+    return islands.select("chrom", F.lit("+").alias("strand"), "start", "stop")
+
+
+def repeats(table: DataFrame, kind: str | None = None) -> DataFrame:
+    """The ranges of repeats, of all classes or one."""
+    return (table if kind is None else table.where(F.col("class") == kind)).select("chrom", "strand", "start", "stop")
+
+
+def non_repeats(table: DataFrame, genome: DataFrame) -> DataFrame:
+    """What the repeats of the plus strand leave of each chromosome, the same on both strands."""
+    gaps = complement(merged(table.where("strand = '+'"), ("chrom",)), genome.select("chrom", "length"), ("chrom",))
+    return gaps.select("chrom", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"), "start", "stop")
+
+
 def of_class(t: DataFrame, kind: str) -> DataFrame:
     return {"CODING": t.where("cds IS NOT NULL"), "NON_CODING": t.where("cds IS NULL"), "ALL": t}[kind]
 

@@ -1,7 +1,11 @@
-"""A session with the settings the library expects."""
+"""A session with the settings the library expects, and the folder its executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: AQE re-plans joins and skew at run time; Arrow carries the few vectorised functions.
@@ -22,3 +26,19 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for k, v in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a local session has one of its own
+    and a cluster raises, as its executors share no other folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    held = getattr(spark, "_spanweave_dir", None)
+    if held is None:
+        held = tempfile.mkdtemp(prefix="spanweave-")
+        atexit.register(shutil.rmtree, held, True)
+        spark._spanweave_dir = held
+    return held
