@@ -10,9 +10,6 @@ Rules that hold for every operator of this subpackage, unless its docstring says
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Stands for a null id inside Arrow code; it sorts before every real id.
 NULL_ID = -(2**63)
 #: Bytes of text that a vectorised kernel takes at a time; bounds its working arrays.
@@ -56,22 +55,6 @@ def one_text_each(docs: DataFrame, picked: DataFrame) -> DataFrame:
     return rows.groupBy("i").agg(F.first("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a local session has one of its own
-    and a cluster raises, as its executors share no other folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    held = getattr(spark, "_spanweave_dir", None)
-    if held is None:
-        held = tempfile.mkdtemp(prefix="spanweave-")
-        atexit.register(shutil.rmtree, held, True)
-        spark._spanweave_dir = held
-    return held
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -80,7 +63,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     checkpoint folder is cleared.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanweave-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/spanweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

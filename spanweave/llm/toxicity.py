@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, one_text_each, slices, table, utf8
+from .common import id_text, one_text_each, slices, staged, table, utf8
 
 #: Most labelled documents the fit reads, and most words it keeps (documented bounds).
 ROWS, WORDS = 20_000, 2_000
@@ -255,14 +255,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_words: int
     l = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("double").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("i")))
     picked = l.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(rows)
     picked = spark.createDataFrame(picked.collect(), "i long, y double")  # at most `rows` pairs
-    sample = one_text_each(docs, picked).select("y", "text")
 
-    def count(parts):
+    def restore(parts):
         read = Restorer(letters)
+        for b in parts:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([read.text(t) for t in b.column(1).to_pylist()], pa.string())], ["y", "text"])
+
+    sample = staged(one_text_each(docs, picked).select("y", "text").mapInArrow(restore, "y double, text string"), "restored")
+
+    def count(parts):
         for b in parts:
             seen: dict[str, list[int]] = {"": [0, 0]}
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w in (*words(read.text(text)), ""):
+                for w in (*words(text), ""):
                     seen.setdefault(w, [0, 0])[int(y)] += 1
             yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(c, pa.int64()) for c in zip(*seen.values()))], ["word", "other", "toxic"])
 
@@ -282,9 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_words: int
     model = ToxicModel(letters, {r["word"]: r["w"] for r in top}, ())
 
     def measure(parts):
-        read = Restorer(letters)
         for b in parts:
-            x = [(y, *model.features(read.text(t))) for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            x = [(y, *model.features(t)) for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             if x:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*x)], ["y", "a", "b", "c"])
 

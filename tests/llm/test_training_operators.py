@@ -140,6 +140,21 @@ def test_suffix_dedup_matches_brute_force(spark, seed, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_whole_queries_take_empty_tables(spark, tmp_path):
+    """Every query and stage of the pipeline on empty documents, conversations, labels and benchmark."""
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark", "conversations"):
+        spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in (toxicity.op4_noisy_channel, quality.op9_rule_quality, decontam.op8_decontaminate, roles.op2_role_repair, secret_scan.op5_secret_forest):
+        assert query(spark, str(tmp_path)).count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    full = spark.read.parquet(f"{SF}/documents.parquet")
+    assert decontam.stage(spark, full, str(tmp_path)).count() == full.count()
+
+
 def test_texts_without_an_id_are_told_apart(spark):
     """Many texts under the null id: each keeps its own size, and nothing is cut that stands once."""
     r = random.Random(11)
