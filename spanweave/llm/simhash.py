@@ -33,9 +33,10 @@ BUCKET = 64
 STAGE_WORDS = 5
 #: Texts whose shingles are counted to order them, and counted shingles kept; both save work only.
 SAMPLE, COMMON = 8000, 100_000
-#: Neighbours that a set is compared with before its component is known; all others that fit are
-#: compared after that, unless they are in its component by then.
-BESIDE = 8
+#: Sets after a set in a bucket, and of those in all its buckets, that it is compared with before
+#: its component is known; all others that fit are compared after that, unless they are in its
+#: component by then.
+AHEAD, BESIDE = 4, 32
 #: Input bytes for each partition of the prefix index; most rows of a broadcast side.
 PARTITION, SMALL = 24 << 20, 1_000_000
 
@@ -229,13 +230,22 @@ def _fits(n: str, i: str, m: str, j: str):
 
 
 def _index(fps: DataFrame, parts: int) -> DataFrame:
-    """(k, fp, n, i, o): the indexed shingles k of each set, at place i, without those that one
-    set alone has; o is the next set (fp, n, i) of the bucket in an order of its own."""
+    """(k, fp, n, i): the indexed shingles k of each set, at place i, without those that one set
+    alone has."""
     dealt = fps.where("first IS NOT NULL").select("fp", "n", F.posexplode("first").alias("i", "k")).repartition(parts, "k")
     one = dealt.groupBy("k", "fp").agg(F.first("n").alias("n"), F.first("i").alias("i"))  # dealt by k already: no shuffle
     w = Window.partitionBy("k")
-    after = F.lead(F.struct("fp", "n", "i")).over(w.orderBy(F.xxhash64("k", "fp"), "fp"))
-    return one.withColumns({"least": F.min("fp").over(w), "most": F.max("fp").over(w), "o": after}).where("least <> most").drop("least", "most")
+    return one.withColumns({"least": F.min("fp").over(w), "most": F.max("fp").over(w)}).where("least <> most").drop("least", "most")
+
+
+def _beside(met: DataFrame) -> DataFrame:
+    """(u, v): pairs that fit of each set and those AHEAD of it in its buckets, each bucket in an
+    order of its own; at most BESIDE for a set.  In proportion to the index, whatever its groups."""
+    w = Window.partitionBy("k").orderBy(F.xxhash64("k", "fp"), "fp")
+    ahead = F.array_compact(F.array(*[F.lead(F.struct("fp", "n", "i"), t).over(w) for t in range(1, AHEAD + 1)]))
+    pairs = met.select("k", "fp", "n", "i", ahead.alias("o")).select("k", "fp", "n", "i", F.explode("o").alias("o")).where(_fits("n", "i", "o.n", "o.i"))
+    nth = F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("k", "fp", "o.fp"), "k"))
+    return _pairs(pairs.withColumn("nth", nth).where(F.col("nth") <= BESIDE), "fp", "o.fp")
 
 
 def _parts(docs: DataFrame) -> int:
@@ -283,7 +293,7 @@ def _across(met: DataFrame, comp: DataFrame) -> DataFrame:
     """
     size = comp.groupBy("component").agg(F.count("*").alias("z"))
     names = comp.join(size, "component").select(F.col("node").alias("fp"), F.col("component").alias("c"), "z")
-    rows = met.drop("o").join(names, "fp", "left").select("k", "fp", "n", "i", F.coalesce("c", "fp").alias("c"), F.coalesce("z", F.lit(1)).alias("z"))
+    rows = met.join(names, "fp", "left").select("k", "fp", "n", "i", F.coalesce("c", "fp").alias("c"), F.coalesce("z", F.lit(1)).alias("z"))
     w = Window.partitionBy("k")
     mixed = rows.withColumns({"top": F.max(F.struct("z", "c")).over(w), "low": F.min("c").over(w), "high": F.max("c").over(w)}).where("low <> high")
     outside = mixed.where("c <> top.c").select("k", "fp", "n", "i", "c")
@@ -308,9 +318,7 @@ def jaccard_components(docs: DataFrame, near: bool = True) -> DataFrame:
     linked = _pairs(signed.join(lead("u"), "u").join(lead("v"), "v"), "lu", "lv")
     equal = _pairs(nodes.where("n > 0").join(sims, "sim").where("fp <> lead"), "fp", "lead")
     met = staged(_index(fps, _parts(docs)), "index")
-    nth = F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("k", "fp"), "k"))
-    beside = _pairs(met.where("o IS NOT NULL").where(_fits("n", "i", "o.n", "o.i")).withColumn("nth", nth).where(F.col("nth") <= BESIDE), "fp", "o.fp")
-    first = linked.unionAll(equal).unionAll(beside).distinct() if near else linked.unionAll(equal)
+    first = linked.unionAll(equal).unionAll(_beside(met)).distinct() if near else linked.unionAll(equal)
     comp = staged(connected_components(_alike(docs, nodes, staged(first, "candidates"))), "components")
     named = fps.join(comp, fps.fp == comp.node, "left").select("doc_id", "fp", "th", F.coalesce("component", "fp").alias("component"))
     rest = staged(_across(met, comp), "candidates")
