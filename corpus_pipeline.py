@@ -20,8 +20,10 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: SQL can't express the fitted models, the edit distances and the tokenizer: the stages are
-#: tested against brute-force versions instead.
+#: SQL can't express the fitted models, the edit distances and the tokenizer.  The near-duplicate
+#: and decontamination stages are tested against brute-force versions, masking against known
+#: secrets, packing against the tokenizer's own ids, quality against labels; the whole run has
+#: no independent version.
 ORACLE_SQL = None
 
 
