@@ -8,7 +8,8 @@ of exact copies costs one signature set whatever its size.
 
 The pipeline stage links texts by the Jaccard similarity of their sets of five-word shingles.
 SimHash links of those shingles come first, each verified by its exact similarity; an index of
-prefixes of the sets adds the pairs that two bits don't reach, so that none is missed.
+prefixes of the sets adds the pairs that two bits don't reach, so that none is missed.  Pairs
+of the index whose bitmaps of parities differ in too many bits can't be similar and are not made.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SAMPLE, COMMON = 8000, 100_000
 #: its component is known; all others that fit are compared after that, unless they are in its
 #: component by then.
 AHEAD, BESIDE = 4, 32
+#: Bits of the bitmap that bounds the shingles two sets don't share.
+BITS = 512
 #: Input bytes for each partition of the prefix index; most rows of a broadcast side.
 PARTITION, SMALL = 24 << 20, 1_000_000
 
@@ -155,6 +158,14 @@ def _shingles(text: bytes) -> np.ndarray:
     return np.unique(_hashes(text, STAGE_WORDS))
 
 
+def _bitmap(h: np.ndarray) -> np.ndarray:
+    """For each hash mod BITS whether an odd number of the set's hashes fall there, as longs.
+    Each shingle that only one of two sets has flips one bit, so bitmaps differ in at most as
+    many bits as the sets differ in shingles."""
+    odd = np.bincount((h % BITS).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _set_id(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) if len(h) else 0
 
@@ -190,11 +201,11 @@ def _reach(n):
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, sim, th, first) for each row: fp names the set of its n shingles, sim is
-    the SimHash of the shingles, th a hash of the text.
+    """(doc_id, fp, n, sim, th, bits, first) for each row: fp names the set of its n shingles,
+    sim is the SimHash of the shingles, th a hash of the text, bits the set's bitmap.
 
     first has the shingles to index, rare ones before common ones; the order is one for all
-    sets and saves work only.  It is null for copies that a task has met already.
+    sets and saves work only.  It and bits are null for copies that a task has met already.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_common(docs))  # at most COMMON pairs of numbers
@@ -206,7 +217,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             out = []
             for t in _texts(b, 1):
                 all_h = _hashes(t, STAGE_WORDS)
-                h, first, fp = np.unique(all_h), None, 0
+                h, first, bits, fp = np.unique(all_h), None, None, 0
                 if len(h) and (fp := _set_id(h)) not in seen:
                     if len(seen) < 1 << 20:
                         seen.add(fp)
@@ -214,13 +225,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     if len(common):
                         i = np.minimum(np.searchsorted(common, h), len(common) - 1)
                         order = np.where(common[i] == h, counts[i], 0).argsort(kind="stable")
-                    first = h[order[: _reach(len(h))]].view(np.int64)
-                out.append((fp, len(h), _majority(all_h) if len(h) else 0, first))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            fp, n, sim, first = (pa.array([o[c] for o in out], t) for c, t in enumerate(kinds))
-            yield pa.RecordBatch.from_arrays([b.column(0), fp, n, sim, b.column(2), first], ["doc_id", "fp", "n", "sim", "th", "first"])
+                    first, bits = h[order[: _reach(len(h))]].view(np.int64), _bitmap(h)
+                out.append((fp, len(h), _majority(all_h) if len(h) else 0, bits, first))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            fp, n, sim, bits, first = (pa.array([o[c] for o in out], t) for c, t in enumerate(kinds))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, n, sim, b.column(2), bits, first], ["doc_id", "fp", "n", "sim", "th", "bits", "first"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, fp long, n int, sim long, th long, first array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, fp long, n int, sim long, th long, bits array<long>, first array<long>")
 
 
 def _fits(n: str, i: str, m: str, j: str):
@@ -229,6 +240,13 @@ def _fits(n: str, i: str, m: str, j: str):
     return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) AND 9 * least({n} - {i}, {m} - {j}) >= 4 * ({n} + {m})")
 
 
+def _near_bits(n: str, a: str, m: str, b: str):
+    """Whether bitmaps a and b let sets of n and m shingles be similar: a similarity of at least
+    4/5 leaves at most a ninth of n + m that one of them has alone."""
+    apart = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(BITS // 64))
+    return F.expr(f"9 * ({apart}) <= {n} + {m}")
+
+
 def _index(fps: DataFrame, parts: int) -> DataFrame:
     """(k, fp, n, i): the indexed shingles k of each set, at place i, without those that one set
     alone has."""
@@ -285,20 +303,22 @@ def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(9 * common >= 4 * (F.size("hu") + F.size("hv"))).select("u", "v")
 
 
-def _across(met: DataFrame, comp: DataFrame) -> DataFrame:
-    """(u, v): all pairs of sets of different components that meet in a bucket and fit.
+def _across(met: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): all pairs of sets of different components that meet in a bucket and fit, by place
+    and by bitmap.
 
     In a bucket every such pair has a side outside the largest component that is met there, so
     a large group of near copies, once it is one component, makes no pairs with itself.
     """
     size = comp.groupBy("component").agg(F.count("*").alias("z"))
     names = comp.join(size, "component").select(F.col("node").alias("fp"), F.col("component").alias("c"), "z")
-    rows = met.join(names, "fp", "left").select("k", "fp", "n", "i", F.coalesce("c", "fp").alias("c"), F.coalesce("z", F.lit(1)).alias("z"))
+    sets = nodes.select("fp", "bits").join(names, "fp", "left")
+    rows = met.join(sets, "fp").select("k", "fp", "n", "i", "bits", F.coalesce("c", "fp").alias("c"), F.coalesce("z", F.lit(1)).alias("z"))
     w = Window.partitionBy("k")
     mixed = rows.withColumns({"top": F.max(F.struct("z", "c")).over(w), "low": F.min("c").over(w), "high": F.max("c").over(w)}).where("low <> high")
-    outside = mixed.where("c <> top.c").select("k", "fp", "n", "i", "c")
-    other = mixed.select("k", F.col("fp").alias("g"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"), (F.col("c") == F.col("top.c")).alias("inner"))
-    return _pairs(outside.join(other, "k").where("c <> d AND (inner OR fp < g)").where(_fits("n", "i", "m", "j")), "fp", "g")
+    outside = mixed.where("c <> top.c").select("k", "fp", "n", "i", "bits", "c")
+    other = mixed.select("k", F.col("fp").alias("g"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("bits").alias("b"), F.col("c").alias("d"), (F.col("c") == F.col("top.c")).alias("inner"))
+    return _pairs(outside.join(other, "k").where("c <> d AND (inner OR fp < g)").where(_fits("n", "i", "m", "j") & _near_bits("n", "bits", "m", "b")), "fp", "g")
 
 
 def jaccard_components(docs: DataFrame, near: bool = True) -> DataFrame:
@@ -311,7 +331,7 @@ def jaccard_components(docs: DataFrame, near: bool = True) -> DataFrame:
     """
     fps = staged(shingle_sets(docs), "sets")
     rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep")
-    nodes = staged(fps.groupBy("fp").agg(rep, F.min("sim").alias("sim"), F.min("n").alias("n")), "nodes")
+    nodes = staged(fps.groupBy("fp").agg(rep, F.min("sim").alias("sim"), F.min("n").alias("n"), F.first("bits", True).alias("bits")), "nodes")
     sims = staged(nodes.where("n > 0").groupBy("sim").agg(F.min("fp").alias("lead")), "fingerprints")
     signed = links(sims.select(F.col("sim").alias("fp")))
     lead = lambda x: sims.select(F.col("sim").alias(x), F.col("lead").alias(f"l{x}"))
@@ -321,7 +341,7 @@ def jaccard_components(docs: DataFrame, near: bool = True) -> DataFrame:
     first = linked.unionAll(equal).unionAll(_beside(met)).distinct() if near else linked.unionAll(equal)
     comp = staged(connected_components(_alike(docs, nodes, staged(first, "candidates"))), "components")
     named = fps.join(comp, fps.fp == comp.node, "left").select("doc_id", "fp", "th", F.coalesce("component", "fp").alias("component"))
-    rest = staged(_across(met, comp), "candidates")
+    rest = staged(_across(met, comp, nodes), "candidates")
     more = _alike(docs, nodes, rest)
     for x in "uv":  # links between components
         name = comp.select(F.col("node").alias(x), F.col("component").alias("c"))

@@ -403,6 +403,17 @@ def test_near_duplicate_stage_matches_brute_force_jaccard(spark):
         assert sorted(got, key=key) == sorted(heads.values(), key=key)
 
 
+def test_bitmaps_never_part_similar_sets():
+    r = np.random.default_rng(5)
+    for n in (1, 4, 9, 90, 700, 5000):
+        for share in (0.0, 0.05, 0.1, 0.2, 1.0):
+            a = np.unique(r.integers(0, 1 << 63, n, np.uint64))
+            b = np.unique(np.concatenate([a[int(n * share) :], r.integers(0, 1 << 63, int(n * share), np.uint64)]))
+            apart = sum(int(x).bit_count() for x in (simhash._bitmap(a) ^ simhash._bitmap(b)).view(np.uint64))
+            assert apart <= len(np.setxor1d(a, b))
+            assert share != 1.0 or n < 90 or apart > 90
+
+
 # ---- 8 ----------------------------------------------------------------------------------
 
 
