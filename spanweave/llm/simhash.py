@@ -37,7 +37,7 @@ SAMPLE, COMMON = 8000, 100_000
 #: Sets after a set in a bucket, and of those in all its buckets, that it is compared with before
 #: its component is known; all others that fit are compared after that, unless they are in its
 #: component by then.
-AHEAD, BESIDE = 4, 32
+AHEAD, BESIDE = 4, 8
 #: Bits of the bitmap that bounds the shingles two sets don't share.
 BITS = 512
 #: Input bytes for each partition of the prefix index; most rows of a broadcast side.
@@ -297,7 +297,7 @@ def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("u").alias("fp")).unionAll(pairs.select(F.col("v").alias("fp"))).distinct()
     reps = staged(nodes.join(ends, "fp", "left_semi").select(F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("t")), "ends")
     found = _rows(docs).join(_small(reps), _same_row("i", "t"), "left_semi").select("text").mapInArrow(run, "fp long, hs array<long>")
-    sets = staged(found.dropDuplicates(["fp"]), "shingles")
+    sets = found.dropDuplicates(["fp"])  # dealt by fp, which both joins use
     a, b = (sets.select(F.col("fp").alias(x), F.col("hs").alias(f"h{x}")) for x in "uv")
     common = F.size(F.array_intersect("hu", "hv"))
     return pairs.join(a, "u").join(b, "v").where(9 * common >= 4 * (F.size("hu") + F.size("hv"))).select("u", "v")
