@@ -79,6 +79,17 @@ class PoissonHmm:
             xi = a[:-1, :, None] + np.log(self.transition)[None] + (e[1:] + b[1:])[:, None, :] - ll
         return ll, g[0], np.exp(xi).sum(axis=0), g.sum(axis=0), (g * x[:, None]).sum(axis=0)
 
+    def sample_states(self, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """States drawn from their joint posterior: forward sums, then draws from the end."""
+        a, out = self.forward(self.log_emissions(x)) if len(x) else None, np.empty(len(x), np.int64)
+        with np.errstate(divide="ignore"):
+            t = np.log(self.transition)
+        for i in range(len(x) - 1, -1, -1):
+            w = a[i] if i == len(x) - 1 else a[i] + t[:, out[i + 1]]
+            p = np.exp(w - w.max())
+            out[i] = rng.choice(len(p), p=p / p.sum())
+        return out
+
     def sample(self, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         s = np.empty(n, np.int64)
         for i in range(n):

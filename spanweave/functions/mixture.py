@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,9 @@ class Poisson:
     def refit(s0: float, s1: float, s2: float) -> Poisson:
         return Poisson(s1 / s0 if s0 else 0.0)
 
+    def sample(self, n: int, rng: np.random.Generator) -> np.ndarray:
+        return rng.poisson(self.rate, n)
+
 
 @dataclass(frozen=True)
 class Normal:
@@ -42,6 +46,9 @@ class Normal:
         mean = s1 / s0 if s0 else 0.0
         return Normal(mean, max(s2 / s0 - mean * mean, 1e-6) if s0 else 1.0)
 
+    def sample(self, n: int, rng: np.random.Generator) -> np.ndarray:
+        return rng.normal(self.mean, math.sqrt(self.variance), n)
+
 
 @dataclass(frozen=True)
 class Mixture:
@@ -68,6 +75,12 @@ class Mixture:
             out = F.when(joint[i] == top, i).otherwise(out)
         return out
 
+    def sample(self, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Parts and values of n draws."""
+        part = rng.choice(len(self.weights), n, p=np.array(self.weights) / sum(self.weights))
+        each = np.stack([p.sample(n, rng) for p in self.parts], axis=1) if n else np.empty((0, len(self.parts)))
+        return part, each[np.arange(n), part]
+
 
 def fit(df: DataFrame, column: str, start: Mixture, threshold: float = 1e-4, iterations: int = 30) -> tuple[Mixture, list[float]]:
     """The fitted mixture and the log likelihood before each step.  Only sums over all rows come

@@ -78,3 +78,31 @@ def short_id(names: list[str], most: int = 100, mark: str = "#") -> str:
     accessions = [m[0] if (m := re.search(r"GSM\d+", i)) else i for i in ids]
     whole = joined(accessions)
     return whole if len(whole) <= most and accessions != ids else whole[: most - len(digest)] + digest
+
+
+def file_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def extension(path: Column) -> Column:
+    """What follows the last point of the file name; empty if there is none."""
+    return F.regexp_extract(file_name(path), r"\.([^.]*)$", 1)
+
+
+def stem(path: Column, packed: bool = False) -> Column:
+    """The file name without its extension; with `packed` without one before .gz too."""
+    name = file_name(path)
+    bare = F.regexp_replace(name, r"\.[^.]*$", "")
+    return F.when(name.rlike(r"^(?i).*\.[a-z0-9_]+\.gz$"), F.regexp_replace(bare, r"\.[^.]*$", "")).otherwise(bare) if packed else bare
+
+
+def path_safe(value: Column) -> Column:
+    """Lower-case letters, digits, points and single underscores, none at an end or before a point."""
+    for pattern, new in ((r"[^a-zA-Z0-9_.]", "_"), ("_{2,}", "_"), ("^_|_$", ""), (r"_\.", ".")):
+        value = F.regexp_replace(value, pattern, new)
+    return F.lower(value)
+
+
+def short_digest(value: Column) -> Column:
+    """A hash sign and the first five hexadecimal digits of the SHA-1."""
+    return F.concat(F.lit("#"), F.substring(F.sha1(value.cast("binary")), 1, 5))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .intervals import KEY, range_join
+from .intervals import KEY, complement, merged, range_join
 
 #: Most loci or background ranges that each task holds while it draws; more are an error, as one
 #: simulated set must be free of overlaps as a whole.
@@ -93,20 +93,31 @@ def permutation_test(loci: DataFrame, sets: DataFrame, background: DataFrame, ge
     return benjamini_hochberg(one_each, "p", set_col, "q").orderBy("p", set_col)
 
 
-def sample_locations(spark: SparkSession, genome: DataFrame, n: int, length: int, seed: int = 1) -> DataFrame:
-    """(id, chrom, start, stop, strand): n ranges of one length, uniform over the genome."""
-    rows = [(r[0], r[1]) for r in _bounded(genome.select("chrom", "length").orderBy("chrom"), "chromosomes") if r[1] >= length]
+def sample_locations(spark: SparkSession, genome: DataFrame, n: int, length: int, seed: int = 1, gaps: DataFrame | None = None) -> DataFrame:
+    """(id, chrom, start, stop, strand): n ranges of one length, uniform over the genome.
+
+    With `gaps` (chrom, start, stop: unknown bases) none meets a gap: starts are drawn from the
+    places where a range fits, which has the distribution of drawing until it does.
+    """
+    room = genome.where(F.col("length") >= length).select("chrom", (F.col("length") - length + 1).cast("long").alias("length"))
+    fits = room.select("chrom", F.lit(0).cast("long").alias("start"), F.col("length").alias("stop"))
+    if gaps is not None:  # a range that starts less than its length before a gap meets it
+        taken = gaps.where("start < stop").select("chrom", F.greatest(F.col("start") - (length - 1), F.lit(0).cast("long")).alias("start"), "stop")
+        fits = complement(merged(taken, ("chrom",)), room, ("chrom",))
+    rows = _bounded(fits.orderBy("chrom", "start"), "ranges to draw from")
     if not rows:
-        raise ValueError("no chromosome is long enough")
-    names, sizes = [r[0] for r in rows], np.array([r[1] - length + 1 for r in rows])
+        raise ValueError("no chromosome is long enough, or gaps leave no room")
+    held = spark.sparkContext.broadcast(([r["chrom"] for r in rows], np.array([r["start"] for r in rows]), np.cumsum([r["stop"] - r["start"] for r in rows])))
 
     def run(parts):
+        names, first, cum = held.value
         for b in parts:
             i = b.column(0).to_numpy()
-            at = np.random.default_rng([seed, int(i[0])]).integers(0, sizes.sum(), len(i)) if len(i) else i
-            row = np.searchsorted(np.cumsum(sizes), at, "right")
-            start = at - (np.cumsum(sizes)[row] - sizes[row])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[r] for r in row]), pa.array(start), pa.array(start + length), pa.array(np.where(at % 2, "+", "-").astype(object), pa.string())], ["id", "chrom", "start", "stop", "strand"])
+            at = np.random.default_rng([seed, int(i[0])]).integers(0, 2 * cum[-1], len(i)) if len(i) else i
+            at, strand = at // 2, np.where(at % 2, "+", "-")
+            row = np.searchsorted(cum, at, "right")
+            start = first[row] + at - np.concatenate([[0], cum])[row]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[r] for r in row], pa.string()), pa.array(start), pa.array(start + length), pa.array(strand.astype(object), pa.string())], ["id", "chrom", "start", "stop", "strand"])
 
     return spark.range(n).mapInArrow(run, "id long, chrom string, start long, stop long, strand string")
 

@@ -6,7 +6,7 @@ column (0-based), which `with_row` makes from a unique ordering key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -240,3 +240,66 @@ def head_text(df: DataFrame, n: int, by: str = ROW) -> str:
     from ..sources.typed_csv import format_rows
 
     return format_rows(df.drop(ROW).schema, [[r[c] for c in df.columns if c != ROW] for r in rows], "\t")
+
+
+def cell(df: DataFrame, row: int, label: str):
+    """One value by its place, for looking at data; a row that isn't there is an error."""
+    found = df.where(F.col(ROW) == row).select(label).head(2)
+    if len(found) != 1:
+        raise IndexError(row)
+    return found[0][0]
+
+
+def doubles(df: DataFrame, *labels: str) -> DataFrame:
+    """Number columns as doubles, for vectors; other kinds are an error."""
+    for label in labels:
+        if not isinstance(df.schema[label].dataType, _NUMBERS):
+            raise TypeError(f"{label} isn't a number")
+    return df.withColumns({label: F.col(label).cast("double") for label in labels})
+
+
+def ratio(part: Column, total: Column) -> Column:
+    """part / total in single precision; infinite, or not a number, where the total is 0."""
+    a, b = part.cast("float"), total.cast("float")
+    none = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(float("nan"))
+    return F.when(b == 0, none).otherwise(F.try_divide(a, b)).cast("float")
+
+
+def same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two frames have the same columns, kinds and rows; with a `_row` column in both
+    their order counts too.  Only one row comes to the driver."""
+    kinds = lambda df: [(f.name, f.dataType) for f in df.schema]
+    return kinds(a) == kinds(b) and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+# ---- sampled and augmented frames -------------------------------------------------------
+
+
+def chained(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Steps from frame to frame as one, from the left; none change nothing."""
+    return lambda df: reduce(lambda d, step: d.transform(step), steps, df)
+
+
+def with_log_choose(n: str, k: str, out: str) -> Callable[[DataFrame], DataFrame]:
+    """A step that adds the logarithm of the ways to choose k of n."""
+    from ..functions.hypothesis_tests import log_choose
+
+    return lambda df: df.withColumn(out, log_choose(F.col(n).cast("double"), F.col(k).cast("double")))
+
+
+def uniform(seed: int, *columns) -> Column:
+    """A number in [0, 1) that follows from the seed and the columns, whatever the partitions."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
+
+
+def with_binomial(k: str, n: str, extra: Column, chances: Sequence[float], seed: int, row: str = ROW, state: str = "state") -> Callable[[DataFrame], DataFrame]:
+    """A step that adds n = extra + 1 trials, so never none, and k successes among them; the
+    chance of success is that of the row's state.  Rows with a null state have null successes."""
+
+    def step(df: DataFrame) -> DataFrame:
+        chance = F.get(F.array(*map(F.lit, chances)), F.col(state).cast("int"))
+        trials = F.sequence(F.lit(1).cast("long"), F.col(n))
+        hits = F.size(F.filter(trials, lambda i: uniform(seed, F.col(row), i) < chance)).cast("long")
+        return df.withColumn(n, (extra + 1).cast("long")).withColumn(k, F.when(chance.isNotNull(), hits))
+
+    return step

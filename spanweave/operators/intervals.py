@@ -168,6 +168,11 @@ def merged(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return island.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("__island")
 
 
+def merged_where(df: DataFrame, predicate: Column, keys: Sequence[str] = KEY) -> DataFrame:
+    """Ranges for which the predicate holds, merged again."""
+    return merged(df.where(predicate), keys)
+
+
 def union(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     cols = [*keys, "start", "stop"]
     return merged(a.select(*cols).unionAll(b.select(*cols)), keys)
@@ -242,6 +247,12 @@ def metric(name: str):
     return METRICS[name]
 
 
+def additive(a: DataFrame, b: DataFrame, value: Column, keys: Sequence[str] = KEY) -> DataFrame:
+    """(keys, metric): sums of `value`, a column of pairs of ranges that meet (start, stop, b_start,
+    b_stop, and their common i_start, i_stop).  Sums over the rows are the metric of the whole."""
+    return intersections(a.select(*keys, "start", "stop"), b.select(*keys, "start", "stop"), keys=keys).groupBy(*keys).agg(F.sum(value).alias("metric"))
+
+
 def metric_matrix(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> DataFrame:
     """Overlap numbers of each set in a with each set in b as long rows (a_name, b_name, value),
     zeros included; names are columns."""
@@ -255,6 +266,26 @@ def metric_matrix(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> DataF
     return names.join(found, [a_name, f"b_{b_name}"], "left").select(a_name, F.col(f"b_{b_name}").alias(b_name), F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
 
+def merged_counts(df: DataFrame, name: str) -> DataFrame:
+    """(name, merged): how many ranges each set has once they are merged."""
+    return merged(df, (name, *KEY)).groupBy(name).agg(F.count("*").alias("merged"))
+
+
+# ---- sets of positions ------------------------------------------------------------------
+
+
+def bits_joined(a: DataFrame, size: int, b: DataFrame, pos: str = "pos") -> DataFrame:
+    """The set positions of two bit lists one after the other; the first has `size` bits."""
+    return a.select(pos).unionAll(b.select((F.col(pos) + size).alias(pos)))
+
+
+def bits_set(df: DataFrame, size: int, pos: str = "pos") -> DataFrame:
+    """Each set position once; one outside of [0, size) is an error."""
+    inside = (F.col(pos) >= 0) & (F.col(pos) < size)
+    checked = F.when(inside, F.col(pos)).otherwise(F.raise_error(F.concat(F.lit("no such bit: "), F.col(pos).cast("string"))))
+    return df.select(checked.cast(df.schema[pos].dataType).alias(pos)).distinct()
+
+
 # ---- strand-aware positions -------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import complement, merged, relative
+from .intervals import bound5, complement, merged, relative
+from .prefix import row_number
 
 _TILE = ("tid", "chrom", "strand")
 
@@ -128,3 +129,15 @@ def chromosome_aliases(genome: DataFrame) -> DataFrame:
     """(alias, chrom): names with and without chr, in lower case."""
     bare = F.regexp_replace(F.lower("chrom"), "^chr", "")
     return genome.select("chrom", F.explode(F.array_distinct(F.array(F.lower("chrom"), bare, F.concat(F.lit("chr"), bare)))).alias("alias"))
+
+
+def in_order(t: DataFrame) -> DataFrame:
+    """Transcripts with `_row`, their number in the order of 5' ends and then ids."""
+    return row_number(t.withColumn("five", bound5()), "five", [F.col("tid")]).drop("five")
+
+
+def described(t: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """Transcripts with the description of their gene, from (name, description); null if it has
+    none or a blank one.  Of several the last by text counts."""
+    one = descriptions.where("description <> ''").groupBy(F.col("name").alias("gid")).agg(F.max("description").alias("description"))
+    return t.join(one, "gid", "left")
