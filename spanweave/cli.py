@@ -44,6 +44,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
     p.add_argument("--allowed")
     p.add_argument("--simulations", type=int, default=1000)
     p.add_argument("--h1", choices=("two_sided", "greater", "less"), default="two_sided")
+    p.add_argument("--metric", choices=("overlap", "intersection_number"), default="overlap")
     p.add_argument("--flank", type=int, default=0)
     p.add_argument("--merge", action="store_true")
     p.add_argument("--seed", type=int, default=1)
@@ -52,10 +53,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
     loci, sets = _flank(bed.locations(bed.read(spark, args.loci)), args), _sets(spark, args.regions)
     if args.command == "overlaps":
         named = loci.withColumn("id", F.concat_ws(":", "chrom", "strand", "start", "stop"))
-        found = None
-        for (name,) in sets.select("name").distinct().orderBy("name").collect():
-            one = enrichment.overlap_per_locus(named, sets.where(F.col("name") == name)).withColumn("name", F.lit(name))
-            found = one if found is None else found.unionAll(one)
+        found = enrichment.overlap_per_locus(named, sets, args.metric, "name")
         found.write.mode("overwrite").option("sep", "\t").option("header", True).csv(args.out)
         return
     if not args.chrom_sizes:
@@ -67,7 +65,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
     background = enrichment.allowed_background(base, read(args.masked), read(args.allowed))
     if args.background and (n := loci.count() - intervals.within(loci.select("chrom", "start", "stop"), background.select("chrom", "start", "stop"), ("chrom",)).count()):
         raise SystemExit(f"{n} loci aren't within the background")
-    out = enrichment.permutation_test(loci.select("chrom", "start", "stop"), sets.select("name", "chrom", "start", "stop"), background, genome, simulations=args.simulations, alternative=args.h1, seed=args.seed)
+    out = enrichment.permutation_test(loci.select("chrom", "start", "stop"), sets.select("name", "chrom", "start", "stop"), background, genome, simulations=args.simulations, alternative=args.h1, seed=args.seed, metric=args.metric)
     out.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(args.out)  # a row for each set
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .intervals import KEY, complement, merged, range_join
 
@@ -66,26 +67,32 @@ def shuffled(spark: SparkSession, loci: DataFrame, background: DataFrame, genome
     return spark.range(simulations).withColumnRenamed("id", "sim").mapInArrow(run, "sim long, chrom string, start long, stop long")
 
 
-def overlap_counts(ranges: DataFrame, sets: DataFrame, set_col: str, by: str) -> DataFrame:
-    """(by, set, metric): how many of the ranges of each group meet a range of each set."""
+def overlap_counts(ranges: DataFrame, sets: DataFrame, set_col: str, by: str, metric: str = "overlap") -> DataFrame:
+    """(by, set, metric) for groups and sets that meet: how many ranges of the group meet a range
+    of the set ("overlap"; equal ranges count once), or how many pairs meet ("intersection_number")."""
+    if metric not in ("overlap", "intersection_number"):
+        raise ValueError(f"unsupported metric {metric!r}")
     pairs = range_join(ranges.select(by, "chrom", "start", "stop"), sets.select(set_col, "chrom", "start", "stop"), ("chrom",))
-    return pairs.select(by, "chrom", "start", "stop", F.col(f"b_{set_col}").alias(set_col)).distinct().groupBy(by, set_col).agg(F.count("*").alias("metric"))
+    met = pairs.select(by, "chrom", "start", "stop", F.col(f"b_{set_col}").alias(set_col))
+    return (met.distinct() if metric == "overlap" else met).groupBy(by, set_col).agg(F.count("*").alias("metric"))
 
 
-def permutation_test(loci: DataFrame, sets: DataFrame, background: DataFrame, genome: DataFrame, set_col: str = "name", simulations: int = 100, alternative: str = "two_sided", seed: int = 1) -> DataFrame:
-    """One row for each set: observed overlap, median, mean and variance of the simulated ones,
+def permutation_test(loci: DataFrame, sets: DataFrame, background: DataFrame, genome: DataFrame, set_col: str = "name", simulations: int = 100, alternative: str = "two_sided", seed: int = 1, metric: str = "overlap") -> DataFrame:
+    """One row for each set: observed metric, median, mean and variance of the simulated ones,
     p-value (not capped when two-sided) and q-value, sorted by p-value."""
     from ..functions.hypothesis_tests import benjamini_hochberg
 
+    if simulations < 1:
+        raise ValueError("at least one simulation is needed")
     spark = loci.sparkSession
     names = sets.select(set_col).distinct()
-    seen = overlap_counts(loci.select(F.lit(0).alias("g"), "chrom", "start", "stop"), sets, set_col, "g").select(set_col, F.col("metric").alias("seen"))
-    drawn = overlap_counts(shuffled(spark, loci, background, genome, simulations, seed), sets, set_col, "sim")
-    grid = names.crossJoin(spark.range(simulations).withColumnRenamed("id", "sim"))  # sets by simulations
+    seen = overlap_counts(loci.select(F.lit(0).alias("g"), "chrom", "start", "stop"), sets, set_col, "g", metric).select(set_col, F.col("metric").alias("seen"))
+    drawn = overlap_counts(shuffled(spark, loci, background, genome, simulations, seed), sets, set_col, "sim", metric)
+    grid = names.select(set_col, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(simulations - 1).cast("long"))).alias("sim"))
     full = grid.join(drawn, [set_col, "sim"], "left").join(seen, set_col, "left").select(set_col, F.coalesce("metric", F.lit(0)).alias("metric"), F.coalesce("seen", F.lit(0)).alias("seen"))
     stats = full.groupBy(set_col, "seen").agg(
         F.count("*").alias("simulations"), F.count_if(F.col("metric") >= F.col("seen")).alias("above"), F.count_if(F.col("metric") <= F.col("seen")).alias("below"),
-        F.percentile_approx("metric", 0.5).alias("median"), F.avg("metric").alias("mean"), F.var_samp("metric").alias("variance"),
+        F.median("metric").alias("median"), F.avg("metric").alias("mean"), F.var_samp("metric").alias("variance"),
     )
     above, below = (F.col("above") + 1) / (F.col("simulations") + 1), (F.col("below") + 1) / (F.col("simulations") + 1)
     p = {"two_sided": 2 * F.least(above, below), "greater": above, "less": below}[alternative]
@@ -122,10 +129,25 @@ def sample_locations(spark: SparkSession, genome: DataFrame, n: int, length: int
     return spark.range(n).mapInArrow(run, "id long, chrom string, start long, stop long, strand string")
 
 
-def overlap_per_locus(loci: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each locus with the number of ranges it meets."""
-    hits = range_join(loci.select(*KEY, "start", "stop", "id"), sets.select(*KEY, "start", "stop")).groupBy("id").agg(F.count("*").alias("metric"))
-    return loci.join(hits, "id", "left").select("id", "chrom", "start", "stop", F.coalesce("metric", F.lit(0)).alias("metric"))
+def overlap_per_locus(loci: DataFrame, sets: DataFrame, metric: str = "overlap", set_col: str | None = None) -> DataFrame:
+    """Each locus (ids name one each) with the number of ranges it meets, or of their merged ranges that it meets
+    ("intersection_number": touching and overlapping ones are one).
+
+    With `set_col` there is a row for each locus and set; names of sets come to the driver;
+    ranges without one are left out.
+    """
+    if metric not in ("overlap", "intersection_number"):
+        raise ValueError(f"unsupported metric {metric!r}")
+    by = [set_col] if set_col else []
+    against = sets.select(*by, *KEY, "start", "stop") if metric == "overlap" else merged(sets, (*by, *KEY))
+    pairs = range_join(loci.select(*KEY, "start", "stop", "id"), against)
+    hits = pairs.groupBy("id", *[F.col(f"b_{c}").alias(c) for c in by]).agg(F.count("*").alias("metric"))
+    rows = loci.select("id", "chrom", "start", "stop")
+    if set_col:
+        names = sorted(r[0] for r in sets.select(set_col).dropna().distinct().collect())
+        kind = T.ArrayType(sets.schema[set_col].dataType)
+        rows = rows.withColumn(set_col, F.explode(F.array(*map(F.lit, names)).cast(kind)))
+    return rows.join(hits, ["id", *by], "left").select("id", "chrom", "start", "stop", *by, F.coalesce("metric", F.lit(0)).alias("metric"))
 
 
 def allowed_background(background: DataFrame, masked: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:

@@ -128,3 +128,22 @@ def test_descriptions(spark):
     t = spark.createDataFrame([(1, "g"), (2, "h")], "tid long, gid string")
     d = spark.createDataFrame([("g", "old"), ("g", "one"), ("h", "")], "name string, description string")
     assert sorted(map(tuple, tr.described(t, d).select("tid", "description").collect())) == [(1, "one"), (2, None)]
+
+
+def test_enrichment_metrics(spark):
+    loci = spark.createDataFrame([("a", 10, 30), ("a", 50, 60)], "chrom string, start long, stop long")
+    sets = spark.createDataFrame([("whole", "a", 0, 500), ("whole", "a", 500, 1000), ("two", "a", 12, 15), ("two", "a", 20, 22), ("none", "b", 0, 9)], "name string, chrom string, start long, stop long")
+    genome = spark.createDataFrame([("a", 1000), ("b", 20)], "chrom string, length long")
+    base = spark.createDataFrame([(1, "a", 0, 1000)], "id long, chrom string, start long, stop long")
+    for metric, two in (("overlap", 1), ("intersection_number", 2)):
+        got = {r["name"]: r for r in en.permutation_test(loci, sets, base, genome, simulations=19, metric=metric).collect()}
+        assert got["two"]["seen"] == two and got["none"]["seen"] == 0 and got["none"]["mean"] == 0 and got["none"]["above"] == 19
+    assert got["whole"]["seen"] == 2 and got["whole"]["median"] in (2, 3)
+    with pytest.raises(ValueError):
+        en.permutation_test(loci, sets, base, genome, metric="length")
+    with pytest.raises(ValueError):
+        en.permutation_test(loci, sets, base, genome, simulations=0)
+    named, strand = loci.withColumn("id", F.col("start")).withColumn("strand", F.lit("+")), sets.withColumn("strand", F.lit("+"))
+    each = {(r["id"], r["name"]): r["metric"] for r in en.overlap_per_locus(named, strand, set_col="name").collect()}
+    assert each == {(10, "whole"): 1, (10, "two"): 2, (10, "none"): 0, (50, "whole"): 1, (50, "two"): 0, (50, "none"): 0}
+    assert en.overlap_per_locus(named, strand.where("false"), set_col="name").isEmpty()
