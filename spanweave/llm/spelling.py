@@ -15,6 +15,9 @@ letters in common with an end of its stretch, mostly one or two.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,7 +36,39 @@ ONE_IN = 97
 #: From this depth on, the rests of at most so many pairs of words below two nodes are compared at once.
 DEEP, FEW = 48, 64
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Distinct words that a task counts before it passes them on.
+HELD = 200_000
+
+#: By Latin-1 byte: letters A-Z lowered, letters as they are, all else a blank.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
+
+
+def _counted(letters: int, one_in: int):
+    def words_of(mark: str, text: str, counts: Counter) -> None:
+        # what isn't in Latin-1 isn't a letter here, so it may become any other sign
+        runs = Counter([w for w in text.encode("latin-1", "replace").translate(_LETTERS).split() if len(w) >= letters])
+        begun = zlib.crc32(mark.encode())
+        for run, n in runs.items():
+            h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), begun)
+            if h % one_in:
+                counts[run] += n
+            elif len(run) > letters:
+                p = h % len(run)
+                counts[run[:p] + run[p + 1 :]] += n
+
+    def run(parts):
+        counts: Counter = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        for b in parts:
+            for mark, text in zip(b.column(0).to_pylist(), b.column(1)):
+                words_of(mark, text.as_py(), counts)
+                if len(counts) > HELD:
+                    yield out()
+                    counts.clear()
+        if counts:
+            yield out()
+
+    return run
 
 
 def vocabulary(docs: DataFrame, letters: int = LETTERS, times: int = TIMES, one_in: int = ONE_IN) -> DataFrame:
@@ -42,14 +77,9 @@ def vocabulary(docs: DataFrame, letters: int = LETTERS, times: int = TIMES, one_
     A run whose crc32 after its document's id and a colon is divisible by `one_in` loses one code
     point.  A null id is written as nothing, a null text has no runs, repeated rows count each.
     """
-    low = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
     mark = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"))
-    runs = docs.select(mark.alias("mark"), F.explode(F.split(low, "[^a-zÀ-ÿ]+")).alias("run")).where(F.length("run") >= letters)
-    h = F.crc32(F.concat("mark", "run"))
-    at = F.pmod("h", F.length("run")).cast("int")
-    cut = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
-    words = runs.withColumn("h", h).select(F.when(F.col("h") % one_in == 0, cut).otherwise(F.col("run")).alias("word"))
-    return words.where(F.length("word") >= letters).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= times)
+    counts = docs.select(mark.alias("mark"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counted(letters, one_in), "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= times)
 
 
 # ---- the trie of one stretch ------------------------------------------------------------
@@ -230,11 +260,10 @@ def _stretch(parts):
     yield batch(1, len(a), id=ids[a], n=n[a], other=ids[b], other_n=n[b])
     rows = open_nodes(words)
     if rows:
-        place, depth, prefix, rest, letter, spent = (np.array(c) for c in zip(*rows))
-        signed = lambda v: v.astype(np.uint64).view(np.int64)
+        place, depth, prefix, rest, letter, spent = (np.array(c, k) for c, k in zip(zip(*rows), (np.int64, np.int32, np.uint64, np.uint64, np.int32, bool)))
         for s in range(0, len(rows), 50_000):
             z = slice(s, s + 50_000)
-            yield batch(2, len(place[z]), id=ids[place[z]], n=n[place[z]], depth=depth[z].astype(np.int32), prefix=signed(prefix[z]), rest=signed(rest[z]), letter=letter[z].astype(np.int32), spent=spent[z])
+            yield batch(2, len(place[z]), id=ids[place[z]], n=n[place[z]], depth=depth[z], prefix=prefix[z].view(np.int64), rest=rest[z].view(np.int64), letter=letter[z], spent=spent[z])
 
 
 def variants(words: DataFrame, stretch: int = STRETCH) -> DataFrame:
