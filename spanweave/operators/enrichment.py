@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
+from ..session import staged
 from .intervals import KEY, complement, merged, range_join
 
-#: Most loci or background ranges that each task holds while it draws; more are an error, as one
-#: simulated set must be free of overlaps as a whole.
-MOST = 2_000_000
-
-
-def _bounded(df: DataFrame, what: str) -> list:
-    rows = df.limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} {what}")
-    return rows
+#: Positions in a tile, at least; tiles in order make up stretches of the background.
+TILE = 1 << 16
+#: Loci that a task places at a time, and ranges of background and sets in a stretch, about.
+LOCI, RANGES = 250_000, 250_000
+#: Chromosomes lie so many positions apart (as a power of two) where a task compares places.
+_APART = 40
 
 
 def place(lengths: np.ndarray, chrom: np.ndarray, begin: np.ndarray, size: np.ndarray, limit: np.ndarray, rng: np.random.Generator, retries: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -29,42 +29,203 @@ def place(lengths: np.ndarray, chrom: np.ndarray, begin: np.ndarray, size: np.nd
     (`limit`).  All ranges are drawn at once; those that end too late or meet one before them
     are drawn again, up to `retries` times.
     """
-    cum = np.cumsum(size)
+    cum, chrom = np.cumsum(size), np.asarray(chrom, np.int64)
     n = len(lengths)
     row, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if not n:
+        return row, start
     todo = np.arange(n)
     for _ in range(retries):
         draw = rng.integers(0, cum[-1], len(todo))
         row[todo] = np.searchsorted(cum, draw, "right")
         start[todo] = begin[row[todo]] + draw - (cum[row[todo]] - size[row[todo]])
         late = start + lengths > limit[row]
-        by = np.lexsort((start, chrom[row]))
-        c, s, e = chrom[row][by], start[by], (start + lengths)[by]
-        reach = np.concatenate([[-1], np.maximum.accumulate(e + c * (1 << 40))[:-1]])
+        begins = (chrom[row] << _APART) + start
+        by = np.argsort(begins, kind="stable")
+        reach = np.maximum.accumulate(np.concatenate([[-1], (begins + lengths)[by][:-1]]))
         met = np.zeros(n, bool)
-        met[by] = s + c * (1 << 40) < reach
+        met[by] = begins[by] < reach
         todo = np.nonzero(late | met)[0]
         if not len(todo):
             return row, start
     raise RuntimeError("too many attempts to place ranges")
 
 
-def shuffled(spark: SparkSession, loci: DataFrame, background: DataFrame, genome: DataFrame, simulations: int, seed: int = 1, retries: int = 1000) -> DataFrame:
-    """(sim, chrom, start, stop): for each simulation ranges of the loci's lengths, at random."""
-    lengths = np.array([r[0] for r in _bounded(loci.select((F.col("stop") - F.col("start"))).orderBy(1), "loci")], np.int64)
-    rows = _bounded(background.join(F.broadcast(genome), "chrom").select("chrom", "start", "stop", "length").orderBy("chrom", "start"), "background ranges")
-    names, chrom = np.unique([r[0] for r in rows], return_inverse=True)
-    begin, stop, limit = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-    held = spark.sparkContext.broadcast((lengths, names, chrom, begin, stop - begin, limit))
+# ---- stretches of the background ---------------------------------------------------------
+
+
+def _stretches(background: DataFrame, genome: DataFrame, n_loci: int, longest: int, sets: DataFrame | None, loci_each: int) -> tuple[DataFrame, DataFrame, int]:
+    """(pieces, tiles, tile): background pieces (stretch, chrom, start, stop, limit), the stretch of
+    each tile (chrom, tile, stretch, opens, bases) and the length of tiles.
+
+    A stretch is a run of tiles, over chromosomes if need be, with its share of about `loci_each`
+    loci and of about RANGES pieces and ranges of sets.  A placed range ends at `limit` or before:
+    where the next stretch begins on its chromosome, or at the chromosome's end.  By this seam
+    rule ranges of different stretches can't meet.  Tiles are 64 times as long as the longest
+    locus at least, so that it bars few starts.
+    """
+    tile = max(TILE, 64 * longest)
+    bounds = genome.where("length > 0").select("chrom", F.col("length").cast("long").alias("length"))
+    every = bounds.select("chrom", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {tile}L"))).alias("tile"))
+    first = F.greatest(F.lit(0).cast("long"), F.col("start"))
+    held = background.join(bounds, "chrom").select("chrom", first.alias("start"), F.least("stop", "length").alias("stop")).where("start < stop")
+    cut = held.select("*", F.explode(F.sequence(F.expr(f"start div {tile}L"), F.expr(f"(stop - 1) div {tile}L"))).alias("tile"))
+    pieces = cut.select("chrom", "tile", F.greatest("start", F.col("tile") * tile).alias("start"), F.least("stop", (F.col("tile") + 1) * tile).alias("stop"))
+    load = every.join(pieces.groupBy("chrom", "tile").agg(F.sum(F.col("stop") - F.col("start")).alias("bases"), F.count("*").alias("ranges")), ["chrom", "tile"], "left")
+    if sets is not None:
+        there = sets.groupBy("chrom", F.greatest(F.lit(0).cast("long"), F.expr(f"start div {tile}L")).alias("tile")).agg(F.count("*").alias("more"))
+        load = load.join(there, ["chrom", "tile"], "left")
+    ranges = F.coalesce("ranges", F.lit(0)) + (F.coalesce("more", F.lit(0)) if sets is not None else F.lit(0))
+    # these windows see a row for each tile, that is for each 65,536 positions of the genome or more
+    whole = W.partitionBy(F.lit(0))
+    share = F.coalesce("bases", F.lit(0)) * (n_loci / loci_each) / F.greatest(F.sum("bases").over(whole), F.lit(1)) + ranges / RANGES
+    before = F.sum("share").over(whole.orderBy("chrom", "tile").rowsBetween(W.unboundedPreceding, -1))
+    tiles = load.withColumn("share", share).withColumn("stretch", F.floor(F.coalesce(before, F.lit(0.0))).cast("long"))
+    along = W.partitionBy("chrom").orderBy("tile")
+    tiles = tiles.withColumn("opens", F.coalesce(F.lag("stretch").over(along) != F.col("stretch"), F.lit(True)))
+    after = F.min(F.when(F.col("opens"), F.col("tile") * tile)).over(along.rowsBetween(1, W.unboundedFollowing))
+    tiles = tiles.select("chrom", "tile", "stretch", "opens", F.coalesce("bases", F.lit(0)).alias("bases"), F.coalesce(after, F.col("length")).alias("limit"))
+    return pieces.join(tiles.drop("bases", "opens"), ["chrom", "tile"]).select("stretch", "chrom", "start", "stop", "limit"), tiles, tile
+
+
+def share(counts: np.ndarray, bases: np.ndarray, mine: int, seed: list[int]) -> np.ndarray:
+    """How many loci of each length fall to stretch `mine`: a multinomial by bases, drawn as a tree
+    of binomials, so that each task that walks down to its own leaf sees the same draws."""
+    low, high = 0, len(bases)
+    while high - low > 1:
+        mid = (low + high) // 2
+        whole = bases[low:high].sum()
+        left = np.random.default_rng([*seed, low, high]).binomial(counts, bases[low:mid].sum() / whole if whole else 0.0)
+        counts, low, high = (left, low, mid) if mine < mid else (counts - left, mid, high)
+    return counts
+
+
+def _numbers(row: pa.ListScalar) -> dict[str, np.ndarray]:
+    """The fields of an array of structs, numbers as arrays and others as lists."""
+    held = row.values
+    kinds = [held.type.field(i) for i in range(held.type.num_fields)] if held is not None else []
+    return {k.name: c.to_numpy() if pa.types.is_integer(k.type) else c.to_pylist() for k, c in zip(kinds, held.flatten() if held is not None else ())}
+
+
+class _Placer:
+    """Random places of loci in one stretch, by simulation."""
+
+    def __init__(self, stretch: int, pieces: pa.ListScalar, lengths: np.ndarray, counts: np.ndarray, bases: np.ndarray, seed: int, retries: int):
+        p = _numbers(pieces)
+        self.names, self.chrom = np.unique(np.array(p["chrom"], object), return_inverse=True)
+        self.begin, self.size, self.limit = p["start"], p["stop"] - p["start"], p["limit"]
+        self.stretch, self.lengths, self.counts, self.bases, self.seed, self.retries = stretch, lengths, counts, bases, seed, retries
+
+    def draw(self, sim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(chromosome's place in names, start, stop) of the simulation's ranges here."""
+        own = np.repeat(self.lengths, share(self.counts, self.bases, self.stretch, [self.seed, sim]))
+        row, start = place(own, self.chrom, self.begin, self.size, self.limit, np.random.default_rng([self.seed, sim, self.stretch, 0]), self.retries)
+        return self.chrom[row], start, start + own
+
+
+def _units(loci: DataFrame, background: DataFrame, genome: DataFrame, simulations: int, sets: DataFrame | None, loci_each: int):
+    """(units, lengths, counts, bases): rows (stretch, first, last, pieces, ranges), each for some
+    simulations of a stretch with its background and the sets' ranges that meet it; the loci's
+    lengths and their counts; the bases of each stretch.  Of all that, the driver sees a row for
+    each length and each stretch."""
+    spark = loci.sparkSession
+    classes = loci.groupBy((F.col("stop") - F.col("start")).cast("long").alias("length")).count().orderBy("length").collect()
+    lengths, counts = (np.array([r[i] for r in classes], np.int64) for i in (0, 1))
+    pieces, tiles, tile = _stretches(background, genome, int(counts.sum()), int(lengths.max(initial=0)), sets, loci_each)
+    size = {r[0]: r[1] for r in tiles.groupBy("stretch").agg(F.sum("bases")).collect()}
+    bases = np.array([size.get(i, 0) for i in range(max(size, default=0) + 1)], np.int64)
+    if len(counts) and not bases.sum():
+        raise ValueError("no background to place ranges in")
+    units = pieces.groupBy("stretch").agg(F.collect_list(F.struct("chrom", "start", "stop", "limit")).alias("pieces"))  # about RANGES at most
+    if sets is not None:
+        at = F.greatest(F.lit(0).cast("long"), F.expr(f"start div {tile}L"))
+        dealt = sets.select("*", at.alias("at"), F.explode(F.sequence(at, F.greatest(at, F.expr(f"(stop - 1) div {tile}L")))).alias("tile"))
+        dealt = dealt.join(tiles.select("chrom", "tile", "stretch", "opens"), ["chrom", "tile"]).where("tile = at OR opens")  # once in each stretch
+        units = units.join(dealt.groupBy("stretch").agg(F.collect_list(F.struct("set", "chrom", "start", "stop")).alias("ranges")), "stretch", "left")
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunk = max(1, simulations * len(bases) // tasks)
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(simulations - 1).cast("long"), F.lit(chunk).cast("long"))).alias("first")
+    units = units.select("*", runs).withColumn("last", F.least(F.col("first") + chunk, F.lit(simulations).cast("long")))
+    return units.repartition(min(tasks, len(bases) * -(-simulations // chunk)), "stretch", "first"), lengths, counts, bases
+
+
+def shuffled(loci: DataFrame, background: DataFrame, genome: DataFrame, simulations: int, seed: int = 1, retries: int = 1000, loci_each: int = LOCI) -> DataFrame:
+    """(sim, chrom, start, stop): for each simulation ranges of the loci's lengths at random, free of
+    overlaps, that start in the background.  Their number isn't bounded: beyond `loci_each` the
+    background is dealt to stretches, and lengths to stretches by their bases."""
+    units, *shape = _units(loci, background, genome, simulations, None, loci_each)
+    held = loci.sparkSession.sparkContext.broadcast(shape)  # a number for each length and each stretch
 
     def run(parts):
-        lengths, names, chrom, begin, size, limit = held.value
         for b in parts:
-            for sim in b.column(0).to_pylist():
-                row, start = place(lengths, chrom, begin, size, limit, np.random.default_rng([seed, sim]), retries)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), sim)), pa.array(names[chrom[row]].astype(object), pa.string()), pa.array(start), pa.array(start + lengths)], ["sim", "chrom", "start", "stop"])
+            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            for i in range(b.num_rows):
+                placer = _Placer(col["stretch"][i].as_py(), col["pieces"][i], *held.value, seed, retries)
+                for sim in range(col["first"][i].as_py(), col["last"][i].as_py()):
+                    chrom, start, stop = placer.draw(sim)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), sim)), pa.array(placer.names[chrom], pa.string()), pa.array(start), pa.array(stop)], ["sim", "chrom", "start", "stop"])
+
+    return units.mapInArrow(run, "sim long, chrom string, start long, stop long")
+
+
+class _Index:
+    """The ranges of sets by set, sorted, over the chromosomes of a stretch."""
 
-    return spark.range(simulations).withColumnRenamed("id", "sim").mapInArrow(run, "sim long, chrom string, start long, stop long")
+    def __init__(self, ranges: pa.ListScalar, names: np.ndarray):
+        r = _numbers(ranges)
+        self.sets: list[tuple] = []
+        if not r:
+            return
+        places = {c: i for i, c in enumerate(names)}
+        chrom = np.array([places.get(c, -1) for c in r["chrom"]], np.int64)
+        code, which = np.unique(np.array(r["set"], object), return_inverse=True)
+        for k, name in enumerate(code.tolist()):
+            own = (which == k) & (chrom >= 0)
+            far = chrom[own] << _APART
+            self.sets.append((name, np.sort(far + np.maximum(r["start"][own], 0)), np.sort(far + np.maximum(r["stop"][own], 0))))
+
+    def counts(self, chrom: np.ndarray, start: np.ndarray, stop: np.ndarray, pairs: bool):
+        """(set, metric): ranges that meet the set, or pairs of ranges that meet."""
+        far = chrom << _APART
+        by = np.argsort(far + start)
+        begin, end = (far + start)[by], (far + stop)[by]
+        for name, starts, stops in self.sets:
+            met = np.searchsorted(starts, end, "left") - np.searchsorted(stops, begin, "right")
+            yield name, int(met.sum() if pairs else np.count_nonzero(met > 0))
+
+
+def simulated_counts(loci: DataFrame, sets: DataFrame, background: DataFrame, genome: DataFrame, set_col: str, simulations: int, metric: str = "overlap", seed: int = 1, retries: int = 1000, loci_each: int = LOCI) -> DataFrame:
+    """(set, metric, n): in how many simulations a set has a metric, zeros left out.
+
+    A task places the ranges of a simulation and counts them at once against the sorted ranges of
+    its sets, so neither places nor pairs are shuffled: only counts are, of one stretch already
+    as histograms.
+    """
+    held_sets = sets.where(F.col(set_col).isNotNull()).select(F.col(set_col).alias("set"), "chrom", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    units, *shape = _units(loci, background, genome, simulations, held_sets, loci_each)
+    held = loci.sparkSession.sparkContext.broadcast(shape)  # a number for each length and each stretch
+    alone = len(shape[-1]) == 1
+
+    def run(parts):
+        for b in parts:
+            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            kind = col["ranges"].type.value_type.field(0).type
+            for i in range(b.num_rows):
+                placer = _Placer(col["stretch"][i].as_py(), col["pieces"][i], *held.value, seed, retries)
+                index = _Index(col["ranges"][i], placer.names)
+                seen: Counter = Counter()
+                for sim in range(col["first"][i].as_py(), col["last"][i].as_py()):
+                    for name, m in index.counts(*placer.draw(sim), metric != "overlap"):
+                        if m:
+                            seen[name, None if alone else sim, m] += 1
+                name, sim, m = zip(*seen) if seen else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(name, kind), pa.array(sim, pa.int64()), pa.array(m, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["set", "sim", "metric", "n"])
+
+    made = units.mapInArrow(run, f"set {sets.schema[set_col].dataType.simpleString()}, sim long, metric long, n long")
+    if alone:
+        return made.groupBy("set", "metric").agg(F.sum("n").alias("n"))
+    whole = made.groupBy("set", "sim").agg(F.sum("metric").alias("metric"))
+    return whole.groupBy("set", "metric").agg(F.count("*").alias("n"))
 
 
 def overlap_counts(ranges: DataFrame, sets: DataFrame, set_col: str, by: str, metric: str = "overlap") -> DataFrame:
@@ -84,19 +245,27 @@ def permutation_test(loci: DataFrame, sets: DataFrame, background: DataFrame, ge
 
     if simulations < 1:
         raise ValueError("at least one simulation is needed")
-    spark = loci.sparkSession
-    names = sets.select(set_col).distinct()
-    seen = overlap_counts(loci.select(F.lit(0).alias("g"), "chrom", "start", "stop"), sets, set_col, "g", metric).select(set_col, F.col("metric").alias("seen"))
-    drawn = overlap_counts(shuffled(spark, loci, background, genome, simulations, seed), sets, set_col, "sim", metric)
-    grid = names.select(set_col, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(simulations - 1).cast("long"))).alias("sim"))
-    full = grid.join(drawn, [set_col, "sim"], "left").join(seen, set_col, "left").select(set_col, F.coalesce("metric", F.lit(0)).alias("metric"), F.coalesce("seen", F.lit(0)).alias("seen"))
-    stats = full.groupBy(set_col, "seen").agg(
-        F.count("*").alias("simulations"), F.count_if(F.col("metric") >= F.col("seen")).alias("above"), F.count_if(F.col("metric") <= F.col("seen")).alias("below"),
-        F.median("metric").alias("median"), F.avg("metric").alias("mean"), F.var_samp("metric").alias("variance"),
+    if metric not in ("overlap", "intersection_number"):
+        raise ValueError(f"unsupported metric {metric!r}")
+    names = sets.where(F.col(set_col).isNotNull()).select(F.col(set_col).alias("set")).distinct()
+    seen = overlap_counts(loci.select(F.lit(0).alias("g"), "chrom", "start", "stop"), sets, set_col, "g", metric).select(F.col(set_col).alias("set"), F.col("metric").alias("seen"))
+    drawn = simulated_counts(loci, sets, background, genome, set_col, simulations, metric, seed)
+    # a set's simulations without a row have a metric of 0
+    none = names.join(drawn.groupBy("set").agg(F.sum("n").alias("n")), "set", "left").select("set", F.lit(0).cast("long").alias("metric"), (F.lit(simulations) - F.coalesce("n", F.lit(0))).cast("long").alias("n"))
+    full = staged(drawn.unionAll(none.where("n > 0")), "simulated").join(names.join(seen, "set", "left").select("set", F.coalesce("seen", F.lit(0)).alias("seen")), "set")
+    upto = F.sum("n").over(W.partitionBy("set").orderBy("metric").rowsBetween(W.unboundedPreceding, 0))  # a row for each simulation of a set at most
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("metric")))
+    mean = F.sum(F.col("metric") * F.col("n")) / simulations
+    stats = full.withColumn("upto", upto).groupBy("set", "seen").agg(
+        F.sum(F.when(F.col("metric") >= F.col("seen"), F.col("n")).otherwise(0)).alias("above"), F.sum(F.when(F.col("metric") <= F.col("seen"), F.col("n")).otherwise(0)).alias("below"),
+        ((at((simulations - 1) // 2) + at(simulations // 2)) / 2).alias("median"), mean.alias("mean"),
+        F.sum(F.col("n") * F.col("metric") * F.col("metric")).alias("squares"),
     )
-    above, below = (F.col("above") + 1) / (F.col("simulations") + 1), (F.col("below") + 1) / (F.col("simulations") + 1)
+    spread = F.lit(None).cast("double") if simulations == 1 else (F.col("squares") - simulations * F.col("mean") * F.col("mean")) / (simulations - 1)
+    above, below = (F.col("above") + 1) / (simulations + 1), (F.col("below") + 1) / (simulations + 1)
     p = {"two_sided": 2 * F.least(above, below), "greater": above, "less": below}[alternative]
-    one_each = stats.withColumn("p", p).persist()  # a row for each set; ranking reads it several times
+    rows = stats.select(F.col("set").alias(set_col), "seen", F.lit(simulations).cast("long").alias("simulations"), "above", "below", "median", "mean", F.greatest(spread, F.lit(0.0)).alias("variance"), p.alias("p"))
+    one_each = staged(rows, "enrichment")  # a row for each set; ranking reads it several times
     return benjamini_hochberg(one_each, "p", set_col, "q").orderBy("p", set_col)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: AQE re-plans joins and skew at run time; Arrow carries the few vectorised functions.
 SETTINGS = {
@@ -42,3 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, held, True)
         spark._spanweave_dir = held
     return held
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back, so that what is read
+    several times is computed once and outlives an executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/spanweave-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
