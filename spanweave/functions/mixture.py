@@ -1,4 +1,5 @@
-"""Mixtures fitted by expectation maximisation; every step is one aggregate over the rows."""
+"""Mixtures fitted by expectation maximisation; every step is one aggregate over the rows, or over
+distinct values with their numbers, to which the rows are reduced once."""
 
 from __future__ import annotations
 
@@ -6,9 +7,15 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+from .emissions import Emissions
+from .special import log_sum_exp
+
 
 def converged(before: float, now: float, threshold: float) -> bool:
     """Relative change below the threshold; a NaN is an error."""
@@ -100,3 +107,73 @@ def fit(df: DataFrame, column: str, start: Mixture, threshold: float = 1e-4, ite
         groups = [s[3 * i : 3 * i + 3] for i in range(len(model.parts))]
         model = Mixture(tuple(g[0] / n for g in groups), tuple(type(p).refit(*g) for p, g in zip(model.parts, groups)))
     return model, trace[1:]
+
+
+# ---- over values of several dimensions --------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Blend:
+    """A mixture of parts with emission schemes by dimension, free or shared among parts."""
+
+    weights: tuple[float, ...]
+    emissions: Emissions
+
+    def _joint(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return self.emissions.log_densities(x) + np.log(self.weights)
+
+    def memberships(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log likelihood, memberships of the parts) of rows of values."""
+        joint = self._joint(x)
+        ll = log_sum_exp(joint, axis=1)
+        return ll, np.exp(joint - ll[:, None])
+
+    def predict(self, *columns: Column | str) -> Column:
+        """The likeliest part, the first of equal ones."""
+
+        @F.pandas_udf("int")
+        def part(values: pd.DataFrame) -> pd.Series:
+            return pd.Series(self._joint(values.to_numpy(float)).argmax(axis=1).astype("int32"))
+
+        return part(F.struct(*[F.col(c).cast("double").alias(f"x{i}") if isinstance(c, str) else c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)]))
+
+
+def histogram(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(x0, x1, ..., n): distinct rows of values with their numbers, staged.  Equal values are added
+    up before the shuffle, so a value that most rows have is one row for each task."""
+    return staged(df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).groupBy(*[f"x{i}" for i in range(len(columns))]).agg(F.count("*").alias("n")), "values")
+
+
+def fit_values(df: DataFrame, columns: list[str], start: Blend, threshold: float = 1e-6, iterations: int = 50) -> tuple[Blend, list[float]]:
+    """The fitted blend and the log likelihood before each step.
+
+    Rows are reduced to a histogram of distinct values once; a step is a pass over that.  The
+    driver sees sums for each scheme, and for each value where a scheme's likelihood needs them.
+    Rows without any value count for the weights of parts only.
+    """
+    held, model, trace, k = histogram(df, columns), start, [-math.inf], len(start.weights)
+    kinds = [("kind", pa.int32()), ("i", pa.int32()), ("v", pa.float64()), ("w", pa.float64()), ("wx", pa.float64()), ("wxx", pa.float64())]
+    for _ in range(iterations):
+
+        def expect(parts, model=model):
+            for b in parts:
+                if not b.num_rows:
+                    continue
+                *xs, n = (c.cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False) for c in b.columns)
+                x = np.stack(xs, axis=1)
+                ll, r = model.memberships(x)
+                rows = [(0, 0, None, float((ll * n).sum()), 0.0, 0.0)] + [(1, i, None, float(w), 0.0, 0.0) for i, w in enumerate((r * n[:, None]).sum(axis=0))]
+                rows += [(2, *row) for row in model.emissions.weigh(x, r, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], [name for name, _ in kinds])
+
+        sums = held.mapInArrow(expect, "kind int, i int, v double, w double, wx double, wxx double").groupBy("kind", "i", "v").agg(*[F.sum(c).alias(c) for c in ("w", "wx", "wxx")]).collect()
+        if not sums:
+            raise ValueError("no rows to fit")
+        trace.append(sum(r["w"] for r in sums if r["kind"] == 0))
+        if converged(trace[-2], trace[-1], threshold):
+            break
+        part = {r["i"]: r["w"] for r in sums if r["kind"] == 1}
+        total = sum(part.values())
+        model = Blend(tuple(part[i] / total for i in range(k)), model.emissions.refitted([tuple(r)[1:] for r in sums if r["kind"] == 2]))
+    return model, trace[1:]

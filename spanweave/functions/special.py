@@ -6,7 +6,25 @@ import math
 
 import numpy as np
 
-lgamma = np.vectorize(math.lgamma, otypes=[float])
+#: The first coefficients of Stirling's series for the logarithm of the gamma function.
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+
+
+def lgamma(x):
+    """The logarithm of the gamma function for positive numbers: shifted up to 10 by products of
+    the argument, then Stirling's series; other numbers by `math`."""
+    x = np.asarray(x, float)
+    if (x <= 0).any():
+        return np.vectorize(math.lgamma, otypes=[float])(x)
+    y, product = x.copy(), np.ones_like(x)
+    while (low := y < 10).any():
+        product = np.where(low, product * y, product)
+        y = np.where(low, y + 1, y)
+    z = 1 / (y * y)
+    series = sum(c * z**i for i, c in enumerate(_STIRLING)) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(product)
+
+
 erf = np.vectorize(math.erf, otypes=[float])
 
 
