@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import staged
+
 _REDUCE = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
@@ -44,23 +46,20 @@ def prefix(df: DataFrame, keys: Sequence[str], tile: str, order: Sequence[Column
     return joined.withColumn(out, _merge(how, F.col(name), _REDUCE[how](value).over(inside))).drop(name)
 
 
-def ranges(df: DataFrame, column: str, tiles: int, out: str = "__tile") -> DataFrame:
-    """Add tile numbers that rise with a numeric column, about equally full.
+def ranges(df: DataFrame, order: Sequence[Column], tiles: int, out: str = "__tile") -> DataFrame:
+    """Add tile numbers that rise along `order`, with about equally many rows each.
 
-    Bounds are approximate quantiles, at most `tiles` numbers on the driver; equal values share
-    a tile.  Nulls get the last tile.
+    Tiles are ranges of the whole order, ties included, so a value that most rows have is split.
+    The rows are staged by tile: their ranges come from a sample, and all later passes must see
+    the same ones.
     """
-    bounds = df.agg(F.percentile_approx(column, [i / tiles for i in range(1, tiles)], 10_000)).first()[0] if tiles > 1 else None
-    bounds = sorted(set(bounds or []))
-    tile = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(column))) if bounds else F.lit(0)
-    return df.withColumn(out, F.coalesce(tile, F.lit(len(bounds))))
+    dealt = df.repartitionByRange(tiles, *order)
+    return staged(dealt.withColumn(out, F.spark_partition_id().cast("long")), "ranges")
 
 
 def row_number(df: DataFrame, by: str, ties: Sequence[Column], out: str = "_row", tiles: int | None = None, descending: bool = False) -> DataFrame:
-    """Add 0-based row numbers in the order of a numeric column and then `ties`."""
+    """Add 0-based row numbers in the order of a column and then `ties`."""
     tiles = tiles or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = ranges(df, by, tiles, "__tile")
-    if descending:
-        held = held.withColumn("__tile", -F.col("__tile"))
     order = [F.col(by).desc() if descending else F.col(by).asc(), *ties]
+    held = ranges(df, order, tiles, "__tile")
     return prefix(held, [], "__tile", order, F.lit(1).cast("long"), out, "sum").withColumn(out, F.col(out).cast("long")).drop("__tile")
