@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import IUPAC
+from .chunks import whole
 
 #: Places of a piece that an exact search looks at together.
 STEP = 256
@@ -41,32 +42,48 @@ def find_in(seq: np.ndarray, pattern: np.ndarray, mismatches: int) -> np.ndarray
     if n <= 0:
         return np.zeros(0, np.int64)
     bits = _MASK[seq]
+    fits = {w: (bits & w) != 0 for w in set(pattern.tolist())}
     hit = np.zeros(n, bool)
     for a, z in seeds(len(pattern), mismatches):
         ok = np.ones(n, bool)
         for j in range(a, z):
-            ok &= (bits[j : j + n] & pattern[j]) != 0
+            ok &= fits[int(pattern[j])][j : j + n]
         hit |= ok
     at = np.nonzero(hit)[0]
-    wrong = sum(((bits[at + j] & pattern[j]) == 0).astype(np.int64) for j in range(len(pattern)))
-    return at[wrong <= mismatches]
+    if not mismatches:
+        return at
+    right = sum(fits[int(p)][at + j].astype(np.int16) for j, p in enumerate(pattern))
+    return at[right >= len(pattern) - mismatches]
 
 
 def search(sequences: DataFrame, patterns: list[str], mismatches: int = 0, both_strands: bool = True) -> DataFrame:
-    """(id, pattern, pos, strand) of each match in sequences (id, seq)."""
+    """(id, pattern, pos, strand) of each match in sequences (id, seq), or in chunks of sequences with
+    halos (id, at, seq, halo) of at least the longest pattern's length; seq has a byte a base.
+
+    All sequences of a batch are searched as one array; matches that run over an end are dropped.
+    """
+    held = sequences if "halo" in sequences.columns else whole(sequences)
+    wanted = [(p, strand, f(p)) for p in patterns for strand, f in (("+", _wanted), ("-", _reverse))[: 1 + both_strands]]
 
     def run(parts):
         for b in parts:
-            rows = []
-            for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seq = np.frombuffer((s or "").lower().encode(), np.uint8)
-                for p in patterns:
-                    for strand, want in (("+", _wanted(p)), ("-", _reverse(p))) if both_strands else (("+", _wanted(p)),):
-                        rows += [(i, p, int(x), strand) for x in find_in(seq, want, mismatches)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.string()))], ["id", "pattern", "pos", "strand"])
-
-    return sequences.select(F.col("id").cast("long"), "seq").mapInArrow(run, "id long, pattern string, pos long, strand string")
+            if not b.num_rows:
+                continue
+            text = b.column(2).cast(pa.large_binary())
+            off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            seq = np.frombuffer(text.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+            off, own, at = off - off[0], b.column(3).to_numpy(), b.column(1).to_numpy()
+            for p, strand, want in wanted:
+                place = find_in(seq, want, mismatches)
+                row = np.searchsorted(off, place, "right") - 1
+                local = place - off[row]
+                keep = (local < own[row]) & (place + len(want) < off[row + 1])
+                row, n = row[keep], int(keep.sum())
+                if n:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([p]).take(pa.array(np.zeros(n, np.int64))), pa.array(at[row] + local[keep]), pa.array([strand]).take(pa.array(np.zeros(n, np.int64)))], ["id", "pattern", "pos", "strand"])
+
+    rows = held.where(F.col("seq").isNotNull()).select("id", F.col("at").cast("long").alias("at"), F.lower(F.concat("seq", "halo")).alias("text"), F.octet_length("seq").cast("long").alias("own"))
+    return rows.mapInArrow(run, f"id {sequences.schema['id'].dataType.simpleString()}, pattern string, pos long, strand string")
 
 
 def unique_matches(found: DataFrame) -> DataFrame:

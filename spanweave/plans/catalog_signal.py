@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
+from ..operators import chunks as ch
 from ..operators import coverage as cv
 from ..operators import methylome as me
 from ..operators import nearest as nn
@@ -138,19 +139,24 @@ add("chrom_aliases", "genome", tr.chromosome_aliases, "SELECT chrom, chrom AS al
 add("revcomp", "sequences", lambda s: s.select("id", sq.reverse_complement(F.col("seq")).alias("rc")), "SELECT id, reverse(translate(seq, 'acgt', 'tgca')) AS rc FROM sequences")
 add("subsequence", "sequences", lambda s: s.select("id", sq.subsequence(F.col("seq"), F.lit(3), F.lit(40), F.when(F.col("id") % 2 == 0, "+").otherwise("-")).alias("part")),
     "SELECT id, CASE WHEN id % 2 = 0 THEN substr(seq, 4, 37) ELSE reverse(translate(substr(seq, 4, 37), 'acgt', 'tgca')) END AS part FROM sequences")
+#: Sequences whole, and in chunks that cut bins, windows and matches.
+_CUTS = (("", lambda s, halo: s), ("_chunks", lambda s, halo: ch.haloed(ch.chunked(s, 97), halo)))
 add("gc_bins", "sequences", lambda s: sq.gc_bins(s, 100).select("id", "bin", F.round("gc", 6).alias("gc")), "SELECT id, bin, round(length(regexp_replace(p, '[^cg]', '', 'g'))::double / length(p), 6) AS gc FROM (SELECT id, b AS bin, substr(seq, b + 1, 100) AS p FROM (SELECT *, unnest(range(0, length(seq), 100)) AS b FROM sequences))")
+add("gc_bins_chunks", "sequences", lambda s: sq.gc_bins_of_chunks(ch.chunked(s, 97), 100).select("id", "bin", F.round("gc", 6).alias("gc")), "SELECT id, bin, round(length(regexp_replace(p, '[^cg]', '', 'g'))::double / length(p), 6) AS gc FROM (SELECT id, b AS bin, substr(seq, b + 1, 100) AS p FROM (SELECT *, unnest(range(0, length(seq), 100)) AS b FROM sequences))")
 add("cpg_count", "sequences", lambda s: s.select("id", sq.count_cg(F.col("seq")).cast("long").alias("cg"), sq.count_cpg("seq").cast("long").alias("cpg")),
     "SELECT id, length(regexp_replace(seq, '[^cg]', '', 'g')) AS cg, length(list_filter(range(1, length(seq)), lambda i: substr(seq, i, 2) IN ('cg', 'gc'))) AS cpg FROM sequences")
-add("cpg_class", "sequences", lambda s: s.where(F.length("seq") >= 500).select("id", sq.cpg_class()("seq").alias("kind")),
-    "SELECT id, CASE WHEN bool_or(cg / 500.0 >= 0.55 AND oe >= 0.6) THEN 'HCP' WHEN max(oe) < 0.4 THEN 'LCP' ELSE 'ICP' END AS kind FROM (SELECT id, cg, CASE WHEN cg > 0 THEN 2.0 * cpg / cg ELSE 0 END AS oe FROM w WHERE i >= 500) GROUP BY id",
-    p="SELECT id, unnest(range(1, length(seq) + 1)) AS i, seq FROM sequences WHERE length(seq) >= 500",
-    w="SELECT id, i, sum((substr(seq, i, 1) IN ('c', 'g'))::int) OVER (PARTITION BY id ORDER BY i ROWS 499 PRECEDING) AS cg, sum((i > 1 AND substr(seq, i - 1, 2) IN ('cg', 'gc'))::int) OVER (PARTITION BY id ORDER BY i ROWS 498 PRECEDING) AS cpg FROM p")
+for _name, _kinds in (("", lambda s: s.select("id", sq.cpg_class()("seq").alias("kind"))), ("_chunks", lambda s: sq.cpg_classes(ch.haloed(ch.chunked(s, 97), 499)))):
+    add(f"cpg_class{_name}", "sequences", lambda s, kinds=_kinds: kinds(s.where(F.length("seq") >= 500)),
+        "SELECT id, CASE WHEN bool_or(cg / 500.0 >= 0.55 AND oe >= 0.6) THEN 'HCP' WHEN max(oe) < 0.4 THEN 'LCP' ELSE 'ICP' END AS kind FROM (SELECT id, cg, CASE WHEN cg > 0 THEN 2.0 * cpg / cg ELSE 0 END AS oe FROM w WHERE i >= 500) GROUP BY id",
+        p="SELECT id, unnest(range(1, length(seq) + 1)) AS i, seq FROM sequences WHERE length(seq) >= 500",
+        w="SELECT id, i, sum((substr(seq, i, 1) IN ('c', 'g'))::int) OVER (PARTITION BY id ORDER BY i ROWS 499 PRECEDING) AS cg, sum((i > 1 AND substr(seq, i - 1, 2) IN ('cg', 'gc'))::int) OVER (PARTITION BY id ORDER BY i ROWS 498 PRECEDING) AS cpg FROM p")
 add("cytosine_context", "sequences", lambda s: s.where(F.length("seq") > 0).select("id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("i")).select("id", F.col("i").cast("long").alias("place"), me.cytosine_context(F.col("seq"), F.col("i")).alias("context")).where("context IS NOT NULL"),
     "SELECT * FROM (SELECT id, place, CASE WHEN x = 'c' THEN CASE WHEN y = 'g' THEN 'CG' WHEN y <> '' AND z = 'g' THEN 'CHG' WHEN y <> '' AND z <> '' THEN 'CHH' END WHEN x = 'g' THEN CASE WHEN u = 'c' THEN 'CG' WHEN u <> '' AND v = 'c' THEN 'CHG' WHEN u <> '' AND v <> '' THEN 'CHH' END END AS context FROM b) WHERE context IS NOT NULL",
     b="SELECT id, place, substr(seq, place + 1, 1) AS x, substr(seq, place + 2, 1) AS y, substr(seq, place + 3, 1) AS z, CASE WHEN place >= 1 THEN substr(seq, place, 1) ELSE '' END AS u, CASE WHEN place >= 2 THEN substr(seq, place - 1, 1) ELSE '' END AS v FROM (SELECT id, seq, unnest(range(length(seq))) AS place FROM sequences)")
 add("exact_search", "sequences", lambda s: se.exact(s, "tat"), "SELECT id, p AS pos FROM (SELECT id, seq, unnest(range(length(seq) - 2)) AS p FROM sequences) WHERE substr(seq, p + 1, 3) = 'tat'")
-add("kmismatch_search", "sequences", lambda s: se.search(s, ["acgtat", "ttnaca"], 1),
-    "SELECT id, pattern, p AS pos, strand FROM c, q WHERE p + 6 < length(seq) AND list_sum(list_transform(range(1, 7), lambda j: CASE WHEN substr(w, j, 1) = 'n' OR substr(w, j, 1) = substr(seq, p + j, 1) THEN 0 ELSE 1 END)) <= 1",
-    q="SELECT pattern, strand, CASE strand WHEN '+' THEN pattern ELSE reverse(translate(pattern, 'acgt', 'tgca')) END AS w FROM (VALUES ('acgtat'), ('ttnaca')) v(pattern), (VALUES ('+'), ('-')) s(strand)",
-    c="SELECT id, seq, unnest(range(length(seq) - 6)) AS p FROM sequences WHERE length(seq) > 6")
+for _name, _cut in _CUTS:
+    add(f"kmismatch_search{_name}", "sequences", lambda s, cut=_cut: se.search(cut(s, 6), ["acgtat", "ttnaca"], 1),
+        "SELECT id, pattern, p AS pos, strand FROM c, q WHERE p + 6 < length(seq) AND list_sum(list_transform(range(1, 7), lambda j: CASE WHEN substr(w, j, 1) = 'n' OR substr(w, j, 1) = substr(seq, p + j, 1) THEN 0 ELSE 1 END)) <= 1",
+        q="SELECT pattern, strand, CASE strand WHEN '+' THEN pattern ELSE reverse(translate(pattern, 'acgt', 'tgca')) END AS w FROM (VALUES ('acgtat'), ('ttnaca')) v(pattern), (VALUES ('+'), ('-')) s(strand)",
+        c="SELECT id, seq, unnest(range(length(seq) - 6)) AS p FROM sequences WHERE length(seq) > 6")
 add("peaks_report", "regions genome", lambda r, g: tk.report(cv.peaks_info(r, g).select("count", "total", "most")), "SELECT unnest(['count', 'total', 'most']) AS metric, unnest([n, t, m]) AS value FROM (SELECT count(*)::varchar AS n, cast(sum(stop - start) AS bigint)::varchar AS t, max(stop - start)::varchar AS m FROM regions)")

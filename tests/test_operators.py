@@ -1,5 +1,7 @@
 """Small cases with known results, and randomised ones against plain Python."""
 
+import itertools
+import math
 import random
 
 import numpy as np
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanweave.functions import distributions as di
+from spanweave.functions import emissions as em
 from spanweave.functions import hmm, mixture, special
 from spanweave.functions import hypothesis_tests as ts
 from spanweave.operators import coverage, enrichment, frame, intervals, methylome, nearest, prefix, search, transcripts
@@ -207,19 +210,195 @@ def test_stream_of_events_matches_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("bins").collect())) == sorted(map(tuple, binning.tumbling(events).collect()))
 
 
-def test_registered_hmm_is_fitted_to_its_threshold(spark, monkeypatch):
-    from spanweave.plans import catalog_models
-
-    seen = []
-    monkeypatch.setattr(catalog_models.hm, "fit", lambda *a, **k: seen.append(k) or (a[4], []))
-    catalog_models._hmm(spark.createDataFrame([("a", 100 * i) for i in range(9)], "chrom string, start long"))
-    assert seen == [{}]
-
-
-def test_registered_permutations_resolve_usual_levels(spark, monkeypatch):
-    from spanweave.plans import catalog_models, registry
-
-    seen = []
-    monkeypatch.setattr(catalog_models.en, "permutation_test", lambda *a, **k: seen.append(k["simulations"]) or a[0])
-    registry.QUERIES["permutation_enrichment"](spark, "/root/testdata/sf0.001")
-    assert 2 / (seen[0] + 1) < 0.01
+def _paths(model, x):
+    """All paths of states with their log probabilities, by the definition."""
+    with np.errstate(divide="ignore"):
+        e, t, p = model.emissions.log_densities(x), np.log(model.transition), np.log(model.prior)
+    return {s: p[s[0]] + e[0, s[0]] + sum(t[a, b] + e[i + 1, b] for i, (a, b) in enumerate(zip(s, s[1:]))) for s in itertools.product(range(len(p)), repeat=len(x))}
+
+
+def test_blocks_of_hmm_equal_all_paths(spark):
+    """Sequences cut into blocks of 2 rows over several partitions, against every path."""
+    schemes = (em.Poisson(1.0), em.NegativeBinomial(6.0, 2.0), em.Normal(0.0, 1.0), em.Normal(2.0, 0.5))
+    model = hmm.Hmm(np.array([0.5, 0.3, 0.2]), np.array([[0.8, 0.2, 0.0], [0.1, 0.6, 0.3], [0.3, 0.3, 0.4]]), em.Emissions(schemes, ((0, 2), (1, 2), (1, 3))))
+    rng, rows = np.random.default_rng(4), []
+    for k, n in (("a", 9), ("b", 1), ("c", 7), (None, 3)):
+        rows += [(k, 10 * i, int(rng.poisson(3)), None if i == 4 else float(rng.normal(1, 1))) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, at long, v long, w double")
+    got = hmm.predict(df, "k", "at", ["v", "w"], model, block=2).collect()
+    assert len(got) == len(rows)
+    for k in ("a", "b", "c", None):
+        x = np.array([[v, math.nan if w is None else w] for key, _, v, w in rows if key == k], float)
+        paths, own = _paths(model, x), sorted((r for r in got if r["k"] == k), key=lambda r: r["at"])
+        assert abs(paths[tuple(r["state"] for r in own)] - max(paths.values())) < 1e-9
+        whole = np.logaddexp.reduce(list(paths.values()))
+        for i, r in enumerate(own):
+            assert abs(r["null"] - sum(math.exp(v - whole) for s, v in paths.items() if s[i] == 0)) < 1e-9
+    _, trace = hmm.fit(df, "k", "at", ["v", "w"], model, iterations=1, block=2)
+    want = sum(np.logaddexp.reduce(list(_paths(model, np.array([[v, math.nan if w is None else w] for key, _, v, w in rows if key == k], float)).values())) for k in ("a", "b", "c", None))
+    assert abs(trace[0] - want) < 1e-8
+
+
+def test_hmm_recovers_constrained_emissions_over_many_tasks(spark):
+    truth = hmm.Hmm(np.array([0.5, 0.5]), np.array([[0.95, 0.05], [0.1, 0.9]]), em.Emissions((em.Poisson(2.0), em.NegativeBinomial(12.0, 3.0)), ((0,), (1,))))
+    rng, s, rows = np.random.default_rng(8), 0, []
+    for i in range(20_000):
+        s = int(rng.choice(2, p=truth.transition[s]))
+        rows.append(("one", i, int(rng.poisson(2.0) if s == 0 else rng.poisson(rng.gamma(3.0, 4.0)))))
+    df = spark.createDataFrame(rows, "k string, at long, v long")
+    held = hmm.blocks(df, "k", "at", ["v"], 1000)
+    assert held.count() >= 20 and held.select("head").distinct().count() > 1  # one sequence, many partitions
+    start = hmm.Hmm(np.array([0.5, 0.5]), np.array([[0.8, 0.2], [0.2, 0.8]]), em.Emissions((em.Poisson(1.0), em.NegativeBinomial(8.0, 1.0)), ((0,), (1,))))
+    model, trace = hmm.fit(df, "k", "at", "v", start, threshold=1e-6, iterations=12, block=1000)
+    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(trace, trace[1:]))
+    low, high = model.emissions.schemes
+    assert abs(low.rate - 2) < 0.2 and abs(high.mean - 12) < 0.8 and 2 < high.failures < 4.5 and abs(model.transition[0, 1] - 0.05) < 0.02
+
+
+def test_scan_of_products_equals_one_after_the_other():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 7, 64, 65):
+        steps = rng.normal(size=(n, 3, 3))
+        for plus in (hmm._sum, hmm._top):
+            mul, act = hmm._times(plus)
+            v, want, m = rng.normal(size=3), [], None
+            start = v
+            for s in steps:
+                v = act(v, s)
+                m = s if m is None else mul(m, s)
+                want.append(v)
+            assert np.allclose(hmm.scan(steps, start, mul, act), want) and np.allclose(hmm.total(steps, mul), m)
+
+
+def test_blend_over_values_recovers_its_parts(spark):
+    rng = np.random.default_rng(3)
+    part = rng.random(6000) < 0.4
+    a = np.where(part, rng.poisson(rng.gamma(2.0, 10.0, 6000)), rng.poisson(3.0, 6000))
+    b = np.where(part, rng.normal(5, 1, 6000), rng.normal(0, 1, 6000)).round(1)
+    df = spark.createDataFrame([(int(x), float(y)) for x, y in zip(a, b)], "a long, b double")
+    start = mixture.Blend((0.5, 0.5), em.Emissions((em.Poisson(2.0), em.NegativeBinomial(15.0, 1.0), em.Normal(1.0, 2.0), em.Normal(4.0, 2.0)), ((0, 2), (1, 3))))
+    model, trace = mixture.fit_values(df, ["a", "b"], start)
+    assert all(y >= x - 1e-9 * abs(x) for x, y in zip(trace, trace[1:]))
+    poisson, negative, low, high = model.emissions.schemes
+    assert abs(model.weights[1] - 0.4) < 0.03 and abs(poisson.rate - 3) < 0.2 and abs(negative.mean - 20) < 1.5 and 1.6 < negative.failures < 2.5 and abs(low.mean) < 0.1 and abs(high.mean - 5) < 0.1
+    got = [r[0] for r in df.select(model.predict("a", "b")).collect()]
+    assert np.mean(np.array(got) == part) > 0.97
+    shared = mixture.Blend((0.5, 0.5), em.Emissions((em.NegativeBinomial(3.0, 2.0), em.Normal(0.0, 1.0), em.Normal(3.0, 1.0)), ((0, 1), (0, 2))))
+    model, trace = mixture.fit_values(df, ["a", "b"], shared, iterations=6)
+    assert all(y >= x - 1e-9 * abs(x) for x, y in zip(trace, trace[1:])) and abs(model.emissions.schemes[0].mean - a.mean()) < 1e-6
+
+
+def test_log_gamma_equals_the_scalar_one():
+    x = np.concatenate([np.linspace(1e-3, 30, 3000), [1e2, 1e5, 1e9, 1e15]])
+    assert np.allclose(special.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12) and special.lgamma(-0.5) == math.lgamma(-0.5)
+
+
+def test_registered_permutations_equal_plain_python(spark):
+    """The registered query itself: what is seen exactly, simulated metrics by their distribution."""
+    from spanweave.plans import catalog_models, derive, registry
+
+    sf, wide = "/root/testdata/sf0.001", catalog_models.WIDE
+    got = {r["name"]: r for r in registry.QUERIES["permutation_enrichment"](spark, sf).collect()}
+    loci = [(r[0], r[1] * wide, r[1] * wide + r[2] - r[1]) for r in derive.relation(spark, sf, "loci").select("chrom", "start", "stop").collect()]
+    sets = {}
+    for n, c, a, z in derive.relation(spark, sf, "regions").select("name", "chrom", "start", "stop").collect():
+        sets.setdefault(n, {}).setdefault(c, []).append((a * wide, a * wide + z - a))
+    sets = {n: {c: np.array(sorted(v)) for c, v in by.items()} for n, by in sets.items()}
+    meets = lambda ranges, by: sum(c in by and bool(((by[c][:, 0] < z) & (by[c][:, 1] > a)).any()) for c, a, z in ranges)
+    length, names, rng = derive.CHROM_LENGTH * wide, sorted({c for c, _, _ in loci}), np.random.default_rng(5)
+    drawn = []
+    for _ in range(25):
+        at = rng.integers(0, 5 * length, len(loci))
+        drawn.append([(f"chr{1 + p // length}", p % length, p % length + z - a) for p, (_, a, z) in zip(at.tolist(), loci)])
+    assert set(got) == set(sets) and len(names) == 5
+    for n, by in sets.items():
+        r, plain = got[n], [meets(d, by) for d in drawn]
+        assert r["seen"] == meets(set(loci), by) and r["simulations"] == 1000 and 1000 <= r["above"] + r["below"] <= 2000
+        assert abs(r["mean"] - np.mean(plain)) < 5 * np.sqrt(np.var(plain, ddof=1) / 25) and 0.3 < r["variance"] / np.var(plain, ddof=1) < 3
+        assert r["p"] == 2 * min(r["above"] + 1, r["below"] + 1) / 1001 and abs(r["median"] - r["mean"]) < 1.5
+
+
+def test_placement_over_many_stretches(spark, monkeypatch):
+    loci = spark.createDataFrame([("a", 0, n) for n in (1, 4, 9, 30) for _ in range(250)], "chrom string, start long, stop long")
+    genome = spark.createDataFrame([("a", 2_000_000), ("b", 900_000), ("c", 40)], "chrom string, length long")
+    base = spark.createDataFrame([(1, "a", 100, 1_500_000), (2, "b", 0, 900_000), (3, "c", 0, 10)], "id long, chrom string, start long, stop long")
+    for each in (50, 10**6):
+        units = enrichment._units(loci, base, genome, 3, None, each)
+        assert (len(units[3]) > 10) == (each == 50) and units[3].sum() == 1_499_900 + 900_000 + 10
+        rows = enrichment.shuffled(loci, base, genome, 3, loci_each=each).collect()
+        for sim in range(3):
+            own = sorted((r["chrom"], r["start"], r["stop"]) for r in rows if r["sim"] == sim)
+            assert sorted(z - a for _, a, z in own) == sorted([1, 4, 9, 30] * 250)
+            assert all(x[0] != y[0] or x[2] <= y[1] for x, y in zip(own, own[1:]))
+            assert all(z <= {"a": 2_000_000, "b": 900_000, "c": 40}[c] and (c != "a" or 100 <= a < 1_500_000) and (c != "c" or a < 10) for c, a, z in own)
+            assert 0.5 < sum(c == "a" for c, _, _ in own) / 625 < 1.5
+        sets = spark.createDataFrame([("long", "a", 0, 2_000_000), ("long", "b", 0, 900_000), ("part", "a", 0, 750_000), ("far", "z", 0, 9)], "name string, chrom string, start long, stop long")
+        for metric in ("overlap", "intersection_number"):
+            got = enrichment.simulated_counts(loci, sets, base, genome, "name", 20, metric, loci_each=each).collect()
+            assert {r["set"] for r in got} == {"long", "part"} and all(sum(r["n"] for r in got if r["set"] == s) == 20 for s in ("long", "part"))
+            assert all(990 <= r["metric"] <= 1000 if r["set"] == "long" else 200 < r["metric"] < 430 for r in got)
+
+
+def test_share_is_a_multinomial():
+    bases, counts = np.array([5, 0, 3, 2]), np.array([1000, 40])
+    dealt = np.stack([enrichment.share(counts, bases, i, [1, 7]) for i in range(4)])
+    assert (dealt.sum(axis=0) == counts).all() and (dealt[1] == 0).all() and abs(dealt[0, 0] - 500) < 80
+
+
+def _cut_at_random(r, rows):
+    """Chunks of sequences at any places, single bases among them."""
+    out = []
+    for i, s in rows:
+        cuts = sorted({0, len(s), *r.choices(range(len(s) + 1), k=r.choice([0, 3, 30]))})
+        out += [(i, a, s[a:z]) for a, z in zip(cuts, cuts[1:])] or [(i, 0, s)]
+    return out
+
+
+def test_chunks_with_halos_equal_whole_sequences(spark):
+    from spanweave.functions import sequence
+    from spanweave.operators import chunks
+
+    r = random.Random(6)
+    rows = [(i, "".join(r.choices(["acgt", "cg", "at", "cgn"][i % 4], k=r.choice([0, 1, 5, 40, 160])))) for i in range(24)]
+    df, cut = spark.createDataFrame(rows, "id long, seq string"), spark.createDataFrame(_cut_at_random(r, rows), "id long, at long, seq string")
+    plain = dict(rows)
+    for x in chunks.haloed(cut, 7).collect():
+        assert x["halo"] == plain[x["id"]][x["at"] + len(x["seq"]) :][:7]
+    found = lambda d: sorted(map(tuple, search.search(d, ["acgta", "cgn", "c"], 1).collect()))
+    want = sorted((i, p, x, strand) for i, s in rows for p in ("acgta", "cgn", "c") for strand, w in (("+", search._wanted(p)), ("-", search._reverse(p))) for x in range(len(s) - len(p)) if sum(not search._MASK[ord(s[x + j])] & w[j] for j in range(len(p))) <= 1)
+    assert found(df) == want and found(chunks.haloed(cut, 5)) == want and found(chunks.haloed(chunks.chunked(df, 3), 5)) == want
+    kinds = {x["id"]: x["kind"] for x in df.select("id", sequence.cpg_class(20)("seq").alias("kind")).collect()}
+    assert {x["id"]: x["kind"] for x in sequence.cpg_classes(chunks.haloed(cut, 19), 20).collect()} == kinds and set(kinds.values()) >= {None, "HCP", "LCP"}
+    bins = {(x["id"], x["bin"]): x["gc"] for x in sequence.gc_bins(df, 10).collect()}
+    assert {(x["id"], x["bin"]): x["gc"] for x in sequence.gc_bins_of_chunks(cut, 10).collect()} == bins
+
+
+@pytest.mark.parametrize("alternative", ["less", "greater", "two_sided"])
+def test_fisher_by_recurrence(spark, alternative):
+    r = random.Random(2)
+    tables = [tuple(r.randint(0, r.choice([1, 5, 40])) for _ in range(4)) for _ in range(300)] + [(0, 0, 0, 0), (3, 3, 3, 3), (2, 4, 5, 7), (10, 0, 0, 10)]
+    got = ts.fisher_p(*np.array(tables).T, alternative)
+    for (a, b, c, d), p in zip(tables, got):
+        total, k, n = a + b + c + d, a + b, a + c
+        mass = {x: math.comb(k, x) * math.comb(total - k, n - x) for x in range(max(0, n - total + k), min(n, k) + 1)}
+        chosen = [m for x, m in mass.items() if (x <= a if alternative == "less" else x >= a if alternative == "greater" else m <= mass[a] * (1 + 1e-7))]
+        assert abs(p - sum(chosen) / math.comb(total, n)) < 1e-10
+    big = np.array([[250_000_000, 250_010_000, 250_000_000, 250_000_000], [10, 10**9, 30, 10**9], [5 * 10**8, 10, 10, 5 * 10**8]]).T
+    p = ts.fisher_p(*big, alternative)
+    z = 250_000_000 - (500_010_000 * 500_000_000) / 1_000_010_000
+    sd = math.sqrt(500_010_000 * 500_000_000 / 1_000_010_000**2 * 500_000_000 * 500_010_000 / 1_000_010_000)
+    low = 0.5 * math.erfc(-(z + 0.5) / sd / math.sqrt(2))
+    assert abs(p[0] - {"less": low, "greater": 1 - low, "two_sided": 2 * min(low, 1 - low)}[alternative]) < 2e-4 and (p[1] < 0.01) == (alternative != "greater") and (p[2] < 1e-300) == (alternative != "less")
+    df = spark.createDataFrame([(1, 2, 3, 4), (None, 1, 1, 1)], "a long, b long, c long, d long").select(ts.fisher(alternative)("a", "b", "c", "d").alias("p"))
+    assert sum(x["p"] is None for x in df.collect()) == 1
+
+
+def test_ranks_split_equal_values(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") / 30_000).otherwise(1.0).alias("p"))
+    tiles = [x["count"] for x in prefix.ranges(df, ts._up("p", "id"), 8).groupBy("__tile").count().collect()]
+    assert len(tiles) == 8 and max(tiles) < 2 * 20_000 / 8
+    got = {x["id"]: x["q"] for x in ts.benjamini_hochberg(df).collect()}
+    order, low, m = sorted(((r["p"], r["id"]) for r in df.collect()), reverse=True), 1.0, 20_000
+    for k, (p, i) in enumerate(order):
+        low = min(low, p * m / (m - k))
+        assert abs(got[i] - low) < 1e-12
