@@ -206,8 +206,10 @@ def test_tree_equals_plain_python(spark, tokens, chunk):
     rows = texts(spark)[:120] + [(None, "The the THE end"), (None, None), (7, ""), (7, " \x0b\x1f a"), (9, "many words " * 900), (9, "many words " * 900)]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     df = frame(spark, rows)
-    got = suffix_states.scored(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, 12, 2.0, tokens, chunk).collect()
+    got = suffix_states.scored(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, 0.0, 12, 2.0, tokens, chunk).collect()
     want = plain_tree([((t or ""), held(d)) for d, t in rows], 12, 2.0)
+    by_share = suffix_states.scored(df, F.lit(False), 0.001, 5, 2.0, tokens, chunk).agg(F.sum("score"), F.max("train_tokens")).first()
+    assert abs(by_share[0] - sum(w[4] for w in plain_tree([((t or ""), False) for _, t in rows], 0.001 * by_share[1], 2.0))) < 1e-3
     key = lambda r: (str(r[0]), *[round(float(x), 5) for x in r[2:]])
     a = sorted((key((r.doc_id, 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)) for r in got), key=str)
     b = sorted((key((d, 0, *w)) for (d, _), w in zip(rows, want)), key=str)
