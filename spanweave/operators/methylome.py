@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .frame import merge_inner
 from .intervals import TILE
@@ -75,6 +74,26 @@ def pileup(aligned: DataFrame, reference: DataFrame, min_quality: int = 0) -> Da
     return hits.groupBy("chrom", "strand", "pos").agg(F.count_if(F.col("base") == F.col("ref")).alias("k"), F.count("*").alias("n"))
 
 
-def ordered(methylome: DataFrame) -> DataFrame:
-    """Calls numbered by place within chromosome and strand."""
-    return methylome.withColumn("i", F.row_number().over(W.partitionBy("chrom", "strand").orderBy("pos")) - 1)
+def bisulfite(aligned: DataFrame, chunks: DataFrame, min_quality: int = 0, size: int = 1024) -> DataFrame:
+    """Calls (chrom, strand, pos, context, k, n) from aligned bases of treated reads and the reference
+    in chunks (id, at, seq), id being the chromosome.
+
+    Bases are counted by place first.  The reference is dealt to pieces of `size` places with two
+    bases before and behind them, and a place meets its own piece only.  At a c on plus and a g on
+    minus, k of n bases are unconverted; context is CG, CHG or CHH, null near an end or an n.
+    """
+    from .chunks import haloed
+
+    counts = aligned.where(F.col("quality") >= min_quality).groupBy("chrom", "strand", "pos", "base").agg(F.count("*").alias("m"))
+    sites = counts.groupBy("chrom", "strand", "pos").agg(*[F.coalesce(F.sum(F.when(F.col("base") == b, F.col("m"))), F.lit(0)).alias(b) for b in "cg"], F.sum("m").alias("n"))
+    # a place lies in the piece that begins two bases before its own, so that both sides are there
+    held = haloed(chunks, size + 4).select(F.col("id").alias("chrom"), "at", F.length("seq").alias("own"), F.lower(F.concat("seq", "halo")).alias("text"))
+    first = F.expr(f"(at + {size - 1}) div {size}L")
+    cut = held.where("own > 0").select("chrom", "at", "own", "text", F.explode(F.sequence(first, F.greatest(first, F.expr(f"(at + own - 1) div {size}L")))).alias("piece"))
+    begin = (F.col("piece") * size - F.col("at")).cast("int")
+    pieces = cut.where((begin >= 0) & (begin < F.col("own"))).select("chrom", "piece", F.substring(F.col("text"), begin + 1, F.lit(size + 4)).alias("ref"))
+    asked = sites.withColumn("piece", F.expr(f"greatest(pos - 2, 0L) div {size}L"))
+    met = asked.join(pieces, ["chrom", "piece"]).withColumn("i", (F.col("pos") - F.col("piece") * size).cast("int"))
+    here = F.substring(F.col("ref"), F.col("i") + 1, F.lit(1))
+    calls = met.select("chrom", "strand", "pos", here.alias("here"), cytosine_context(F.col("ref"), F.col("i")).alias("context"), F.when(F.col("strand") == "+", F.col("c")).otherwise(F.col("g")).alias("k"), "n")
+    return calls.where((F.col("here") == "c") & (F.col("strand") == "+") | (F.col("here") == "g") & (F.col("strand") == "-")).drop("here")

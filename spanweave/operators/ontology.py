@@ -15,21 +15,18 @@ def associations(terms: DataFrame, annotations: DataFrame) -> DataFrame:
 def depths(edges: DataFrame, most: int = 1000) -> DataFrame:
     """(node, depth): the longest way from a root, over edges (child, parent) without cycles.
 
-    Each round moves one level down; rounds end when no node is left.  A cycle would never
-    end and is an error after `most` rounds.
+    One plan: a recursive query whose step moves a level down and keeps each node once.  A cycle
+    would never end and is an error of Spark beyond `most` levels; rows aren't limited.
     """
-    nodes = edges.select(F.col("child").alias("node")).unionAll(edges.select("parent")).distinct()
-    level = nodes.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(0).cast("long"))
-    out, n = level, 0
-    while True:
-        n += 1
-        level = edges.join(level.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), F.lit(n).cast("long").alias("depth")).distinct().persist()
-        if level.isEmpty():
-            break
-        if n > most:
-            raise ValueError("the ontology has a cycle")
-        out = out.unionAll(level)
-    return out.groupBy("node").agg(F.max("depth").alias("depth"))
+    query = """
+    WITH RECURSIVE level(node, depth) MAX RECURSION LEVEL {most} AS (
+        SELECT DISTINCT parent, 0L FROM {{edges}} WHERE parent IS NOT NULL AND parent NOT IN (SELECT child FROM {{edges}} WHERE child IS NOT NULL)
+        UNION ALL
+        SELECT DISTINCT e.child, l.depth + 1 FROM level l JOIN {{edges}} e ON e.parent = l.node
+    )
+    SELECT node, max(depth) AS depth FROM (SELECT * FROM level LIMIT ALL) GROUP BY node
+    """
+    return edges.sparkSession.sql(query.format(most=int(most)), edges=edges)
 
 
 def kmeans(df: DataFrame, columns: list[str], clusters: int, seed: int = 1, trials: int = 1) -> DataFrame:

@@ -8,14 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import chunks as ch
 from ..operators import frame as fr
+from ..operators import named
 from ..operators import nearest as nn
 from ..operators import transcripts as tr
 from ..session import shared_folder
-from ..sources import alignments, annotations, bed, sequences, typed_csv
+from ..sources import alignments, annotations, bed, bgzf, sequences, typed_csv
 from .catalog import Catalog
 from .catalog_intervals import _merge_sql
-from .catalog_signal import _EX, _MID, _TSS, _model
+from .catalog_signal import _CC, _EX, _MID, _TSS, _model
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -48,6 +50,45 @@ def _sam(reads: DataFrame) -> DataFrame:
     return alignments.mapped(alignments.read_sam(reads.sparkSession, _text(reads.select(line.alias("value")), ".sam")))
 
 
+def _records(reads: DataFrame) -> DataFrame:
+    """Reads as records of an alignment, without bases."""
+    cells = {"name": F.col("id").cast("string"), "flag": F.when(F.col("strand") == "-", 16).otherwise(0), "chrom": F.col("chrom"), "pos": F.col("start") + 1, "mapq": F.lit(30), "cigar": F.format_string("%dM", F.col("stop") - F.col("start"))}
+    return reads.select(*[c.alias(n) for n, c in cells.items()], F.lit("*").alias("mate_chrom"), F.lit(0).cast("long").alias("mate_pos"), F.lit("*").alias("seq"), F.lit("*").alias("quality"))
+
+
+def _bam(reads: DataFrame, genome: DataFrame) -> str:
+    return _through(_records(reads), ".bam", lambda d, p: bgzf.write(d, genome, p))
+
+
+def _sam_lines(records: DataFrame) -> DataFrame:
+    c = {n.split()[0]: F.col(n.split()[0]).cast("string") for n in bgzf.RECORD.split(", ")}
+    order = ("name", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mate_pos")
+    return records.select(F.concat_ws("\t", *[c[n] for n in order], F.lit("0"), c["seq"], c["quality"]).alias("value"))
+
+
+def _stored_coverage(regions: DataFrame, reads: DataFrame, genome: DataFrame) -> DataFrame:
+    """Coverage from a file of reads: tags and fragment size are kept by the first query, read by the second."""
+    spark, path, folder = reads.sparkSession, _bam(reads, genome), f"{shared_folder(reads.sparkSession)}/kept"
+    first, second = (named.Reads(spark, folder, path, genome) for _ in range(2))
+    first.store()
+    return second.coverage(regions).select("id", "coverage")
+
+
+def _treated(s: DataFrame) -> DataFrame:
+    """Four reads of each longer sequence with clips, a gap and an insertion; treated on both strands, and not."""
+    each = s.where(F.length("seq") >= 60).select("id", "seq", F.explode(F.array(*map(F.lit, range(4)))).alias("r")).withColumn("s", (F.col("id") * 31 + F.col("r") * 17) % (F.length("seq") - 30))
+    part = lambda a, n: F.substring(F.col("seq"), (F.col("s") + a + 1).cast("int"), F.lit(n))
+    treated = lambda c: F.when(F.col("r") == 0, F.translate(c, "c", "t")).when(F.col("r") == 1, F.translate(c, "g", "a")).otherwise(c)
+    bases = F.upper(F.concat(F.lit("ttt"), treated(part(0, 6)), treated(part(8, 5)), F.lit("a"), treated(part(13, 4))))
+    cells = {"name": F.concat_ws(":", "id", "r"), "flag": F.col("r") % 2 * 16, "chrom": F.concat(F.lit("s"), "id"), "pos": F.col("s") + 1, "mapq": F.lit(30), "cigar": F.lit("3S6M2D5M1I4M"), "mate_chrom": F.lit("*"), "mate_pos": F.lit(0), "seq": bases, "quality": F.lit("I" * 19)}
+    return each.select(*[c.alias(n) for n, c in cells.items()])
+
+
+def _methylome(s: DataFrame) -> DataFrame:
+    spark, chunks = s.sparkSession, ch.chunked(s.select(F.concat(F.lit("s"), "id").alias("id"), "seq"), 500)
+    return named.Methylome(spark, f"{shared_folder(spark)}/kept", _text(_sam_lines(_treated(s)), ".sam"), chunks).get()
+
+
 def _fasta(s: DataFrame) -> DataFrame:
     named = s.where(F.length("seq") > 0).select(F.col("id").cast("string").alias("name"), "seq")
     return sequences.read_fasta(s.sparkSession, _through(named, ".fa", sequences.write_fasta))
@@ -69,6 +110,16 @@ add("bed_locations", "loci", lambda x: bed.locations(_bed(x, 3)), "SELECT chrom,
 add("typed_tsv_round_trip", "regions", lambda r: _typed(r, ".tsv"), "SELECT *, id % 2 = 0 AS even FROM regions")
 add("typed_csv_round_trip", "regions", lambda r: _typed(r, ".csv"), "SELECT *, id % 2 = 0 AS even FROM regions")
 add("sam_round_trip", "reads", _sam, "SELECT chrom, strand, start, stop FROM reads")
+add("bam_round_trip", "reads genome", lambda r, g: alignments.mapped(alignments.read_bam(r.sparkSession, _bam(r, g))), "SELECT chrom, strand, start, stop FROM reads")
+_MOVED = "CASE t.strand WHEN '+' THEN -(fragment // 2) ELSE fragment // 2 END"
+add("reads_query", "regions reads genome", _stored_coverage,
+    f"SELECT id, count(pos) AS coverage FROM (SELECT * FROM regions, best) a LEFT JOIN tags t ON a.chrom = t.chrom AND pos >= greatest(start + {_MOVED}, 0) AND pos < stop + {_MOVED} GROUP BY id",
+    **_CC, best="SELECT fragment FROM v ORDER BY value DESC, fragment LIMIT 1")
+add("bisulfite_methylome", "sequences", _methylome,
+    "SELECT chrom, strand, pos, tag, k, n FROM (SELECT chrom, strand, pos, any_value(CASE WHEN y = e THEN 0 WHEN y <> '' AND z = e THEN 1 WHEN y <> '' AND z <> '' THEN 2 END) AS tag, count(*) FILTER (WHERE r >= 2) AS k, count(*) AS n FROM w GROUP BY 1, 2, 3) WHERE tag IS NOT NULL",
+    rd="SELECT id, seq, r, (id * 31 + r * 17) % (length(seq) - 30) AS s FROM sequences, range(4) t(r) WHERE length(seq) >= 60",
+    b="SELECT concat('s', id) AS chrom, CASE WHEN r % 2 = 0 THEN '+' ELSE '-' END AS strand, s + o AS pos, r, seq FROM rd, (SELECT unnest([0, 1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13, 14, 15, 16]) AS o)",
+    w="SELECT chrom, strand, pos, r, CASE strand WHEN '+' THEN 'g' ELSE 'c' END AS e, CASE WHEN strand = '+' THEN substr(seq, pos + 2, 1) WHEN pos >= 1 THEN substr(seq, pos, 1) ELSE '' END AS y, CASE WHEN strand = '+' THEN substr(seq, pos + 3, 1) WHEN pos >= 2 THEN substr(seq, pos - 1, 1) ELSE '' END AS z FROM b WHERE substr(seq, pos + 1, 1) = CASE strand WHEN '+' THEN 'c' ELSE 'g' END")
 add("fasta_round_trip", "sequences", _fasta, "SELECT id::varchar AS name, seq FROM sequences WHERE length(seq) > 0")
 add("gtf_round_trip", "transcripts", _gtf, "SELECT tid, chrom, strand, start, stop FROM ex", ex=_EX)
 add("sizes_round_trip", "genome", _sizes, "SELECT chrom, length FROM genome")

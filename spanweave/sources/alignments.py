@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-import re
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bgzf
+
 #: Flag bits of a read.
 PAIRED, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, SECONDARY, DUPLICATE, SUPPLEMENTARY = 1, 4, 8, 16, 32, 256, 1024, 2048
-_SCHEMA = "name string, flag int, chrom string, pos long, mapq int, cigar string, mate_chrom string, mate_pos long, seq string, quality string"
-#: Codes of bases and CIGAR operations in BAM.
-_BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -28,48 +19,9 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(c[0].alias("name"), c[1].cast("int").alias("flag"), c[2].alias("chrom"), c[3].cast("long").alias("pos"), c[4].cast("int").alias("mapq"), c[5].alias("cigar"), mate.alias("mate_chrom"), c[7].cast("long").alias("mate_pos"), c[9].alias("seq"), c[10].alias("quality"))
 
 
-def _bam_records(stream, batch: int = 10_000) -> Iterator[list[tuple]]:
-    take = stream.read
-    if take(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    take(struct.unpack("<i", take(4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", take(4))[0]):
-        names.append(take(struct.unpack("<i", take(4))[0])[:-1].decode())
-        take(4)
-    name_of = lambda i: names[i] if i >= 0 else "*"
-    held = []
-    while size := take(4):
-        raw = take(struct.unpack("<i", size)[0])
-        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, mref, mpos, _ = struct.unpack_from("<iiBBHHHiiii", raw)
-        at = 32
-        name = raw[at : at + l_name - 1].decode()
-        at += l_name
-        cigar = "".join(f"{v >> 4}{_OPS[v & 15]}" for v in struct.unpack_from(f"<{n_cigar}I", raw, at)) or "*"
-        at += 4 * n_cigar
-        packed = np.frombuffer(raw, np.uint8, (l_seq + 1) // 2, at)
-        seq = "".join(_BASES[v] for v in np.stack([packed >> 4, packed & 15], axis=1).ravel()[:l_seq])
-        at += (l_seq + 1) // 2
-        quality = (np.frombuffer(raw, np.uint8, l_seq, at) + 33).tobytes().decode("latin-1")
-        held.append((name, flag, name_of(ref), pos + 1, mapq, cigar, name_of(mref), mpos + 1, seq, quality))
-        if len(held) == batch:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of BAM files, a file in a task: its blocks are members of one gzip stream."""
-    columns = [x.split()[0] for x in _SCHEMA.split(", ")]
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for raw in f["content"]:
-                for rows in _bam_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw)))):
-                    yield pd.DataFrame(rows, columns=columns)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, _SCHEMA)
+    """Records of BAM files; a file is read by many tasks, by its blocks."""
+    return bgzf.read(spark, path)
 
 
 def _off(*bits: int):
@@ -104,23 +56,30 @@ def is_paired(records: DataFrame) -> bool:
 
 
 def aligned_bases(records: DataFrame) -> DataFrame:
-    """(chrom, pos, base, quality, strand): aligned bases, with reads of mapping quality 0 left out."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for chrom, flag, pos, cigar, seq, quality in zip(f["chrom"], f["flag"], f["pos"], f["cigar"], f["seq"], f["quality"]):
-                ref, read, strand = pos - 1, 0, "-" if flag & REVERSE else "+"
-                for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
-                    n = int(n)
-                    if op in "M=X":
-                        out += [(chrom, ref + i, seq[read + i].lower(), ord(quality[read + i]) - 33, strand) for i in range(n)]
-                    ref += n if op in "MDN=X" else 0
-                    read += n if op in "MIS=X" else 0
-            yield pd.DataFrame(out, columns=["chrom", "pos", "base", "quality", "strand"])
+    """(chrom, pos, base, quality, strand): aligned bases, with reads of mapping quality 0 left out.
 
+    The CIGAR is folded to stretches of matched bases (place in the reference, place in the read,
+    length) by built-in functions, and these to bases; a read without qualities has 255.
+    """
     good = records.where(_off(UNMAPPED, SECONDARY, SUPPLEMENTARY, DUPLICATE) & (F.col("pos") > 0) & (F.col("mapq") > 0))
-    return good.select("chrom", "flag", "pos", "cigar", "seq", "quality").mapInPandas(run, "chrom string, pos long, base string, quality int, strand string")
+    size = lambda op: F.regexp_extract(op, r"\d+", 0).cast("int")
+    kind = lambda op, kinds: F.substring(op, -1, 1).isin(*kinds)
+    ops = F.regexp_extract_all("cigar", F.lit(r"\d+[MIDNSHP=X]"), 0)
+    none = F.array().cast("array<struct<ref:bigint,read:int,n:int>>")
+    start = F.struct((F.col("pos") - 1).cast("long").alias("ref"), F.lit(0).alias("read"), none.alias("out"))
+
+    def step(acc, op):
+        here = F.struct(acc["ref"].alias("ref"), acc["read"].alias("read"), size(op).alias("n"))
+        ref = acc["ref"] + F.when(kind(op, "MDN=X"), size(op)).otherwise(0)
+        read = acc["read"] + F.when(kind(op, "MIS=X"), size(op)).otherwise(0)
+        return F.struct(ref.alias("ref"), read.alias("read"), F.when(kind(op, "M=X"), F.array_append(acc["out"], here)).otherwise(acc["out"]).alias("out"))
+
+    strand = F.when(F.col("flag").bitwiseAND(REVERSE) != 0, "-").otherwise("+")
+    runs = good.select("chrom", strand.alias("strand"), "seq", "quality", F.explode(F.aggregate(ops, start, step, lambda acc: acc["out"])).alias("run")).where("run.n > 0")
+    each = runs.select("chrom", "strand", "seq", "quality", "run", F.explode(F.sequence(F.lit(0), F.col("run.n") - 1)).alias("i"))
+    at = F.col("run.read") + F.col("i") + 1
+    quality = F.when(F.col("quality") == "*", 255).otherwise(F.ascii(F.substring(F.col("quality"), at, F.lit(1))) - 33)
+    return each.select("chrom", (F.col("run.ref") + F.col("i")).alias("pos"), F.lower(F.substring(F.col("seq"), at, F.lit(1))).alias("base"), quality.cast("int").alias("quality"), "strand")
 
 
 #: Formats of reads by extension.

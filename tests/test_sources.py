@@ -1,12 +1,15 @@
 """Files read back what was written, and awkward records are handled as documented."""
 
 import gzip
+import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
 
-from spanweave.sources import alignments, annotations, bed, sequences, typed_csv
+from spanweave.operators import methylome, named
+from spanweave.sources import alignments, annotations, bed, bgzf, sequences, typed_csv
 
 
 def put(tmp_path, name, text):
@@ -76,11 +79,117 @@ def test_bam(spark, tmp_path):
     name, cigar, seq = b"r1\0", struct.pack("<2I", 4 << 4, 2 << 4 | 4), bytes([0x12, 0x48, 0x12])
     body = struct.pack("<iiBBHHHiiii", 0, 10, len(name), 30, 0, 2, 16, 6, -1, -1, 0) + name + cigar + seq + bytes([40] * 6)
     raw = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000) + struct.pack("<i", len(body)) + body
-    (tmp_path / "a.bam").write_bytes(gzip.compress(raw[:20]) + gzip.compress(raw[20:]))
+    (tmp_path / "a.bam").write_bytes(bgzf._block(raw[:20]) + bgzf._block(raw[20:]) + bgzf._LAST)
     r = alignments.read_bam(spark, str(tmp_path / "a.bam")).first()
     assert (r.name, r.flag, r.chrom, r.pos, r.cigar, r.seq) == ("r1", 16, "chr1", 11, "4M2S", "ACGTAC")
 
 
+def _records(r, n, refs):
+    out = []
+    for i in range(n):
+        size = r.choice([0, 1, 30, 31, 200, 3000])
+        seq, flag = "".join(r.choices("ACGTN", k=size)), r.choice([0, 16, 4, 1024])
+        cigar = f"{size}M" if size else "*"
+        quality = "".join(chr(r.randint(33, 126)) for _ in range(size)) if r.random() < 0.8 else "*"
+        out.append((f"read/{i}", flag, r.choice(refs), r.randint(1, 900), r.randint(0, 60), cigar, r.choice([*refs, "*"]), r.randint(0, 900), seq or "*", quality if size else "*"))
+    return out
+
+
+def test_one_bam_file_is_read_by_many_tasks(spark, tmp_path):
+    r = random.Random(5)
+    refs = [f"chr{i}" for i in range(40)]
+    rows = _records(r, 2500, refs)
+    genome = spark.createDataFrame([(c, 1000) for c in refs], "chrom string, length long")
+    bgzf.write(spark.createDataFrame(rows, bgzf.RECORD).coalesce(1), genome, str(tmp_path / "x"))
+    (whole,) = [f for f in (tmp_path / "x").iterdir() if f.name.startswith("part-")]
+    whole.rename(tmp_path / "one.bam")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("150000", "70000", held):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = alignments.read_bam(spark, str(tmp_path / "one.bam"))
+            begins = bgzf.lines(spark, str(tmp_path / "one.bam")).select("begin").distinct().count()
+            assert (begins > 5) == (size != held) and sorted(map(tuple, got.collect())) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    bgzf.write(spark.createDataFrame(rows, bgzf.RECORD).repartition(5), genome, str(tmp_path / "many"))
+    assert sorted(map(tuple, alignments.read_bam(spark, str(tmp_path / "many")).collect())) == sorted(rows)
+    bgzf.write(spark.createDataFrame([], bgzf.RECORD), genome, str(tmp_path / "none"))
+
+
+def test_blocks_with_separators_by_chance():
+    data = [bytes([i]) * 700 for i in range(5)]
+    # stored, not compressed, so that the separator stands in the block
+    stored = lambda d: (z := zlib.compressobj(0, zlib.DEFLATED, -15)).compress(d) + z.flush()
+    block = lambda d: bgzf._MAGIC + b"\0" * 4 + b"\0\xff\x06\0" + bgzf._EXTRA + struct.pack("<H", len(stored(d)) + 25) + stored(d) + struct.pack("<II", zlib.crc32(d), len(d))
+    data[2] = b"ab" + bgzf._MAGIC + bgzf._MAGIC + b"c" * 40 + bgzf._MAGIC
+    raw = b"".join(map(block, data)) + bgzf._LAST
+    assert list(bgzf._inflated(iter(raw.split(bgzf._MAGIC)))) == [*data, b""]
+    with pytest.raises(ValueError):
+        list(bgzf._inflated(iter(raw[:1700].split(bgzf._MAGIC))))
+    one = bgzf._packed({"name": "n", "flag": 0, "chrom": "a", "pos": 5, "mapq": 9, "cigar": "3M", "mate_chrom": "*", "mate_pos": 0, "seq": "ACG", "quality": "III"}, {"a": 0})
+    assert bgzf.first_record(b"\0\1\2xyz" + one * 9) == 6 and bgzf.first_record(one * 3 + one[:20]) == 0 and bgzf.first_record(b"junk" * 30) == 120
+
+
+def test_bisulfite_calls_equal_plain_python(spark):
+    r = random.Random(9)
+    reference = {c: "".join(r.choices("acgtn" if c == "b" else "acgt", k=n)) for c, n in (("a", 2300), ("b", 60))}
+    rows, want = [], {}
+    for i in range(150):
+        chrom, reverse = r.choice(["a", "b"]), r.random() < 0.5
+        ops, ref, seq, at = [], r.randint(0, len(reference[chrom]) - 1), "", []
+        start = ref
+        for op in r.sample(["M", "I", "M", "D", "S", "=", "X", "N", "H", "P"], 6):
+            n = r.randint(1, 9)
+            if op in "M=XDN":
+                n = min(n, len(reference[chrom]) - ref)
+            if not n:
+                continue
+            ops.append(f"{n}{op}")
+            if op in "M=X":
+                at += [(ref + j, len(seq) + j) for j in range(n)]
+            if op in "M=XIS":
+                seq += "".join(r.choices("ACGT", k=n))
+            ref += n if op in "M=XDN" else 0
+        quality, mapq, flag = "".join(r.choices("+5I", k=len(seq))), r.choice([0, 30, 30]), (16 if reverse else 0) | r.choice([0, 0, 1024])
+        rows.append((f"r{i}", flag, chrom, start + 1, mapq, "".join(ops) or "*", "*", 0, seq or "*", quality or "*"))
+        for p, q in at if mapq and not flag & 1024 else ():
+            if ord(quality[q]) - 33 >= 20 and reference[chrom][p] == ("g" if reverse else "c"):
+                s = want.setdefault((chrom, "-" if reverse else "+", p), [0, 0])
+                s[0] += seq[q].lower() == ("g" if reverse else "c")
+                s[1] += 1
+    def context(c, strand, p):
+        s, step, last = reference[c], (1, -1)[strand == "-"], "g" if strand == "+" else "c"
+        one, two = (s[q] if 0 <= (q := p + k * step) < len(s) else "" for k in (1, 2))
+        h = lambda x: x not in (last, "n", "")
+        return "CG" if one == last else "CHG" if h(one) and two == last else "CHH" if h(one) and h(two) else None
+
+    cut = spark.createDataFrame([(c, a, s[a : a + 100]) for c, s in reference.items() for a in range(0, len(s), 100)], "id string, at long, seq string")
+    aligned = alignments.aligned_bases(spark.createDataFrame(rows, bgzf.RECORD))
+    for size in (16, 1024):
+        got = methylome.bisulfite(aligned, cut, 20, size).collect()
+        assert {(x["chrom"], x["strand"], x["pos"]): (x["context"], [x["k"], x["n"]]) for x in got} == {k: (context(*k), v) for k, v in want.items()} and len(got) == len(want) > 50
+
+
+def test_reads_are_kept_by_their_content(spark, tmp_path):
+    lines = [f"r{i}\t{16 * (i % 2)}\tchr1\t{1 + 37 * i % 900}\t30\t10M\t*\t0\t0\t*\t*" for i in range(60)]
+    path = put(tmp_path, "a.sam", "\n".join(lines))
+    genome = spark.createDataFrame([("chr1", 1000)], "chrom string, length long")
+    q = named.Reads(spark, str(tmp_path), path, genome, fragment=20)
+    tags, about = q.get()
+    assert about == {"fragment": 20, "read_length": 10.0} and tags.count() == 60
+    same = named.Reads(spark, str(tmp_path), put(tmp_path, "b.sam", "\n".join(lines[::-1])), genome, fragment=20)
+    assert same.store() == q.store() and named.Reads(spark, str(tmp_path), path, genome, fragment=21).store() != q.store()
+    put(tmp_path, "a.sam", "\n".join(lines[:50]))  # stale now
+    assert named.Reads(spark, str(tmp_path), path, genome, fragment=20).get()[0].count() == 50
+    assert named.Reads(spark, str(tmp_path), put(tmp_path, "none.sam", "@HD\n"), genome).get()[1] == {"fragment": 0, "read_length": 0.0}
+    estimated = named.Reads(spark, str(tmp_path), path, genome).get()[1]["fragment"]
+    regions = spark.createDataFrame([(1, "chr1", "+", 0, 1000)], "id long, chrom string, strand string, start long, stop long")
+    assert 15 <= estimated <= 500 and q.coverage(regions).first()["coverage"] > 40
+    with pytest.raises(ValueError):
+        named.Reads(spark, str(tmp_path), "x.cram", genome)
+
+
 GTF = """#!x
 chr1\ts\ttranscript\t11\t100\t.\t+\t.\tgene_id "g"; transcript_id "t"; gene_name "N";
 chr1\ts\texon\t11\t40\t.\t+\t.\tgene_id "g"; transcript_id "t";
@@ -122,7 +231,6 @@ def test_texts():
 
 
 def test_named_tables(spark, tmp_path):
-    from spanweave.operators import named
 
     built = []
     make = lambda: built.append(1) or spark.range(3)
