@@ -7,10 +7,13 @@ length of range; merging and gaps are prefix scans over tiles of positions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ..session import staged
 from .prefix import prefix
 
 KEY = ("chrom", "strand")
@@ -61,9 +64,12 @@ def _own_level(mark: str = "") -> Column:
     return own
 
 
-def levels_of(df: DataFrame) -> set[int]:
-    """The bin sizes that ranges of this frame are dealt at; at most len(LEVELS) numbers."""
-    return {r[0] for r in df.select(_own_level().alias("l")).distinct().collect()}
+def levels_of(*frames: DataFrame) -> list[set[int]]:
+    """The bin sizes that ranges of each frame are dealt at, by one job: a number for each frame."""
+    mask = lambda i, df: df.select(_own_level().alias("l")).agg(F.lit(i).alias("i"), F.bit_or(F.expr("shiftleft(1, l)")).alias("m"))
+    parts = [mask(i, df) for i, df in enumerate(frames)]
+    held = dict(tuple(r) for r in reduce(DataFrame.unionAll, parts).collect())
+    return [{level for level in LEVELS if (held[i] or 0) >> level & 1} for i in range(len(frames))]
 
 
 #: A bin is one number: its level above this bit, its place below.
@@ -96,7 +102,7 @@ def range_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY, how: str =
     both dealt to a coarser size than their own never meet there: a's own bins meet all bins of
     b, and a's coarser ones meet b's own ones only.
     """
-    la, lb = levels_of(a), levels_of(b)
+    la, lb = levels_of(a, b)
     left = _dealt(a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in keys]), "a_", la, lb)
     right = _dealt(b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys]), "b_", lb, la)
     on = [*keys, "bin"]
@@ -158,14 +164,32 @@ def _tiled(df: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def merged(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Disjoint ranges: overlapping and touching ones become one."""
+    """Disjoint ranges: overlapping and touching ones become one.
+
+    One pass over tiles of positions.  A tile knows, from a row for each tile, how far the ranges
+    before it reach and where the next one begins; a range begins a merged one if it starts
+    beyond that reach, and ends one if the next starts beyond it.  Only begins and ends are
+    kept, staged, and those of one merged range in two tiles, at most two for each tile, paired.
+    """
     rows = _tiled(df.select(*keys, "start", "stop"))
-    order = [F.col("start"), F.col("stop")]
-    reach = prefix(rows, keys, "__tile", order, F.col("stop"), "__reach", "max")
-    new = F.when(F.col("__reach").isNull() | (F.col("start") > F.col("__reach")), 1).otherwise(0)
-    marked = reach.withColumn("__new", new.cast("long"))
-    island = prefix(marked, keys, "__tile", [*order, F.col("__new").desc()], F.col("__new"), "__island", "sum", inclusive=True)
-    return island.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("__island")
+    tiles = rows.groupBy(*keys, "__tile").agg(F.max("stop").alias("top"), F.min("start").alias("low"))
+    along = W.partitionBy(*keys).orderBy("__tile")  # a row for each tile
+    carried = tiles.select(*keys, "__tile", F.max("top").over(along.rowsBetween(W.unboundedPreceding, -1)).alias("__before"), F.lead("low").over(along).alias("__next"))
+    inside = W.partitionBy(*keys, "__tile").orderBy("start", "stop")
+    reach = F.greatest("__before", F.max("stop").over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    after = F.coalesce(F.lead("start").over(inside), F.col("__next"))
+    marked = rows.join(carried, [*keys, "__tile"]).select(*keys, "__tile", "start", "stop", reach.alias("__reach"), after.alias("__after"))
+    upto = F.greatest("__reach", "stop")
+    begins, ends = F.col("__reach").isNull() | (F.col("start") > F.col("__reach")), F.col("__after").isNull() | (F.col("__after") > upto)
+    kept = marked.select(*keys, "__tile", "start", "stop", upto.alias("__upto"), begins.alias("__begins"), ends.alias("__ends")).where("__begins OR __ends")
+    # in a tile begins and ends take turns, so a begin's end is the next row
+    stop = F.when(F.col("__begins") & ~F.col("__ends"), F.lead("__upto").over(inside)).otherwise(F.col("__upto"))
+    alone = F.col("__begins") | F.lag("__begins").over(inside).isNull()
+    out = kept.select(*keys, "__tile", F.when(F.col("__begins"), F.col("start")).alias("start"), stop.alias("stop"), alone.alias("__alone")).where("__alone")
+    held = staged(out.drop("__alone"), "merged")
+    loose = held.where("start IS NULL OR stop IS NULL")
+    closed = loose.withColumn("stop", F.lead("stop").over(W.partitionBy(*keys).orderBy("__tile", F.col("start").asc_nulls_first()))).where("start IS NOT NULL")
+    return held.where("start IS NOT NULL AND stop IS NOT NULL").unionAll(closed).drop("__tile")
 
 
 def merged_where(df: DataFrame, predicate: Column, keys: Sequence[str] = KEY) -> DataFrame:
@@ -193,7 +217,7 @@ def subtract(a: DataFrame, b: DataFrame, id_col: str, keys: Sequence[str] = KEY)
     cut = a.select(id_col, *keys, "start", "stop")
     # holes of one range are disjoint: in order, their ends and begins bound what is left
     hole = F.struct(F.col("i_start").cast("long").alias("h0"), F.col("i_stop").cast("long").alias("h1"))
-    holes = intersections(cut, merged(b, keys).persist(), keys=keys).groupBy(id_col).agg(F.array_sort(F.collect_list(hole)).alias("__holes"))
+    holes = intersections(cut, merged(b, keys), keys=keys).groupBy(id_col).agg(F.array_sort(F.collect_list(hole)).alias("__holes"))
     held = cut.join(holes, id_col, "left").withColumn("__holes", F.coalesce("__holes", F.array().cast("array<struct<h0:bigint,h1:bigint>>")))
     begins = F.concat(F.array(F.col("start").cast("long")), F.transform("__holes", lambda h: h["h1"]))
     ends = F.concat(F.transform("__holes", lambda h: h["h0"]), F.array(F.col("stop").cast("long")))
@@ -231,7 +255,7 @@ def overlap_fraction(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """Common positions of merged a and b over all their positions."""
-    a, b = merged(a).persist(), merged(b).persist()  # each is read for its size and for the join
+    a, b = merged(a), merged(b)  # staged, as each is read for its size and for the join
     sizes = [a.agg(length(a).alias("la")), b.agg(length(b).alias("lb")), intersections(a, b).agg(F.coalesce(F.sum(F.col("i_stop") - F.col("i_start")), F.lit(0)).alias("lab"))]
     one = sizes[0].crossJoin(sizes[1]).crossJoin(sizes[2])  # three single rows
     return one.select(F.try_divide(F.col("lab").cast("double"), F.col("la") + F.col("lb") - F.col("lab")).alias("jaccard"))

@@ -85,7 +85,7 @@ def _treated(s: DataFrame) -> DataFrame:
 
 
 def _methylome(s: DataFrame) -> DataFrame:
-    spark, chunks = s.sparkSession, ch.chunked(s.select(F.concat(F.lit("s"), "id").alias("id"), "seq"), 500)
+    spark, chunks = s.sparkSession, ch.chunked(s.select(F.concat(F.lit("s"), "id").alias("id"), "seq"), 4096)
     return named.Methylome(spark, f"{shared_folder(spark)}/kept", _text(_sam_lines(_treated(s)), ".sam"), chunks).get()
 
 
