@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..session import staged
+from .frame import uniform
 from .intervals import KEY, complement, merged, range_join
+from .prefix import prefix, ranges
 
 #: Positions in a tile, at least; tiles in order make up stretches of the background.
 TILE = 1 << 16
@@ -273,29 +275,52 @@ def sample_locations(spark: SparkSession, genome: DataFrame, n: int, length: int
     """(id, chrom, start, stop, strand): n ranges of one length, uniform over the genome.
 
     With `gaps` (chrom, start, stop: unknown bases) none meets a gap: starts are drawn from the
-    places where a range fits, which has the distribution of drawing until it does.
+    places where a range fits, which has the distribution of drawing until it does.  A draw
+    follows from the seed and the id; it meets its range by a range join over running sums of
+    the ranges' sizes, so neither ranges nor draws pass through the driver.
     """
     room = genome.where(F.col("length") >= length).select("chrom", (F.col("length") - length + 1).cast("long").alias("length"))
     fits = room.select("chrom", F.lit(0).cast("long").alias("start"), F.col("length").alias("stop"))
     if gaps is not None:  # a range that starts less than its length before a gap meets it
         taken = gaps.where("start < stop").select("chrom", F.greatest(F.col("start") - (length - 1), F.lit(0).cast("long")).alias("start"), "stop")
         fits = complement(merged(taken, ("chrom",)), room, ("chrom",))
-    rows = _bounded(fits.orderBy("chrom", "start"), "ranges to draw from")
-    if not rows:
+    order = [F.col("chrom"), F.col("start")]
+    tiled = ranges(fits.withColumn("size", F.col("stop") - F.col("start")), order, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    summed = prefix(tiled, [], "__tile", order, F.col("size"), "low", "sum")
+    total = tiled.agg(F.sum("size")).first()[0]
+    if not total:
         raise ValueError("no chromosome is long enough, or gaps leave no room")
-    held = spark.sparkContext.broadcast(([r["chrom"] for r in rows], np.array([r["start"] for r in rows]), np.cumsum([r["stop"] - r["start"] for r in rows])))
-
-    def run(parts):
-        names, first, cum = held.value
-        for b in parts:
-            i = b.column(0).to_numpy()
-            at = np.random.default_rng([seed, int(i[0])]).integers(0, 2 * cum[-1], len(i)) if len(i) else i
-            at, strand = at // 2, np.where(at % 2, "+", "-")
-            row = np.searchsorted(cum, at, "right")
-            start = first[row] + at - np.concatenate([[0], cum])[row]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[r] for r in row], pa.string()), pa.array(start), pa.array(start + length), pa.array(strand.astype(object), pa.string())], ["id", "chrom", "start", "stop", "strand"])
-
-    return spark.range(n).mapInArrow(run, "id long, chrom string, start long, stop long, strand string")
+    one = F.lit(0).alias("g")
+    places = summed.select(one, F.col("low").cast("long").alias("start"), (F.col("low") + F.col("size")).cast("long").alias("stop"), "chrom", F.col("start").alias("first"))
+    at = F.floor(uniform(seed, F.col("id")) * F.lit(total)).cast("long")
+    draws = spark.range(n).select(one, "id", at.alias("start"), (at + 1).alias("stop"), F.when(uniform(seed + 1, F.col("id")) < 0.5, "-").otherwise("+").alias("strand"))
+    start = F.col("b_first") + F.col("start") - F.col("b_start")
+    return range_join(draws, places, ("g",)).select("id", F.col("b_chrom").alias("chrom"), start.alias("start"), (start + length).alias("stop"), "strand")
+
+
+def randomized(loci: DataFrame, genome: DataFrame, gaps: DataFrame | None = None, seed: int = 1, attempts: int = 1000) -> DataFrame:
+    """(id, chrom, start, stop, strand): for each locus (unique `id`) one of its length at random on
+    its chromosome; they may overlap.  One that meets a gap is drawn again, all of a round at
+    once; more than `attempts` rounds, or a locus longer than its chromosome, are an error."""
+    size = F.col("stop") - F.col("start")
+    todo = loci.select("id", "chrom", size.alias("size")).join(genome.select("chrom", F.col("length").cast("long").alias("length")), "chrom")
+    if not todo.where("size > length").isEmpty():
+        raise ValueError("a locus is longer than its chromosome")
+    done = None
+    for k in range(attempts):
+        start = F.floor(uniform(seed, F.col("id"), F.lit(k)) * (F.col("length") - F.col("size") + 1)).cast("long")
+        drawn = todo.withColumn("start", start).withColumn("stop", F.col("start") + F.col("size"))
+        if gaps is not None:
+            drawn = staged(drawn, "drawn")
+            met = staged(range_join(drawn.select("chrom", "start", "stop", "id"), gaps.where("start < stop").select("chrom", "start", "stop"), ("chrom",)).select("id").distinct(), "met")
+            todo = drawn.join(met, "id", "left_semi").drop("start", "stop")
+            drawn = drawn.join(met, "id", "left_anti")
+        strand = F.when(uniform(seed + 1, F.col("id")) < 0.5, "-").otherwise("+")
+        good = drawn.select("id", "chrom", "start", "stop", strand.alias("strand"))
+        done = good if done is None else done.unionAll(good)
+        if gaps is None or met.isEmpty():
+            return done
+    raise RuntimeError("too many attempts to place ranges outside of gaps")
 
 
 def overlap_per_locus(loci: DataFrame, sets: DataFrame, metric: str = "overlap", set_col: str | None = None) -> DataFrame:

@@ -89,11 +89,25 @@ def where_mask(df: DataFrame, masks: DataFrame, column: str = "mask") -> DataFra
     return df.join(masks.where(column).select(ROW), ROW, "left_semi")
 
 
+#: Kinds of typed columns.
+KINDS = {"byte": "tinyint", "short": "smallint", "int": "int", "long": "bigint", "float": "float", "double": "double", "boolean": "boolean", "string": "string"}
+
+
+def slice_as(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """(row, value) of a column of the given kind; a column of another kind is an error, not a cast."""
+    held = df.schema[column].dataType.simpleString()
+    if held != KINDS[kind]:
+        raise TypeError(f"{column} is {held}, not {kind}")
+    return df.select(ROW, F.col(column).alias("value"))
+
+
 def iloc(df: DataFrame, start: int, stop: int, step: int = 1) -> DataFrame:
-    """Rows start, start + step, ... before stop."""
-    if start < 0 or step <= 0:
+    """Rows start, start + step, ... before stop, which lies within the rows: a one-row count rides
+    along and raises where it doesn't."""
+    if start < 0 or step <= 0 or stop < start:
         raise IndexError(f"bad slice {start}:{stop}:{step}")
-    return df.where((F.col(ROW) >= start) & (F.col(ROW) < stop) & ((F.col(ROW) - start) % step == 0))
+    rows = df.agg(F.count("*").alias("__rows")).select(F.when(F.col("__rows") >= stop, True).otherwise(F.raise_error(F.concat(F.lit(f"slice to {stop} of rows: "), F.col("__rows").cast("string"))).cast("boolean")).alias("__ok"))
+    return df.crossJoin(F.broadcast(rows)).where("__ok").drop("__ok").where((F.col(ROW) >= start) & (F.col(ROW) < stop) & ((F.col(ROW) - start) % step == 0))
 
 
 # ---- order ------------------------------------------------------------------------------

@@ -99,6 +99,22 @@ def _gtf(t: DataFrame) -> DataFrame:
     return tr.exons(back).withColumn("tid", F.col("tid").cast("long"))
 
 
+def _detected(loci: DataFrame) -> DataFrame:
+    """Records of six fields and two more, read by the format that their first lines show."""
+    path = _through(loci, ".bed", lambda d, p: d.select(F.concat_ws("\t", "chrom", "start", "stop", F.concat(F.lit("n"), "id"), "score", "strand", F.lit("x"), "id").alias("value")).write.text(p))
+    fmt = bed.detect(loci.sparkSession, path)
+    return bed.read(loci.sparkSession, path, fmt).select("chrom", "start", "stop", "name", "score", "strand", F.array_join("extras", "|").alias("extras"), F.lit(str(fmt)).alias("format"))
+
+
+def _npz(regions: DataFrame) -> DataFrame:
+    return typed_csv.read_npz(regions.sparkSession, _through(regions.withColumn("even", F.col("id") % 2 == 0), ".npz", typed_csv.write_npz))
+
+
+def _twobit(s: DataFrame) -> DataFrame:
+    named_rows = s.where(F.length("seq") > 0).select(F.col("id").cast("string").alias("name"), "seq")
+    return sequences.read_twobit(s.sparkSession, _through(named_rows, ".2bit", sequences.write_twobit), 200)
+
+
 def _sizes(g: DataFrame) -> DataFrame:
     line = F.concat_ws("\t", "chrom", F.col("length").cast("string"))
     return annotations.read_table(g.sparkSession, _text(g.select(line.alias("value")), ".sizes"), "sizes")
@@ -122,6 +138,10 @@ add("bisulfite_methylome", "sequences", _methylome,
     w="SELECT chrom, strand, pos, r, CASE strand WHEN '+' THEN 'g' ELSE 'c' END AS e, CASE WHEN strand = '+' THEN substr(seq, pos + 2, 1) WHEN pos >= 1 THEN substr(seq, pos, 1) ELSE '' END AS y, CASE WHEN strand = '+' THEN substr(seq, pos + 3, 1) WHEN pos >= 2 THEN substr(seq, pos - 1, 1) ELSE '' END AS z FROM b WHERE substr(seq, pos + 1, 1) = CASE strand WHEN '+' THEN 'c' ELSE 'g' END")
 add("fasta_round_trip", "sequences", _fasta, "SELECT id::varchar AS name, seq FROM sequences WHERE length(seq) > 0")
 add("gtf_round_trip", "transcripts", _gtf, "SELECT tid, chrom, strand, start, stop FROM ex", ex=_EX)
+add("bed_detected", "loci", _detected,
+    "SELECT chrom, cast(start AS int) AS start, cast(stop AS int) AS stop, concat('n', id) AS name, cast(score AS int) AS score, strand, concat('x|', id) AS extras, 'bed6+2' AS format FROM loci")
+add("npz_round_trip", "regions", _npz, "SELECT *, id % 2 = 0 AS even FROM regions")
+add("twobit_round_trip", "sequences", _twobit, "SELECT id::varchar AS name, start, substr(seq, start + 1, 200) AS seq FROM (SELECT *, unnest(range(0, length(seq), 200)) AS start FROM sequences)")
 add("sizes_round_trip", "genome", _sizes, "SELECT chrom, length FROM genome")
 
 # ---- locus queries over annotation tables ------------------------------------------------

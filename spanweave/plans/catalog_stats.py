@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hypothesis_tests as ts
 from ..functions import text as tx
 from ..operators import enrichment as en
+from ..operators import intervals as iv
 from ..operators import ontology as on
 from .catalog import Catalog
 
@@ -37,6 +38,18 @@ add("log_choose", "orders", lambda d: _round(d.select("o_orderkey", ts.log_choos
 add("log_add_exp", "pvalues", lambda d: _round(d.select("id", ts.log_add_exp(F.log("p"), F.lit(-3.5)).alias("v")), "v"), "SELECT id, round(ln(p + exp(-3.5)), 6) AS v FROM pvalues")
 add("overlap_per_locus", "regions loci", en.overlap_per_locus,
     "SELECT a.id, a.chrom, a.start, a.stop, count(b.id) AS metric FROM regions a LEFT JOIN loci b ON a.chrom = b.chrom AND a.strand = b.strand AND a.start < b.stop AND b.start < a.stop GROUP BY ALL")
+
+
+def _allowed(regions, transcripts, reads):
+    """Bases of the background that are allowed and not masked, by chromosome."""
+    base = iv.merged(regions, ("chrom",)).withColumn("id", F.concat_ws(":", "chrom", "start"))
+    out = en.allowed_background(base, reads, iv.merged(transcripts, ("chrom",)))
+    return out.groupBy("chrom").agg(F.sum(F.col("stop") - F.col("start")).alias("bases"))
+
+
+_AT = "SELECT DISTINCT chrom, unnest(range(start, stop)) AS p FROM"
+add("background_rules", "regions transcripts reads", _allowed, "SELECT chrom, count(*) AS bases FROM (SELECT * FROM b INTERSECT SELECT * FROM a EXCEPT SELECT * FROM m) GROUP BY chrom",
+    b=f"{_AT} regions", a=f"{_AT} transcripts", m=f"{_AT} reads")
 _EDGES = "SELECT DISTINCT n_nationkey + 100 AS child, n_regionkey AS parent FROM nation UNION SELECT s_suppkey + 1000, s_nationkey + 100 FROM supplier UNION SELECT s_suppkey + 1000, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 
 

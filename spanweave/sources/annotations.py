@@ -125,3 +125,66 @@ def tracks(spark: SparkSession, text: str) -> DataFrame:
 def is_input(name: Column) -> Column:
     """Whether a target is a control."""
     return F.lower(name).rlike("input|control")
+
+
+# ---- annotation sources of genome builds -------------------------------------------------
+
+#: Version of the builds' configuration that is read and written.
+CONFIG = 7
+#: Keys of a build in such a file, those that each build has first.
+BUILD_KEYS = ("species", "gtf", "sequence", "chromsizes", "ucsc_alias", "aliases", "description", "repeats", "cytobands", "gaps", "centromeres", "cgis")
+
+
+def builds(spark: SparkSession, text: str) -> DataFrame:
+    """(build, key, value) of a YAML configuration of genome builds, other names of chromosomes as
+    keys `chrom:<name>`.  Another version, or a build without one of the first keys, is an error."""
+    import yaml
+
+    held = yaml.safe_load(text) or {}
+    if held.get("version") != CONFIG:
+        raise ValueError(f"a configuration of version {held.get('version')}, not {CONFIG}")
+    rows = []
+    for build, keys in (held.get("genomes") or {}).items():
+        if missing := [k for k in BUILD_KEYS[:4] if not keys.get(k)]:
+            raise ValueError(f"{build} has no {missing}")
+        for k in BUILD_KEYS:
+            v = keys.get(k)
+            rows += [(build, k, str(x)) for x in (v if isinstance(v, list) else [v]) if x is not None]
+        names = keys.get("chr_alt_name_to_canonical") or []
+        rows += [(build, f"chrom:{a}", str(c)) for one in (names if isinstance(names, list) else [names]) for a, c in one.items()]
+    return spark.createDataFrame(rows, "build string, key string, value string")
+
+
+def builds_text(rows: DataFrame) -> str:
+    """The configuration of such rows; there are a few for each build."""
+    import yaml
+
+    out: dict = {}
+    for build, key, value in sorted(map(tuple, rows.select("build", "key", "value").collect())):
+        own = out.setdefault(build, {})
+        if key.startswith("chrom:"):
+            own.setdefault("chr_alt_name_to_canonical", []).append({key.removeprefix("chrom:"): value})
+        else:
+            own[key] = [*(own[key] if isinstance(own[key], list) else [own[key]]), value] if key in own else value
+    return yaml.safe_dump({"version": CONFIG, "genomes": out})
+
+
+def read_builds(spark: SparkSession, path: str, default: str) -> DataFrame:
+    """builds() of a file; an outdated one is kept beside it under its version, and the default's
+    text takes its place, as it does where there is no file."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(place):
+        text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+        try:
+            return builds(spark, text)
+        except ValueError:
+            import yaml
+
+            version = (yaml.safe_load(text) or {}).get("version")
+            if version == CONFIG:
+                raise
+            fs.rename(place, place.suffix(f".version-{version}"))
+    spark.createDataFrame([(default,)], "value string").coalesce(1).write.text(path)
+    return builds(spark, default)

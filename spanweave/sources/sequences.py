@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,18 @@ def encode_twobit(sequences: dict[str, str]) -> bytes:
     return struct.pack("<IIII", MAGIC, 0, len(sequences), 0) + index + bodies
 
 
+def write_twobit(df: DataFrame, path: str) -> None:
+    """Write sequences (name, seq) as 2bit files, one for each partition, of at most 4 GB each."""
+
+    def run(parts):
+        held = {n: s for b in parts for n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([encode_twobit(held)], pa.binary())], ["value"])
+
+    made = df.select("name", F.coalesce("seq", F.lit("")).alias("seq")).mapInArrow(run, "value binary")
+    made.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").text(path)  # readers pass over the line end
+
+
 def decode_twobit(raw: bytes, chunk: int) -> Iterator[tuple[str, int, str]]:
     """(name, start, bases) in chunks; either byte order, masks ignored."""
     order = "<" if struct.unpack("<I", raw[:4])[0] == MAGIC else ">"

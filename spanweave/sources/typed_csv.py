@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +111,31 @@ def write(df: DataFrame, path: str, types: bool = True, header: bool = True) ->
     df.mapInPandas(render, "value string").write.mode("overwrite").text(path)
 
 
+def write_npz(df: DataFrame, path: str) -> None:
+    """Write rows as NPZ files, one for each partition, with an array for each column; nulls are an
+    error, as arrays have none.
+
+    A file is a line of bytes whose end is the archive's comment of one sign, so that Spark's text
+    writer makes it in any store.
+    """
+    names = df.columns
+
+    def run(parts):
+        held = [b for b in parts if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        if any(c.null_count for c in t.columns):
+            raise ValueError("arrays have no nulls")
+        out = io.BytesIO()
+        np.savez_compressed(out, **{n: c.to_numpy() if not pa.types.is_string(c.type) else np.array(c.to_pylist(), str) for n, c in zip(names, t.columns)})
+        with zipfile.ZipFile(out, "a") as z:
+            z.comment = b"\n"
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()[:-1]], pa.binary())], ["value"])
+
+    df.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
     """One-dimensional arrays of NPZ files as columns; the schema is that of the first file."""
     files = spark.read.format("binaryFile").load(path).select("content")

@@ -402,3 +402,27 @@ def test_ranks_split_equal_values(spark):
     for k, (p, i) in enumerate(order):
         low = min(low, p * m / (m - k))
         assert abs(got[i] - low) < 1e-12
+
+
+def test_randomized_loci_miss_gaps(spark):
+    loci = spark.createDataFrame([(i, "ab"[i % 2], 0, 1 + i % 9) for i in range(200)], "id long, chrom string, start long, stop long")
+    genome = spark.createDataFrame([("a", 400), ("b", 90)], "chrom string, length long")
+    gaps = spark.createDataFrame([("a", 0, 150), ("b", 40, 41), ("b", 60, 85)], "chrom string, start long, stop long")
+    got = enrichment.randomized(loci, genome, gaps).collect()
+    assert sorted((r["id"], r["chrom"], r["stop"] - r["start"]) for r in got) == [(i, "ab"[i % 2], 1 + i % 9) for i in range(200)]
+    assert all(0 <= r["start"] and r["stop"] <= (400 if r["chrom"] == "a" else 90) for r in got) and {r["strand"] for r in got} == {"+", "-"}
+    assert not any(r["start"] < z and a < r["stop"] for r in got for c, a, z in (("a", 0, 150), ("b", 40, 41), ("b", 60, 85)) if c == r["chrom"])
+    with pytest.raises(ValueError):
+        enrichment.randomized(loci, genome.where("chrom = 'b'").withColumn("length", F.lit(3)), gaps)
+    one, two = (sorted(map(tuple, enrichment.sample_locations(spark, genome, 300, 5, gaps=gaps.repartition(n)).collect())) for n in (1, 7))
+    assert one == two and len(one) == 300 and all(s[3] - s[2] == 5 for s in one)
+    assert not any(s < z and a < e for _, k, s, e, _ in one for c, a, z in (("a", 0, 150), ("b", 40, 41), ("b", 60, 85)) if c == k)
+
+
+def test_slices_of_rows_and_kinds(spark):
+    df = frame.with_row(spark.range(5).withColumn("v", F.lit(1)), "id")
+    assert frame.iloc(df, 1, 5, 3).count() == 2 and frame.slice_as(df, "v", "int").count() == 5
+    with pytest.raises(Exception, match="slice to 6"):
+        frame.iloc(df, 0, 6).collect()
+    with pytest.raises(TypeError):
+        frame.slice_as(df, "v", "long")

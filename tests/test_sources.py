@@ -263,3 +263,24 @@ def test_track_accessors(spark):
     assert sorted(r.cell for r in tracks.cells(t).collect()) == ["od", "yd"] and tracks.usable(t).count() == 2
     assert sorted(map(tuple, tracks.data_types(t).collect())) == [("H3K4me3", "chip-seq"), ("methylation", "methylation")]
     assert sorted(r.replicate for r in tracks.cell_ids(t, "METHYLATION").collect()) == ["r1", "r2"]
+
+
+def test_builds_of_genomes(spark, tmp_path):
+    text = "version: 7\ngenomes:\n  xx1:\n    species: X y\n    gtf: a.gtf\n    sequence: a.2bit\n    chromsizes: a.sizes\n    aliases: [p, q]\n    chr_alt_name_to_canonical:\n      - MT: chrM\n"
+    rows = {tuple(r) for r in annotations.builds(spark, text).collect()}
+    assert {("xx1", "aliases", "p"), ("xx1", "aliases", "q"), ("xx1", "chrom:MT", "chrM"), ("xx1", "gtf", "a.gtf")} < rows and len(rows) == 7
+    assert {tuple(r) for r in annotations.builds(spark, annotations.builds_text(annotations.builds(spark, text))).collect()} == rows
+    for bad in (text.replace("7", "6"), text.replace("    gtf: a.gtf\n", "")):
+        with pytest.raises(ValueError):
+            annotations.builds(spark, bad)
+    path = put(tmp_path, "b.yaml", text.replace("7", "6"))
+    assert {tuple(r) for r in annotations.read_builds(spark, path, text).collect()} == rows and (tmp_path / "b.yaml.version-6").exists()
+    assert {tuple(r) for r in annotations.read_builds(spark, path, "version: 7").collect()} == rows
+
+
+def test_arrays_have_no_nulls(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 0.5, True), (2, "bé", -1.0, False)], "i int, s string, d double, f boolean")
+    typed_csv.write_npz(df.repartition(2), str(tmp_path / "x.npz"))
+    assert sorted(map(tuple, typed_csv.load(spark, str(tmp_path / "x.npz")).collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(Exception, match="nulls"):
+        typed_csv.write_npz(spark.createDataFrame([(None,)], "i int"), str(tmp_path / "y.npz"))
