@@ -118,33 +118,37 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.nda
     return sa
 
 
-#: Most symbols for which the recursion induces again; a walk costs a few calls per bucket.
-SYMBOLS = 2048
-
-
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string of names by prefix doubling, of groups not yet settled only."""
-    n = len(names)
-    by = np.argsort(names, kind="stable")
-    sorted_names = names[by]
-    new = np.append(True, sorted_names[1:] != sorted_names[:-1])
-    lead = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
-    rank[by], rank[n] = lead, -1
-    group = np.append(new[1:], True) & new
-    open_at = np.nonzero(~group)[0]
-    step = 1
-    while len(open_at):
-        rows = by[open_at]
-        key = rank[rows] * (n + 1) + rank[np.minimum(rows + step, n)] + 1
-        order = np.argsort(key, kind="stable")
-        rows, key = rows[order], key[order]
-        by[open_at] = rows
-        new = np.append(True, key[1:] != key[:-1])
-        rank[rows] = open_at[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        open_at = open_at[~(np.append(new[1:], True) & new)]
-        step *= 2
-    return by
+#: Suffixes in a bucket, on the average, from which buckets go in waves of arrays.
+WAVES = 64
+
+
+def _walk(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """The same order as _induce() gives, suffix by suffix, for strings of many symbols, whose
+    buckets are short: a list is walked while the predecessors are put further on in it."""
+    n = len(s)
+    count = np.bincount(s, minlength=k)
+    ends = np.cumsum(count)
+    # the symbol before each suffix if that one is to be put, else -1; n stands for an empty place
+    before = np.concatenate([[-1], s[:-1], [-1]])
+    larger, smaller = (np.where(np.concatenate([[False], kind[:-1], [False]]), before, -1).tolist() for kind in (~small, small))
+    sa, tail = [n] * n, ends.tolist()
+    for i, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist()):
+        tail[c] = t = tail[c] - 1
+        sa[t] = i
+    head = (ends - count).tolist()
+    for i in sa:
+        c = larger[i]
+        if c >= 0:
+            h = head[c]
+            sa[h] = i - 1
+            head[c] = h + 1
+    tail = ends.tolist()
+    for i in reversed(sa):
+        c = smaller[i]
+        if c >= 0:
+            tail[c] = t = tail[c] - 1
+            sa[t] = i - 1
+    return np.array(sa, np.int64)
 
 
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
@@ -156,7 +160,8 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     is_lms = np.append(False, small[1:] & ~small[:-1])
     lms = np.nonzero(is_lms)[0]
     # sort the leftmost-smaller substrings by inducing from their first symbols alone
-    sa = _induce(s, small, lms[np.argsort(s[lms], kind="stable")], k)
+    induce = _induce if n >= WAVES * k else _walk
+    sa = induce(s, small, lms[np.argsort(s[lms], kind="stable")], k)
     order = sa[is_lms[sa]]
     # name them: neighbours in order with the same symbols share a name
     nth = np.cumsum(is_lms) - 1
@@ -176,9 +181,8 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     if name[-1] + 1 < len(lms):
         reduced = np.empty(len(lms), np.int64)
         reduced[nth[order]] = name
-        inner = suffix_array(reduced, int(name[-1]) + 1) if name[-1] < SYMBOLS else _doubled(reduced)
-        order = lms[inner]
-    return _induce(s, small, order, k)
+        order = lms[suffix_array(reduced, int(name[-1]) + 1)]
+    return induce(s, small, order, k)
 
 
 def permuted_prefixes(data: np.ndarray, left: np.ndarray, sa: np.ndarray) -> np.ndarray:

@@ -168,14 +168,14 @@ def test_texts_without_an_id_are_told_apart(spark):
 
 def test_suffix_arrays_and_prefixes():
     r = np.random.default_rng(0)
-    for symbols in (0, 2048):
-        suffix.SYMBOLS, old = symbols, suffix.SYMBOLS
+    for waves in (0, 64, 10**9):  # all buckets as arrays, as usual, all suffix by suffix
+        suffix.WAVES, old = waves, suffix.WAVES
         for _ in range(60):
             k = int(r.choice([2, 3, 5, 50]))
             s = np.append(np.tile(r.integers(1, k, int(r.integers(1, 90))), int(r.integers(1, 4))), 0)
             t = s.tolist()
             assert suffix.suffix_array(s, k).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
-        suffix.SYMBOLS = old
+        suffix.WAVES = old
 
 
 def test_empty_tables(spark):
