@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .emissions import Emissions
+from .emissions import Emissions, NegativeBinomial
 from .special import log_sum_exp
 
 
@@ -90,14 +90,14 @@ class Mixture:
 
 
 def fit(df: DataFrame, column: str, start: Mixture, threshold: float = 1e-4, iterations: int = 30) -> tuple[Mixture, list[float]]:
-    """The fitted mixture and the log likelihood before each step.  Only sums over all rows come
-    to the driver."""
+    """The fitted mixture and the log likelihood before each step.  Rows are reduced to distinct
+    values with their numbers once; only sums over these come to the driver."""
     model, trace = start, [-math.inf]
-    x = F.col(column).cast("double")
-    rows = df.where(F.col(column).isNotNull()).select(column)
+    x = F.col("x0")
+    rows = histogram(df.where(F.col(column).isNotNull()), [column])
     for _ in range(iterations):
-        r = rows.select(x.alias("x"), model.log_likelihoods(x).alias("l"), *[c.alias(f"r{i}") for i, c in enumerate(model.responsibilities(x))])
-        sums = [F.sum("l"), F.count("*")] + [F.sum(F.col(f"r{i}") * f) for i in range(len(model.parts)) for f in (F.lit(1.0), F.col("x"), F.col("x") * F.col("x"))]
+        r = rows.select(x.alias("x"), "n", model.log_likelihoods(x).alias("l"), *[c.alias(f"r{i}") for i, c in enumerate(model.responsibilities(x))])
+        sums = [F.sum(F.col("l") * F.col("n")), F.sum("n")] + [F.sum(F.col(f"r{i}") * F.col("n") * f) for i in range(len(model.parts)) for f in (F.lit(1.0), F.col("x"), F.col("x") * F.col("x"))]
         ll, n, *s = r.agg(*sums).first()
         if not n:
             raise ValueError("no rows to fit")
@@ -177,3 +177,31 @@ def fit_values(df: DataFrame, columns: list[str], start: Blend, threshold: float
         total = sum(part.values())
         model = Blend(tuple(part[i] / total for i in range(k)), model.emissions.refitted([tuple(r)[1:] for r in sums if r["kind"] == 2]))
     return model, trace[1:]
+
+
+@dataclass(frozen=True)
+class BlendFitter:
+    """Guesses and fits blends of counts: parts from few to many, with negative binomial schemes that
+    all columns share, or each column its own."""
+
+    parts: int = 2
+    shared: bool = False
+
+    def guess(self, df: DataFrame, columns: list[str], attempt: int = 0) -> Blend:
+        """Parts whose means are spread around the columns' means, wider with each attempt; one
+        aggregate over the rows."""
+        sums = df.agg(*[f(c).cast("double") for c in columns for f in (F.avg, F.var_samp)]).first()
+        if sums is None or any(sums[2 * i] is None for i in range(len(columns))):
+            raise ValueError("no rows to guess from")
+        moments = [(max(sums[2 * i], 1e-3), max(sums[2 * i + 1] or 0.0, 1e-3)) for i in range(len(columns))]
+        if self.shared:
+            moments = [tuple(sum(m[k] for m in moments) / len(moments) for k in (0, 1))]
+        spread = [((i + 1) / (self.parts + 1) * 2) ** (1 + attempt) for i in range(self.parts)]
+        schemes = tuple(NegativeBinomial(m * w, m * m / (v - m) if v > m else 100.0) for w in spread for m, v in moments)
+        of = tuple(tuple(i * len(moments) + (0 if self.shared else d) for d in range(len(columns))) for i in range(self.parts))
+        return Blend((1 / self.parts,) * self.parts, Emissions(schemes, of))
+
+    def fit(self, df: DataFrame, columns: list[str], attempts: int = 1, threshold: float = 1e-6, iterations: int = 50) -> tuple[Blend, list[float]]:
+        """The fit with the greatest likelihood of several guesses, the first of equal ones."""
+        fits = [fit_values(df, columns, self.guess(df, columns, k), threshold, iterations) for k in range(attempts)]
+        return max(fits, key=lambda f: f[1][-1])

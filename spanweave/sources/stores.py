@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hmm import PoissonHmm
-from ..functions.mixture import Mixture, Normal, Poisson
+from ..functions.emissions import SCHEMES, Emissions
+from ..functions.hmm import Hmm, PoissonHmm
+from ..functions.mixture import Blend, Mixture, Normal, Poisson
 
 #: Kind of store -> (version, columns).
 STORES = {
@@ -67,16 +68,28 @@ def _read_text(spark: SparkSession, path: str) -> str:
 # ---- models -----------------------------------------------------------------------------
 
 
-def model_text(model: Mixture | PoissonHmm) -> str:
+def _emissions_body(e: Emissions) -> dict:
+    return {"schemes": [{"class": type(p).__name__, **asdict(p)} for p in e.schemes], "of": e.of}
+
+
+def _emissions_of(body: dict) -> Emissions:
+    return Emissions(tuple(SCHEMES[p["class"]](**{k: v for k, v in p.items() if k != "class"}) for p in body["schemes"]), tuple(map(tuple, body["of"])))
+
+
+def model_text(model: Mixture | PoissonHmm | Blend | Hmm) -> str:
     """A model as JSON with its class and version."""
-    if isinstance(model, Mixture):
+    if isinstance(model, Blend):
+        body = {"weights": list(model.weights), "emissions": _emissions_body(model.emissions)}
+    elif isinstance(model, Hmm):
+        body = {"prior": np.asarray(model.prior).tolist(), "transition": np.asarray(model.transition).tolist(), "emissions": _emissions_body(model.emissions)}
+    elif isinstance(model, Mixture):
         body = {"weights": list(model.weights), "parts": [{"class": type(p).__name__, **asdict(p)} for p in model.parts]}
     else:
         body = {k: np.asarray(v).tolist() for k, v in asdict(model).items()}
     return json.dumps({"class": type(model).__name__, "version": MODEL_VERSION, "model": body})
 
 
-def model_of(text: str) -> Mixture | PoissonHmm:
+def model_of(text: str) -> Mixture | PoissonHmm | Blend | Hmm:
     """The model of a JSON text; an unknown class or another version is an error."""
     held = json.loads(text)
     if held.get("version") != MODEL_VERSION:
@@ -87,14 +100,18 @@ def model_of(text: str) -> Mixture | PoissonHmm:
         return Mixture(tuple(body["weights"]), parts)
     if held.get("class") == "PoissonHmm":
         return PoissonHmm(*(np.array(body[k]) for k in ("prior", "transition", "rates")), tuple(body["emission_of"]))
+    if held.get("class") == "Blend":
+        return Blend(tuple(body["weights"]), _emissions_of(body["emissions"]))
+    if held.get("class") == "Hmm":
+        return Hmm(np.array(body["prior"]), np.array(body["transition"]), _emissions_of(body["emissions"]))
     raise ValueError(f"unknown model {held.get('class')}")
 
 
-def save_model(spark: SparkSession, model: Mixture | PoissonHmm, path: str) -> None:
+def save_model(spark: SparkSession, model: Mixture | PoissonHmm | Blend | Hmm, path: str) -> None:
     _write_text(spark, model_text(model), path)
 
 
-def load_model(spark: SparkSession, path: str) -> Mixture | PoissonHmm:
+def load_model(spark: SparkSession, path: str) -> Mixture | PoissonHmm | Blend | Hmm:
     return model_of(_read_text(spark, path))
 
 

@@ -426,3 +426,22 @@ def test_slices_of_rows_and_kinds(spark):
         frame.iloc(df, 0, 6).collect()
     with pytest.raises(TypeError):
         frame.slice_as(df, "v", "long")
+
+
+def test_fitter_guesses_and_models_are_stored(spark, tmp_path):
+    from spanweave.sources import stores
+
+    rng = np.random.default_rng(12)
+    part = rng.random(4000) < 0.3
+    rows = [(int(rng.poisson(rng.gamma(3.0, 8.0)) if p else rng.poisson(2.0)), int(rng.poisson(rng.gamma(3.0, 8.0)) if p else rng.poisson(2.0))) for p in part]
+    df = spark.createDataFrame(rows, "a long, b long")
+    for shared in (True, False):
+        model, trace = mixture.BlendFitter(2, shared).fit(df, ["a", "b"], attempts=2)
+        assert all(y >= x - 1e-9 * abs(x) for x, y in zip(trace, trace[1:])) and len(model.emissions.schemes) == (2 if shared else 4)
+        assert abs(model.weights[1] - 0.3) < 0.04 and abs(model.emissions.schemes[-1].mean - 24) < 2
+    with pytest.raises(ValueError):
+        mixture.BlendFitter().guess(df.where("a < 0"), ["a"])
+    chain = hmm.Hmm(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.2, 0.8]]), model.emissions)
+    for m in (model, chain):
+        stores.save_model(spark, m, str(tmp_path / type(m).__name__))
+        assert stores.model_text(stores.load_model(spark, str(tmp_path / type(m).__name__))) == stores.model_text(m)
