@@ -213,16 +213,12 @@ def complement(merged_ranges: DataFrame, universe: DataFrame, keys: Sequence[str
 
 
 def subtract(a: DataFrame, b: DataFrame, id_col: str, keys: Sequence[str] = KEY) -> DataFrame:
-    """What is left of each range of a (unique `id_col`) without the ranges of b."""
-    cut = a.select(id_col, *keys, "start", "stop")
-    # holes of one range are disjoint: in order, their ends and begins bound what is left
-    hole = F.struct(F.col("i_start").cast("long").alias("h0"), F.col("i_stop").cast("long").alias("h1"))
-    holes = intersections(cut, merged(b, keys), keys=keys).groupBy(id_col).agg(F.array_sort(F.collect_list(hole)).alias("__holes"))
-    held = cut.join(holes, id_col, "left").withColumn("__holes", F.coalesce("__holes", F.array().cast("array<struct<h0:bigint,h1:bigint>>")))
-    begins = F.concat(F.array(F.col("start").cast("long")), F.transform("__holes", lambda h: h["h1"]))
-    ends = F.concat(F.transform("__holes", lambda h: h["h0"]), F.array(F.col("stop").cast("long")))
-    left = F.explode(F.arrays_zip(begins.alias("p0"), ends.alias("p1")))
-    return held.select(id_col, *keys, left.alias("__left")).select(id_col, *keys, F.col("__left.p0").alias("start"), F.col("__left.p1").alias("stop")).where("start < stop")
+    """What is left of each range of a (unique `id_col`) without the ranges of b: its common parts
+    with the gaps of b, a row for each, so a range with very many holes is no row or task of its own."""
+    cut = a.select(id_col, *keys, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    reach = cut.groupBy(*keys).agg(F.max("stop").alias("length"))
+    left = intersections(cut, complement(merged(b, keys), reach, keys), keys=keys)
+    return left.select(id_col, *keys, F.col("i_start").alias("start"), F.col("i_stop").alias("stop"))
 
 
 def runs(df: DataFrame, keys: Sequence[str], pos: str = "pos", gap: int = 0) -> DataFrame:
