@@ -5,9 +5,11 @@ closed by the assistant.  A turn may keep its role, take another, or be merged i
 before it; empty turns may be inserted.  Dynamic programming over the automaton of legal turns
 finds the cheapest repair, which is then rendered.
 
-A conversation is cut into blocks of turn numbers.  Each block is reduced to a small matrix of
-least costs between automaton states; those are chained per conversation, and each block is
-then repaired on its own between its two states.  So a huge conversation is no huge task.
+Turns are dealt by ranges of (conversation, order) and a conversation is cut into blocks of turns
+in order.  Each block is reduced to a small matrix of least costs between automaton states; those of
+one partition are reduced again, the few that are left are chained for each conversation, and each
+block is then repaired on its own between its two states.  So neither a huge conversation nor
+very many turns under one number are a huge task.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import partitions, staged, table
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 NAMES = ("", "system", "user", "assistant")
@@ -30,8 +34,8 @@ LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT:
 #: Costs: a turn takes another role; a turn without a known role takes one; a turn is merged
 #: into one of its own role; an empty turn is inserted.
 RELABEL, NAME, MERGE, INSERT = 4, 2, 3, 5
-#: Turn numbers of a block.
-BLOCK = 512
+#: Turns of a block, and letters of a text that may part ranges of turns.
+BLOCK, LETTERS = 512, 32
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 INF = float("inf")
 
@@ -98,12 +102,21 @@ def path(kinds: list[int], first: int, last: int) -> list[int]:
     return states[::-1] if kinds else []
 
 
-def chain(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The states before and after each block on a cheapest way through the conversation."""
-    costs = [np.where(np.arange(4) == START, 0.0, INF)]
+def joined(matrices: list[np.ndarray]) -> np.ndarray:
+    """The matrix of several runs of turns, one after the other."""
+    m = matrices[0]
+    for other in matrices[1:]:
+        m = (m[:, :, None] + other[None]).min(axis=1)
+    return m
+
+
+def chain(matrices: list[np.ndarray], first: int = START, last: int | None = None) -> list[tuple[int, int]]:
+    """The states before and after each run on a cheapest way from `first` to `last`, or to where
+    closing the conversation costs least."""
+    costs = [np.where(np.arange(4) == first, 0.0, INF)]
     for m in matrices:
         costs.append((costs[-1][:, None] + m).min(axis=0))
-    state = int((costs[-1] + END).argmin())
+    state = int((costs[-1] + END).argmin()) if last is None else last
     out = []
     for cost, m in zip(costs[-2::-1], reversed(matrices)):
         before = int((cost + m[:, state]).argmin())
@@ -174,42 +187,67 @@ def _batched(rows, schema: pa.Schema, size: int = 4096):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-_MATRIX = pa.schema([("conv_id", pa.int64()), ("blk", pa.int64()), ("n", pa.int64()), ("m", pa.list_(pa.float64()))])
-_ENDS = pa.schema([("conv_id", pa.int64()), ("blk", pa.int64()), ("base", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("closing", pa.bool_())])
+_ROWS = pa.schema([("conv_id", pa.int64()), ("blk", pa.int64()), ("head", pa.int64()), ("i", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("n", pa.int64()), ("m", pa.list_(pa.float64()))])
+_CUT = "conv_id long, blk long, head long, i long, turn long, role string, text string, n long, m array<double>"
 _OUT = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("ord", pa.int64()), ("role", pa.string()), ("action", pa.string()), ("inserted", pa.string()), ("cost", pa.int64()), ("rendered", pa.string())])
 RESULT = "conv_id long, turn long, ord long, role string, action string, inserted string, cost long, rendered string"
 
 
-def _matrices(parts):
-    def rows():
-        for (conv, blk), t in _groups(parts, 2):
-            kinds = [role_kind(r) for r in t.column(2).to_pylist()]
-            yield conv, blk, len(kinds), matrix(kinds).ravel().tolist()
+def _cut(block: int):
+    """Sorted turns with their block, its first one of the conversation in the partition (head), and
+    their place in it; and for each block a row with its matrix."""
 
-    yield from _batched(rows(), _MATRIX)
+    def run(parts):
+        number = TaskContext.get().partitionId() << 32
 
+        def rows():
+            nonlocal number
+            head, before, kinds = None, object(), []
+            for b in parts:
+                for conv, turn, role, text in zip(*(b.column(c).to_pylist() for c in range(4))):
+                    if head is not None and (conv != before or len(kinds) == block):
+                        yield before, number, head, None, None, None, None, len(kinds), matrix(kinds).ravel().tolist()
+                        number, kinds = number + 1, []
+                    if head is None or conv != before:
+                        head, before = number, conv
+                    yield conv, number, head, len(kinds), turn, role, text, None, None
+                    kinds.append(role_kind(role))
+            if kinds:
+                yield before, number, head, None, None, None, None, len(kinds), matrix(kinds).ravel().tolist()
+
+        yield from _batched(rows(), _ROWS)
+
+    return run
+
+
+def _grids(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.asarray(m, float).reshape(4, 4) for m in rows["m"]]
+
+
+def _reduced(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("blk")
+    return pd.DataFrame({"head": rows["head"].iloc[:1], "n": [int(rows["n"].sum())], "m": [joined(_grids(rows)).ravel().tolist()]})
+
+
+def _ends(rows: pd.DataFrame, by: str, base: int, first: int, last: int | None, closing: bool) -> pd.DataFrame:
+    rows = rows.sort_values(by)
+    ends, n = chain(_grids(rows), first, last), rows["n"].to_numpy()
+    return pd.DataFrame({by: rows[by].to_numpy(), "base": base + np.cumsum(n) - n, "first": [a for a, _ in ends], "last": [z for _, z in ends], "closing": [closing and i == len(ends) - 1 for i in range(len(ends))]})
 
-def _chains(parts):
-    def rows():
-        for (conv,), t in _groups(parts, 1):
-            ms = [np.array(m).reshape(4, 4) for m in t.column(3).to_pylist()]
-            base = 0
-            ends = chain(ms)
-            for i, (blk, n, (a, z)) in enumerate(zip(t.column(1).to_pylist(), t.column(2).to_pylist(), ends)):
-                yield conv, blk, base, a, z, i == len(ends) - 1
-                base += n
 
-    yield from _batched(rows(), _ENDS)
+def _within(rows: pd.DataFrame) -> pd.DataFrame:
+    r = rows.iloc[0]
+    return _ends(rows, "blk", int(r["h_base"]), int(r["h_first"]), int(r["h_last"]), bool(r["h_closing"]))
 
 
 def _repairs(parts):
     def rows():
-        for (conv, _), t in _groups(parts, 2):
-            ends = t.slice(0, 1).to_pylist()[0]  # the row without a turn sorts first
+        for _, t in _groups(parts, 1):
+            ends = t.slice(0, 1).to_pylist()[0]  # the row with the block's ends sorts first
             turns = t.slice(1)
-            texts, roles, number = (turns.column(c).to_pylist() for c in ("text", "role", "turn"))
+            conv, texts, roles, number = (turns.column(c).to_pylist() for c in ("conv_id", "text", "role", "turn"))
             for i, out in enumerate(repaired(roles, texts, ends["first"], ends["last"], ends["closing"])):
-                yield conv, number[i], ends["base"] + i, *out
+                yield conv[i], number[i], ends["base"] + i, *out
 
     yield from _batched(rows(), _OUT)
 
@@ -219,20 +257,25 @@ def repair_roles(turns: DataFrame, block: int = BLOCK) -> DataFrame:
 
     ord counts a conversation's turns in order of (turn, role, text), nulls first, so turns
     with the same number are in a defined order; a null conv_id is a conversation like any
-    other; null texts render as empty ones.  Renderings by ord join to the repaired
-    conversation, and costs add up to its cost.
+    other; null texts render as empty ones; long texts are rendered whole; repeated rows are
+    turns each; no turns give no rows.  Renderings by ord join to the repaired conversation,
+    and costs add up to its cost.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.expr(f"cast(turn as long) div {block}"), F.lit(-(2**62))).alias("blk"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    order = ["conv_id", "blk", "turn", "role", "text"]
-    light = rows.select("conv_id", "blk", "role", "turn", F.xxhash64("text").alias("t")).repartition("conv_id", "blk").sortWithinPartitions("conv_id", "blk", "turn", "role")
-    ms = light.select("conv_id", "blk", "role").mapInArrow(_matrices, "conv_id long, blk long, n long, m array<double>")
-    ends = ms.repartition("conv_id").sortWithinPartitions("conv_id", "blk").mapInArrow(_chains, "conv_id long, blk long, base long, first int, last int, closing boolean")
+    spark = turns.sparkSession
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    dealt = rows.repartitionByRange(partitions(spark), "conv_id", "turn", "role", F.substring("text", 1, LETTERS)).sortWithinPartitions("conv_id", "turn", "role", "text")
+    cut = staged(dealt.mapInArrow(_cut(block), _CUT), "turns")
+    ms = cut.where("i IS NULL").select("conv_id", "blk", "head", "n", "m")
+    heads = ms.groupBy("head").applyInPandas(_reduced, "head long, n long, m array<double>").join(ms.where("blk = head").select("head", "conv_id"), "head")
+    kinds = "base long, first int, last int, closing boolean"
+    tops = heads.groupBy("conv_id").applyInPandas(lambda r: _ends(r, "head", 0, START, None, True), f"head long, {kinds}")
+    known = ms.join(tops.select("head", *[F.col(c).alias(f"h_{c}") for c in ("base", "first", "last", "closing")]), "head")
+    ends = known.groupBy("head").applyInPandas(_within, f"blk long, {kinds}")
     nothing = lambda kind: F.lit(None).cast(kind)
-    both = rows.select(*order, nothing("long").alias("base"), nothing("int").alias("first"), nothing("int").alias("last"), nothing("boolean").alias("closing")).unionAll(
-        ends.select("conv_id", "blk", nothing("long"), nothing("string"), nothing("string"), "base", "first", "last", "closing")
+    both = cut.where("i IS NOT NULL").select("blk", "i", "conv_id", "turn", "role", "text", nothing("long").alias("base"), nothing("int").alias("first"), nothing("int").alias("last"), nothing("boolean").alias("closing")).unionAll(
+        ends.select("blk", F.lit(-1).cast("long"), nothing("long"), nothing("long"), nothing("string"), nothing("string"), "base", "first", "last", "closing")
     )
-    dealt = both.repartition("conv_id", "blk").sortWithinPartitions("conv_id", "blk", F.col("base").desc_nulls_last(), "turn", "role", "text")
-    return dealt.mapInArrow(_repairs, RESULT)
+    return both.repartition("blk").sortWithinPartitions("blk", "i").mapInArrow(_repairs, RESULT)
 
 
 def op2_role_repair(spark, sf_dir: str) -> DataFrame:

@@ -107,6 +107,24 @@ def test_role_repair_costs_least(spark, block):
     assert roles.repair_roles(turns.where("false"), block).count() == 0
 
 
+def test_one_huge_conversation_and_one_number(spark):
+    """One conversation with most turns under one number is many blocks, and costs what it must."""
+    r = random.Random(8)
+    names = ["user", "assistant", "system", "Human", None, "x"]
+    rows = [(1, r.choice([5, 5, 5, None, j]), r.choice(names), "t" * r.choice([0, 3, 40_000 if j == 7 else 5])) for j in range(6000)] + [(2, 0, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = roles.repair_roles(turns, 100).toPandas().sort_values(["conv_id", "ord"])
+    mine = sorted((x for x in rows if x[0] == 1), key=lambda x: [(v is not None, v) for v in x[1:]])
+    one = got[got.conv_id == 1]
+    cost = np.where(np.arange(4) == roles.START, 0.0, np.inf)
+    for x in mine:
+        cost = (cost[:, None] + roles.COST[roles.role_kind(x[2])]).min(axis=0)
+    assert one.cost.sum() == (cost + roles.END).min() and list(one.ord) == list(range(6000))
+    assert [None if t != t else t for t in one.turn] == [x[1] for x in mine]
+    assert re.fullmatch(r"(system,)?(user,assistant,)+", ",".join(re.findall(r"<\|(system|user|assistant)\|>\n", "".join(one.rendered))) + ",") and "".join(one.rendered).count("t" * 40_000) == sum(len(x[3]) == 40_000 for x in mine)
+    assert got[got.conv_id == 2].rendered.tolist() == [f"{roles.OPEN.format('user')}{roles.CLOSE}{roles.OPEN.format('assistant')}{roles.CLOSE}"]
+
+
 # ---- 3 ----------------------------------------------------------------------------------
 
 
