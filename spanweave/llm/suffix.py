@@ -151,38 +151,49 @@ def _walk(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarr
     return np.array(sa, np.int64)
 
 
+def _named(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """A number for each leftmost-smaller substring (from one to the next, both ends included) that
+    rises with their order by symbols, at one symbol the larger suffix first; equal ones share it.
+
+    As many symbols as fit a word are compared at a time, and only among substrings that are
+    equal so far and go on.
+    """
+    m, n = len(lms), len(s)
+    size = np.append(np.diff(lms) + 1, 1)
+    bits = int(2 * k + 1).bit_length()
+    per = 63 // bits
+    key = np.append(s.astype(np.int64) * 2 + small + 1, 0)
+    by, lead = np.arange(m), np.zeros(m, np.int64)  # the order so far, and where each group of equal ones begins
+    live, t = np.arange(m), 0  # places in the order that may yet be parted
+    while len(live):
+        rows = by[live]
+        word = np.zeros(len(rows), np.int64)
+        for i in range(per):
+            word = word << bits | np.where(t + i < size[rows], key[np.minimum(lms[rows] + t + i, n)], 0)
+        order = np.lexsort((word, lead[live])) if t else np.argsort(word, kind="stable")
+        by[live], word, old = rows[order], word[order], lead[live]
+        new = np.append(True, (word[1:] != word[:-1]) | (old[1:] != old[:-1]))
+        lead[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
+        t += per
+        alone = new & np.append(new[1:], True)
+        live = live[~alone & (size[by[live]] > t)]
+    name = np.empty(m, np.int64)
+    name[by] = np.cumsum(np.append(False, lead[1:] != lead[:-1]))
+    return name
+
+
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """The suffix array of s: symbols below k, the last one 0 and nowhere else."""
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
     small = _types(s)
-    is_lms = np.append(False, small[1:] & ~small[:-1])
-    lms = np.nonzero(is_lms)[0]
-    # sort the leftmost-smaller substrings by inducing from their first symbols alone
-    induce = _induce if n >= WAVES * k else _walk
-    sa = induce(s, small, lms[np.argsort(s[lms], kind="stable")], k)
-    order = sa[is_lms[sa]]
-    # name them: neighbours in order with the same symbols share a name
-    nth = np.cumsum(is_lms) - 1
-    size = np.append(np.diff(lms) + 1, 1)
-    a, b = order[:-1], order[1:]
-    la = size[nth[a]]
-    same = np.zeros(len(a), bool)
-    live = np.nonzero(la == size[nth[b]])[0]
-    t = 0
-    while len(live):
-        live = live[s[a[live] + t] == s[b[live] + t]]
-        over = la[live] == t + 1
-        same[live[over]] = True
-        live = live[~over]
-        t += 1
-    name = np.append(0, np.cumsum(~same))
-    if name[-1] + 1 < len(lms):
-        reduced = np.empty(len(lms), np.int64)
-        reduced[nth[order]] = name
-        order = lms[suffix_array(reduced, int(name[-1]) + 1)]
-    return induce(s, small, order, k)
+    lms = np.nonzero(np.append(False, small[1:] & ~small[:-1]))[0]
+    name = _named(s, small, lms, k)
+    names = int(name.max()) + 1
+    # the order of the leftmost-smaller suffixes is that of the string of their names
+    order = np.argsort(name) if names == len(lms) else suffix_array(name, names)
+    return (_induce if n >= WAVES * k else _walk)(s, small, lms[order], k)
 
 
 def permuted_prefixes(data: np.ndarray, left: np.ndarray, sa: np.ndarray) -> np.ndarray:
