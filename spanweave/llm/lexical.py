@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import NULL_ID, id_array, id_text, ids, staged, table
+from .common import id_array, id_text, ids, staged, table
 
 #: Documents in a window, about; scores of one take 16 KB.
 WINDOW = 2048
