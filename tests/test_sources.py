@@ -1,6 +1,5 @@
 """Files read back what was written, and awkward records are handled as documented."""
 
-import gzip
 import random
 import struct
 import zlib
