@@ -17,7 +17,6 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -220,24 +219,45 @@ def _cut(block: int):
     return run
 
 
-def _grids(rows: pd.DataFrame) -> list[np.ndarray]:
-    return [np.asarray(m, float).reshape(4, 4) for m in rows["m"]]
+def _grids(t: pa.Table) -> list[np.ndarray]:
+    return [np.array(m).reshape(4, 4) for m in t.column("m").to_pylist()]
 
 
-def _reduced(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("blk")
-    return pd.DataFrame({"head": rows["head"].iloc[:1], "n": [int(rows["n"].sum())], "m": [joined(_grids(rows)).ravel().tolist()]})
+_HEADS = pa.schema([("conv_id", pa.int64()), ("head", pa.int64()), ("n", pa.int64()), ("m", pa.list_(pa.float64()))])
+_ENDS = pa.schema([("at", pa.int64()), ("base", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("closing", pa.bool_())])
 
 
-def _ends(rows: pd.DataFrame, by: str, base: int, first: int, last: int | None, closing: bool) -> pd.DataFrame:
-    rows = rows.sort_values(by)
-    ends, n = chain(_grids(rows), first, last), rows["n"].to_numpy()
-    return pd.DataFrame({by: rows[by].to_numpy(), "base": base + np.cumsum(n) - n, "first": [a for a, _ in ends], "last": [z for _, z in ends], "closing": [closing and i == len(ends) - 1 for i in range(len(ends))]})
+def _reduced(parts):
+    """Blocks (head, blk, conv_id, n, m), sorted, as one matrix for each head."""
 
+    def rows():
+        for (head,), t in _groups(parts, 1):
+            yield t.column("conv_id")[0].as_py(), head, sum(t.column("n").to_pylist()), joined(_grids(t)).ravel().tolist()
+
+    yield from _batched(rows(), _HEADS)
+
+
+def _ends(t: pa.Table, by: str, base: int, first: int, last: int | None, closing: bool):
+    ends = chain(_grids(t), first, last)
+    for i, (at, n, (a, z)) in enumerate(zip(t.column(by).to_pylist(), t.column("n").to_pylist(), ends)):
+        yield at, base, a, z, closing and i == len(ends) - 1
+        base += n
+
+
+def _tops(parts):
+    """The ends of each head, from rows (conv_id, head, n, m), sorted."""
+    yield from _batched((r for _, t in _groups(parts, 1) for r in _ends(t, "head", 0, START, None, True)), _ENDS)
+
+
+def _within(parts):
+    """The ends of each block, from rows (head, blk, n, m) with the ends of their head, sorted."""
+
+    def rows():
+        for _, t in _groups(parts, 1):
+            base, first, last, closing = (t.column(f"h_{c}")[0].as_py() for c in ("base", "first", "last", "closing"))
+            yield from _ends(t, "blk", base, first, last, closing)
 
-def _within(rows: pd.DataFrame) -> pd.DataFrame:
-    r = rows.iloc[0]
-    return _ends(rows, "blk", int(r["h_base"]), int(r["h_first"]), int(r["h_last"]), bool(r["h_closing"]))
+    yield from _batched(rows(), _ENDS)
 
 
 def _repairs(parts):
@@ -265,12 +285,12 @@ def repair_roles(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     dealt = rows.repartitionByRange(partitions(spark), "conv_id", "turn", "role", F.substring("text", 1, LETTERS)).sortWithinPartitions("conv_id", "turn", "role", "text")
     cut = staged(dealt.mapInArrow(_cut(block), _CUT), "turns")
-    ms = cut.where("i IS NULL").select("conv_id", "blk", "head", "n", "m")
-    heads = ms.groupBy("head").applyInPandas(_reduced, "head long, n long, m array<double>").join(ms.where("blk = head").select("head", "conv_id"), "head")
-    kinds = "base long, first int, last int, closing boolean"
-    tops = heads.groupBy("conv_id").applyInPandas(lambda r: _ends(r, "head", 0, START, None, True), f"head long, {kinds}")
-    known = ms.join(tops.select("head", *[F.col(c).alias(f"h_{c}") for c in ("base", "first", "last", "closing")]), "head")
-    ends = known.groupBy("head").applyInPandas(_within, f"blk long, {kinds}")
+    ms = cut.where("i IS NULL").select("head", "blk", "conv_id", "n", "m")
+    kinds = "at long, base long, first int, last int, closing boolean"
+    heads = ms.repartition("head").sortWithinPartitions("head", "blk").mapInArrow(_reduced, "conv_id long, head long, n long, m array<double>")
+    tops = heads.repartition("conv_id").sortWithinPartitions("conv_id", "head").mapInArrow(_tops, kinds)
+    known = ms.join(tops.select(F.col("at").alias("head"), *[F.col(c).alias(f"h_{c}") for c in ("base", "first", "last", "closing")]), "head")
+    ends = known.repartition("head").sortWithinPartitions("head", "blk").mapInArrow(_within, kinds).withColumnRenamed("at", "blk")
     nothing = lambda kind: F.lit(None).cast(kind)
     both = cut.where("i IS NOT NULL").select("blk", "i", "conv_id", "turn", "role", "text", nothing("long").alias("base"), nothing("int").alias("first"), nothing("int").alias("last"), nothing("boolean").alias("closing")).unionAll(
         ends.select("blk", F.lit(-1).cast("long"), nothing("long"), nothing("long"), nothing("string"), nothing("string"), "base", "first", "last", "closing")
