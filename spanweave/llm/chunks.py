@@ -4,11 +4,14 @@ A gear hash rolls over each text's bytes, and a boundary stands where it has a l
 So boundaries depend on the bytes around them only, and an insertion shifts none but its
 neighbours.  Chunks have variable sizes and are deduplicated by 128-bit digest: the earliest
 by (doc_id, start) stays, later ones are repeats.  Repeats that touch over STRETCH bytes are
-removed.
+removed.  Where a few bytes repeat over and over, minima are tied; there some of the tied ones are
+boundaries too, whole periods apart, so that a run falls into equal chunks.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,6 +24,8 @@ from .common import keyed, partitions, slices, slide, table, utf8
 #: hash; most bytes of a chunk.  Chunks have about 2 * NEAR bytes, so a passage of 50 words
 #: holds several whole ones.
 WINDOW, NEAR, MAX = 16, 24, 512
+#: Least bytes between boundaries at tied minima.
+TIED = 8
 #: Repeated chunks go where they touch over this many bytes; a single common line stays.
 STRETCH = 100
 #: Input bytes for each partition of the step by digest.
@@ -46,12 +51,36 @@ def rolled(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _bounds(tied: np.ndarray) -> np.ndarray:
+    """Of minima in order, the first of each chain of tied ones (NEAR or less apart) and those
+    that follow it by TIED bytes or more from one to the next.
+
+    A chain is a run of a period of up to NEAR bytes, so its chunks are equal, wherever it begins.
+    """
+    if len(tied) < 2:
+        return tied
+    begins = np.append(True, np.diff(tied) > NEAR)
+    taken, chain = begins.copy(), np.cumsum(begins)
+    after = np.searchsorted(tied, tied + TIED)
+    at = after[begins]  # one step along all chains at a time
+    of = chain[begins]
+    while len(at):
+        on = at < len(tied)
+        at, of = at[on], of[on]
+        on = chain[at] == of
+        at, of = at[on], of[on]
+        taken[at] = True
+        at = after[at]
+    return tied[taken]
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     """The chunk ends of each text, from its start.
 
     A boundary is where the hash is less than all of NEAR positions before it and not more
     than those after it.  Unlike a rule with a least size from the last boundary, this looks
-    at the bytes around alone, so equal passages get equal chunks at once.
+    at the bytes around alone, so equal passages get equal chunks at once.  Minima tied with one
+    before are boundaries as in _bounds.
     """
     n = len(offsets) - 1
     size = np.diff(offsets)
@@ -65,8 +94,11 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
         h[place[at]] = 0xFFFF
     least = slide(h, NEAR, np.minimum)
     here = np.zeros(len(h), bool)
-    here[NEAR : len(h) - NEAR] = (h[NEAR:-NEAR] < least[: len(h) - 2 * NEAR]) & (h[NEAR:-NEAR] <= least[NEAR + 1 : len(h) - NEAR + 1])
-    at = np.nonzero(here[place])[0] + 1
+    here[NEAR : len(h) - NEAR] = (h[NEAR:-NEAR] <= least[: len(h) - 2 * NEAR]) & (h[NEAR:-NEAR] <= least[NEAR + 1 : len(h) - NEAR + 1])
+    here &= h < 0xFFFF
+    bounds = np.zeros(len(h), bool)
+    bounds[_bounds(np.nonzero(here)[0])] = True
+    at = np.nonzero(bounds[place])[0] + 1
     marks, bound = at.tolist(), np.searchsorted(at, offsets, "right")
     out = []
     for i in range(n):
@@ -206,6 +238,21 @@ def chunk_dedup(docs: DataFrame) -> DataFrame:
     return repeated_places(docs).mapInArrow(run, "doc_id long, n_bytes long, n_chunks long, n_repeated long, n_removed long, n_spans long")
 
 
+def _kept(raw: bytes, ats: list[int] | None) -> list[bytes]:
+    """The parts of a text that its repeated stretches leave."""
+    done, kept = 0, []
+    for a, z, _ in stretches(ats or []):
+        kept.append(raw[done:a])
+        done = z
+    return [*kept, raw[done:]]
+
+
+def _with_places(docs: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, text, ats, columns of repeated_places) for each document row."""
+    places = repeated_places(docs).select("doc", "th", "ats", *columns)
+    return keyed(docs).join(places.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "text", "ats", *columns)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, text): the documents without their repeated stretches.  A character that a
     chunk boundary cuts in two, with one half removed, is dropped as a whole."""
@@ -213,23 +260,39 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     def run(parts):
         for b in parts:
             at, data = utf8(b.column(1))
-            raw, out = data.tobytes(), []
-            for i, ats in enumerate(b.column(2).to_pylist()):
-                text, done, kept = raw[at[i] : at[i + 1]], 0, []
-                for a, z, _ in stretches(ats or []):
-                    kept.append(text[done:a])
-                    done = z
-                out.append(b"".join([*kept, text[done:]]).decode("utf-8", "ignore"))
+            raw = data.tobytes()
+            out = [b"".join(_kept(raw[at[i] : at[i + 1]], ats)).decode("utf-8", "ignore") for i, ats in enumerate(b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    places = repeated_places(docs).select("doc", "th", "ats")
-    return keyed(docs).join(places, ["doc", "th"], "left").select("doc_id", "text", "ats").mapInArrow(run, "doc_id long, text string")
+    return _with_places(docs).mapInArrow(run, "doc_id long, text string")
+
+
+def chunk_digests(docs: DataFrame) -> DataFrame:
+    """The columns of chunk_dedup and kept_sha256, of the bytes that are left of each document row,
+    cut out of its text."""
+
+    def run(parts):
+        for b in parts:
+            at, data = utf8(b.column(1))
+            raw, rows = data.tobytes(), []
+            for i, ats in enumerate(b.column(2).to_pylist()):
+                ats = ats or []
+                kept, digest = _kept(raw[at[i] : at[i + 1]], ats), hashlib.sha256()
+                for part in kept:
+                    digest.update(part)
+                n = int(at[i + 1] - at[i])
+                rows.append((n, len(set(ats)), n - sum(map(len, kept)), len(kept) - 1, digest.hexdigest()))
+            n_bytes, again, gone, spans, digests = ([r[c] for r in rows] for c in range(5))
+            cols = [*(pa.array(c, pa.int64()) for c in (n_bytes, b.column(3).to_pylist(), again, gone, spans)), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans", "kept_sha256"])
+
+    return _with_places(docs, "chunks").mapInArrow(run, "doc_id long, n_bytes long, n_chunks long, n_repeated long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op6_gear_chunks(spark, sf_dir: str) -> DataFrame:
-    """Chunks, repeated chunks and removed stretches of each row of documents.  A null text is an
-    empty one, without chunks; null ids stay null and come first, in the order of a hash of
-    their texts; rows with the same id and text are one document; chunks that start at the same
-    place of one id are not earlier than each other; texts of any length are cut whole; no
-    documents give no rows."""
-    return chunk_dedup(table(spark, sf_dir, "documents"))
+    """Chunks, repeated chunks, removed stretches and a digest of what is left of each row of
+    documents.  A null text is an empty one, without chunks; null ids stay null and come first,
+    in the order of a hash of their texts; rows with the same id and text are one document; chunks
+    that start at the same place of one id are not earlier than each other; texts of any length
+    are cut whole; no documents give no rows."""
+    return chunk_digests(table(spark, sf_dir, "documents"))

@@ -335,6 +335,18 @@ def test_deduplicated_texts(spark):
     assert got[1] == "start " + passage and len(got[2]) < len(passage) / 2 and got[3] == ""
 
 
+def test_runs_of_one_word_are_cut_and_the_query_digests_what_is_left(spark, tmp_path):
+    runs = ["".join(random.Random(n).choices("abcdefghij", k=n)) * (400 // n) for n in (1, 2, 5, 11, 23)]
+    docs = [(i, f"begin {i} of {t} end {i}") for i, t in enumerate(runs)] + [(9, "other " + runs[2]), (10, None), (10, None), (None, "alone")]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = chunks.op6_gear_chunks(spark, str(tmp_path)).collect()
+    assert all(r.n_removed > 250 for r in got if r.doc_id in range(5)) and [r.n_removed > 300 for r in got if r.doc_id == 9] == [True]
+    left = {(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest(), r.n_bytes) for r in chunks.deduplicated(frame(spark, docs)).selectExpr("*", "octet_length(text) n_bytes").collect()}
+    assert {(r.doc_id, r.kept_sha256, r.n_bytes - r.n_removed) for r in got} == left and len(got) == len(docs)
+    counts = sorted(map(tuple, chunks.chunk_dedup(frame(spark, docs)).collect()), key=str)
+    assert sorted((tuple(r)[:-1] for r in got), key=str) == counts
+
+
 # ---- 7 ----------------------------------------------------------------------------------
 
 
