@@ -9,7 +9,8 @@ of exact copies costs one signature set whatever its size.
 The pipeline stage links texts by the Jaccard similarity of their sets of five-word shingles.
 SimHash links of those shingles come first, each verified by its exact similarity; an index of
 prefixes of the sets adds the pairs that two bits don't reach, so that none is missed.  Pairs
-of the index whose bitmaps of parities differ in too many bits can't be similar and are not made.
+of the index whose bitmaps of parities differ in too many bits can't be similar and are not made;
+bitmaps as wide as a set is large part most others before sets are compared.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SAMPLE, COMMON = 8000, 100_000
 #: its component is known; all others that fit are compared after that, unless they are in its
 #: component by then.
 AHEAD, BESIDE = 4, 8
+#: Texts whose sets go back to Spark at a time.
+BATCH = 500
 #: Bits of the bitmap that bounds the shingles two sets don't share.
 BITS = 512
 #: Input bytes for each partition of the prefix index; most rows of a broadcast side.
@@ -158,14 +161,20 @@ def _shingles(text: bytes) -> np.ndarray:
     return np.unique(_hashes(text, STAGE_WORDS))
 
 
-def _bitmap(h: np.ndarray) -> np.ndarray:
-    """For each hash mod BITS whether an odd number of the set's hashes fall there, as longs.
+def _bitmap(h: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """For each hash mod `bits` whether an odd number of the set's hashes fall there, as longs.
     Each shingle that only one of two sets has flips one bit, so bitmaps differ in at most as
     many bits as the sets differ in shingles."""
-    odd = np.bincount((h % BITS).astype(np.int64), minlength=BITS) & 1
+    odd = np.bincount((h % bits).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def _wide(h: np.ndarray) -> np.ndarray:
+    """A bitmap of two bits for each shingle or more, of a power of two, so that it stays sparse
+    for sets of any size; halves xored are the bitmap of half the size."""
+    return _bitmap(h, max(BITS, 1 << (2 * len(h) - 1).bit_length()))
+
+
 def _set_id(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) if len(h) else 0
 
@@ -201,11 +210,11 @@ def _reach(n):
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, sim, th, bits, first) for each row: fp names the set of its n shingles,
-    sim is the SimHash of the shingles, th a hash of the text, bits the set's bitmap.
+    """(doc_id, fp, n, sim, th, bits, first, wide) for each row: fp names the set of its n shingles,
+    sim is the SimHash of the shingles, th a hash of the text, bits and wide the set's bitmaps.
 
     first has the shingles to index, rare ones before common ones; the order is one for all
-    sets and saves work only.  It and bits are null for copies that a task has met already.
+    sets and saves work only.  It and the bitmaps are null for copies that a task has met already.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_common(docs))  # at most COMMON pairs of numbers
@@ -217,7 +226,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             out = []
             for t in _texts(b, 1):
                 all_h = _hashes(t, STAGE_WORDS)
-                h, first, bits, fp = np.unique(all_h), None, None, 0
+                h, first, bits, wide, fp = np.unique(all_h), None, None, None, 0
                 if len(h) and (fp := _set_id(h)) not in seen:
                     if len(seen) < 1 << 20:
                         seen.add(fp)
@@ -225,13 +234,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     if len(common):
                         i = np.minimum(np.searchsorted(common, h), len(common) - 1)
                         order = np.where(common[i] == h, counts[i], 0).argsort(kind="stable")
-                    first, bits = h[order[: _reach(len(h))]].view(np.int64), _bitmap(h)
-                out.append((fp, len(h), _majority(all_h) if len(h) else 0, bits, first))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            fp, n, sim, bits, first = (pa.array([o[c] for o in out], t) for c, t in enumerate(kinds))
-            yield pa.RecordBatch.from_arrays([b.column(0), fp, n, sim, b.column(2), bits, first], ["doc_id", "fp", "n", "sim", "th", "bits", "first"])
+                    first, bits, wide = h[order[: _reach(len(h))]].view(np.int64), _bitmap(h), _wide(h)
+                out.append((fp, len(h), _majority(all_h) if len(h) else 0, bits, first, wide))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            fp, n, sim, bits, first, wide = (pa.array([o[c] for o in out], t) for c, t in enumerate(kinds))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, n, sim, b.column(2), bits, first, wide], ["doc_id", "fp", "n", "sim", "th", "bits", "first", "wide"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, fp long, n int, sim long, th long, bits array<long>, first array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, fp long, n int, sim long, th long, bits array<long>, first array<long>, wide array<long>")
 
 
 def _fits(n: str, i: str, m: str, j: str):
@@ -286,14 +295,28 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
 
+def _possible(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs of sets (u, v) whose sizes and wide bitmaps let them be similar.  Sizes
+    that do differ by a quarter at most, so one bitmap is as wide as the other or twice as wide,
+    and that is folded."""
+    a, b = (nodes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "uv")
+    sized = pairs.join(a, "u").join(b, "v").where("5 * least(nu, nv) >= 4 * greatest(nu, nv)").withColumn("s", F.expr("least(size(wu), size(wv))"))
+    folded = " ^ ".join(f"w{x}[i] ^ if(size(w{x}) > s, get(w{x}, i + s), 0L)" for x in "uv")
+    apart = F.expr(f"aggregate(sequence(0, s - 1), 0, (t, i) -> t + bit_count({folded}))")
+    return sized.where(9 * apart <= F.col("nu") + F.col("nv")).select("u", "v")
+
+
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs of sets (u, v) that have a similarity of at least 0.8, exactly."""
+    """Those of the pairs of sets (u, v) that have a similarity of at least 0.8, exactly.  Sets are
+    made again and dealt for the pairs that their wide bitmaps leave, so that the shuffle grows
+    with the links, not with pairs of long texts that share a passage."""
 
     def run(parts):
-        for b in parts:
+        for b in (b.slice(i, BATCH) for b in parts for i in range(0, b.num_rows, BATCH)):
             sets = [_shingles(t) for t in _texts(b, 0)]
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["fp", "hs"])
 
+    pairs = staged(_possible(nodes, pairs), "possible")
     ends = pairs.select(F.col("u").alias("fp")).unionAll(pairs.select(F.col("v").alias("fp"))).distinct()
     reps = staged(nodes.join(ends, "fp", "left_semi").select(F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("t")), "ends")
     found = _rows(docs).join(_small(reps), _same_row("i", "t"), "left_semi").select("text").mapInArrow(run, "fp long, hs array<long>")
@@ -331,7 +354,7 @@ def jaccard_components(docs: DataFrame, near: bool = True) -> DataFrame:
     """
     fps = staged(shingle_sets(docs), "sets")
     rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep")
-    nodes = staged(fps.groupBy("fp").agg(rep, F.min("sim").alias("sim"), F.min("n").alias("n"), F.first("bits", True).alias("bits")), "nodes")
+    nodes = staged(fps.groupBy("fp").agg(rep, F.min("sim").alias("sim"), F.min("n").alias("n"), F.first("bits", True).alias("bits"), F.first("wide", True).alias("wide")), "nodes")
     sims = staged(nodes.where("n > 0").groupBy("sim").agg(F.min("fp").alias("lead")), "fingerprints")
     signed = links(sims.select(F.col("sim").alias("fp")))
     lead = lambda x: sims.select(F.col("sim").alias(x), F.col("lead").alias(f"l{x}"))

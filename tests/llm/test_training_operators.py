@@ -433,6 +433,27 @@ def test_near_duplicate_stage_matches_brute_force_jaccard(spark):
         assert sorted(got, key=key) == sorted(heads.values(), key=key)
 
 
+def test_wide_bitmaps_part_long_sets_that_share_a_passage(spark):
+    """Of pairs of long sets only those near a similarity of 4/5 are compared, and all that reach it."""
+    r = np.random.default_rng(5)
+    rows, pairs, want = [], [], set()
+    for k, n in enumerate((3, 700, 2100, 5000, 9000)):
+        a = r.integers(0, 1 << 63, n).astype(np.uint64)
+        for j, (kept, more) in enumerate(((n, 0), (n, n // 4), (n - n // 9, n // 9), (n - n // 5, 0), (n // 2, n // 2), (n // 4, n - n // 4), (n, 9 * n))):
+            b = np.unique(np.concatenate([a[:kept], r.integers(0, 1 << 63, more).astype(np.uint64)]))
+            u, v = 100 * k + 10 + j, 100 * k
+            rows.append((u, len(b), simhash._wide(b).tolist()))
+            pairs.append((u, v))
+            same = len(np.intersect1d(a, b))
+            if 5 * same >= 4 * (len(a) + len(b) - same):
+                want.add((u, v))
+        rows.append((100 * k, n, simhash._wide(np.unique(a)).tolist()))
+    nodes = spark.createDataFrame(rows, "fp long, n int, wide array<long>")
+    got = {tuple(x) for x in simhash._possible(nodes, spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert want <= got and len(want) >= 15
+    assert not {(u, v) for u, v in got if u % 10 >= 4 and v >= 100}
+
+
 def test_bitmaps_never_part_similar_sets():
     r = np.random.default_rng(5)
     for n in (1, 4, 9, 90, 700, 5000):
