@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -201,6 +202,21 @@ def plain_tree(rows, least, gain):
     return out
 
 
+def test_distinct_keys_equal_numpy_and_take_less_time():
+    r = np.random.default_rng(3)
+    alike = (np.uint64(7) << np.uint64(60)) | r.integers(0, 50, 3000).astype(np.uint64)  # told apart by low bits only
+    spread = r.integers(0, 1 << 63, 400_000).astype(np.uint64) << np.uint64(1)
+    runs = np.concatenate([np.sort(spread[a : a + 20_000]) for a in range(0, len(spread), 20_000)])
+    took = {}
+    for name, keys, merged in (("none", spread[:0], False), ("one", spread[:1], False), ("alike", alike, False), ("alike", alike, True), ("spread", np.repeat(spread[::4], 4), False), ("runs", runs, True)):
+        for f in (lambda k: np.unique(k, return_inverse=True), lambda k: suffix_states._distinct(k, merged)):
+            begun = time.process_time()
+            took.setdefault(name, []).append((f(keys), time.process_time() - begun))
+        (want, _), (got, _) = took[name][-2:]
+        assert np.array_equal(want[0], got[0]) and np.array_equal(want[1], got[1])
+    assert took["runs"][1][1] < took["runs"][0][1]
+
+
 @pytest.mark.parametrize("tokens, chunk", [(400, 200), (1_500_000, 4 << 20)])
 def test_tree_equals_plain_python(spark, tokens, chunk):
     rows = texts(spark)[:120] + [(None, "The the THE end"), (None, None), (7, ""), (7, " \x0b\x1f a"), (9, "many words " * 900), (9, "many words " * 900)]
