@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, table
+from .common import id_text, small_batches, table
 
 #: Edits allowed for each character of an item.
 BUDGET = 0.08
@@ -199,6 +199,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row is judged by its own text, so ids may repeat or be missing; null texts hold no item
     and stay; with an empty benchmark all documents stay.
     """
+    small_batches(spark)
     for block in _blocks(table(spark, sf_dir, "benchmark")):
         docs = docs.where(~_holds(spark, block)(F.coalesce("text", F.lit(""))))
     return docs

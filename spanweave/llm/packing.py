@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_array, id_text, ids, partitions, slices, table, utf8
+from .common import id_array, id_text, ids, partitions, slices, small_batches, table, utf8
 
 LENGTH, END = 1024, 0
 BUCKETS, DIMS, BITS = 256, 4, 10
@@ -217,4 +217,5 @@ def op10_curve_packing(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: pieces of packed sequences of all that is left, by the rules of
     pack_along_curve for nulls, empty and long texts, ties, repeated rows and empty tables."""
+    small_batches(spark)
     return pack_along_curve(docs, vocabulary())

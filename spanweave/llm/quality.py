@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> RuleModel:
     spark = docs.sparkSession
     l = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("quality").cast("double").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("i")))
     picked = l.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(rows)
-    picked = spark.createDataFrame(picked.collect(), "i long, y double")  # at most `rows` pairs
+    picked = spark.createDataFrame(picked.toArrow())  # at most `rows` pairs; from a list Spark would start Python workers of another kind
     stats = statistics(F.col("text"))
     got = one_text_each(docs, picked).select("i", "y", *[c.alias(k) for k, c in stats.items()]).toArrow()
     order = np.lexsort([got[k].to_numpy() for k in ("chars", "i")]) if got.num_rows else np.zeros(0, int)

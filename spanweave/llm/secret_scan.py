@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, table
+from .common import id_text, small_batches, table
 from .trees import forest, vote
 
 TREES, DEPTH, SEED = 40, 8, 20
@@ -221,4 +221,5 @@ def op5_secret_forest(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets in the texts are masked; no document goes.  Null texts stay null,
     repeated rows and missing ids don't matter, an empty table stays empty."""
+    small_batches(spark)
     return masked(docs)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, partitions, staged, table, utf8
+from .common import id_text, partitions, small_batches, staged, table, utf8
 from .graph import connected_components
 
 SEED = 42
@@ -382,6 +382,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts count as empty ones, and all texts without words are one component.  An empty
     table gives an empty one.  Columns are those of `docs`.
     """
+    small_batches(spark)
     found = staged(jaccard_components(docs), "components")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "th")
     heads = found.groupBy("component").agg(F.min(rank).alias("h"))  # h sorts null ids last

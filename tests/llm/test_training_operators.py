@@ -9,12 +9,13 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanweave.llm import chunks, decontam, graph, packing, quality, roles, secret_scan, simhash, suffix, telephony, toxicity
+from spanweave.llm import chunks, common, decontam, graph, packing, quality, roles, secret_scan, simhash, suffix, telephony, toxicity
 from spanweave.llm.common import id_text
 
 SF = "/root/testdata/sf0.001"
@@ -588,6 +589,46 @@ def test_packing_keeps_every_id(spark):
 # ---- pipeline ---------------------------------------------------------------------------
 
 
+def test_stages_hand_python_small_batches(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"{i} " + "some long text " * 1000) for i in range(800)], "doc_id long, text string").coalesce(1)  # 12 MB
+
+    def largest():
+        sizes = lambda parts: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in parts)
+        return docs.mapInArrow(sizes, "n long").agg(F.max("n"), F.count("*")).first()
+
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        spark.conf.unset(common.BATCH_SETTING)
+        assert tuple(largest())[1] == 1
+        stage(spark, docs.limit(5), SF)
+        most, n = largest()
+        assert most < common.BATCH_BYTES + (1 << 20) and n >= 3, name
+    spark.conf.set(common.BATCH_SETTING, "2097152")  # a limit that the user has set stays
+    packing.stage(spark, docs.limit(5), SF)
+    assert spark.conf.get(common.BATCH_SETTING) == "2097152"
+    spark.conf.unset(common.BATCH_SETTING)
+
+
+def test_packing_does_not_depend_on_batches(spark):
+    docs = frame(spark, [(i, "the quick brown fox é " * (i % 90)) for i in range(400)] + [(None, None), (7, "x" * 70_000)]).coalesce(2)
+    got = []
+    for size in ("64m", "20000"):
+        spark.conf.set(common.BATCH_SETTING, size)
+        got.append(sorted(map(tuple, packing.stage(spark, docs, SF).collect()), key=str))
+    spark.conf.unset(common.BATCH_SETTING)
+    assert got[0] == got[1] and len(got[0]) >= 402
+
+
+def test_quality_fits_without_python_workers(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("a list went through Python workers")
+
+    monkeypatch.setattr("pyspark.core.rdd.RDD._to_java_object_rdd", none)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    assert quality.train(docs, labels).rules
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
