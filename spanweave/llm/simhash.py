@@ -331,17 +331,20 @@ def _across(met: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
     and by bitmap.
 
     In a bucket every such pair has a side outside the largest component that is met there, so
-    a large group of near copies, once it is one component, makes no pairs with itself.
+    a large group of near copies, once it is one component, makes no pairs with itself.  Two sets
+    whose indexed shingles just before k are one, p, meet there too and fit there at least as well,
+    so they are a pair there and not here: a shared passage makes few rows, not one a shingle.
     """
     size = comp.groupBy("component").agg(F.count("*").alias("z"))
     names = comp.join(size, "component").select(F.col("node").alias("fp"), F.col("component").alias("c"), "z")
     sets = nodes.select("fp", "bits").join(names, "fp", "left")
-    rows = met.join(sets, "fp").select("k", "fp", "n", "i", "bits", F.coalesce("c", "fp").alias("c"), F.coalesce("z", F.lit(1)).alias("z"))
+    before = met.withColumn("p", F.lag("k").over(Window.partitionBy("fp").orderBy("i")))
+    rows = before.join(sets, "fp").select("k", "p", "fp", "n", "i", "bits", F.coalesce("c", "fp").alias("c"), F.coalesce("z", F.lit(1)).alias("z"))
     w = Window.partitionBy("k")
     mixed = rows.withColumns({"top": F.max(F.struct("z", "c")).over(w), "low": F.min("c").over(w), "high": F.max("c").over(w)}).where("low <> high")
-    outside = mixed.where("c <> top.c").select("k", "fp", "n", "i", "bits", "c")
-    other = mixed.select("k", F.col("fp").alias("g"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("bits").alias("b"), F.col("c").alias("d"), (F.col("c") == F.col("top.c")).alias("inner"))
-    return _pairs(outside.join(other, "k").where("c <> d AND (inner OR fp < g)").where(_fits("n", "i", "m", "j") & _near_bits("n", "bits", "m", "b")), "fp", "g")
+    outside = mixed.where("c <> top.c").select("k", "p", "fp", "n", "i", "bits", "c")
+    other = mixed.select("k", F.col("p").alias("q"), F.col("fp").alias("g"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("bits").alias("b"), F.col("c").alias("d"), (F.col("c") == F.col("top.c")).alias("inner"))
+    return _pairs(outside.join(other, "k").where("c <> d AND (inner OR fp < g) AND coalesce(p <> q, true)").where(_fits("n", "i", "m", "j") & _near_bits("n", "bits", "m", "b")), "fp", "g")
 
 
 def jaccard_components(docs: DataFrame, near: bool = True) -> DataFrame:

@@ -455,6 +455,27 @@ def test_wide_bitmaps_part_long_sets_that_share_a_passage(spark):
     assert not {(u, v) for u, v in got if u % 10 >= 4 and v >= 100}
 
 
+def test_a_shared_passage_makes_few_rows_of_candidates(spark, monkeypatch):
+    r = random.Random(9)
+    words = lambda n: [str(r.getrandbits(40)) for _ in range(n)]
+    texts = []
+    for _ in range(6):  # two texts each with one passage, too rare to count as common
+        passage = words(600)
+        texts += [" ".join(words(700) + passage + words(700)) for _ in range(2)]
+    made, real = [], simhash._pairs
+
+    def pairs(df, a, b):
+        if b == "g":
+            made.extend(tuple(sorted(x)) for x in df.select("fp", "g").collect())
+        return real(df, a, b)
+
+    monkeypatch.setattr(simhash, "_pairs", pairs)
+    got = simhash.jaccard_components(frame(spark, list(enumerate(texts)))).collect()
+    assert len({x.component for x in got}) == 12
+    fp = {x.doc_id: x.fp for x in got}
+    assert set(made) == {tuple(sorted((fp[i], fp[i + 1]))) for i in range(0, 12, 2)} and len(made) == 6
+
+
 def test_bitmaps_never_part_similar_sets():
     r = np.random.default_rng(5)
     for n in (1, 4, 9, 90, 700, 5000):
