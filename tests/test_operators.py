@@ -521,3 +521,23 @@ def test_overlap_per_locus_counts_without_pairs(spark):
         by = enrichment.overlap_per_locus(a, b, set_col="name")
         assert sorted(map(str, map(tuple, by.collect()))) == sorted(str((r[0], r[1], r[3], r[4], n, sum(meets(r, s) and s[5] == n for s in y))) for r in x for n in "xyz")
         assert not fair or no_pairs(got) and no_pairs(by)
+
+
+def test_crowded_places_and_their_counts(monkeypatch):
+    """A third of the background taken; counts of sets, empty ranges among them, against plain Python."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(0, 40, 2000)
+    chrom, begin, size = np.array([1, 0, 0]), np.array([0, 60_000, 0]), np.array([60_000, 20_000, 40_000])
+    at, who = enrichment.places(lengths, chrom, begin, size, np.array([60_000, 80_000, 80_000]), rng, 1000)
+    stop = at + lengths[who]
+    assert sorted(who) == list(range(2000)) and (at[1:] >= stop[:-1]).all()
+    start, on = at & ((1 << enrichment._APART) - 1), at >> enrichment._APART
+    assert all(s + n <= (60_000 if c else 80_000) and (c or not 40_000 <= s < 60_000) for s, n, c in zip(start, lengths[who], on))
+    rows = [{"set": f"s{k % 3}", "chrom": rng.choice(["a", "b", "far"]), "start": int(p), "stop": int(p + n)} for k, (p, n) in enumerate(zip(rng.integers(0, 80_000, 300), rng.integers(0, 200, 300)))]
+    want = {n: sum(any(r["set"] == n and r["chrom"] == "ab"[c] and r["start"] < s + k and s < r["stop"] for r in rows) for c, s, k in zip(on, start, lengths[who])) for n in ("s0", "s1", "s2")}
+    for cells in (1 << 22, 1):
+        monkeypatch.setattr(enrichment, "_CELLS", cells)
+        index = enrichment._Index(pa.array([rows])[0], np.array(["a", "b"], object))
+        assert dict(index.counts(on, start, start + lengths[who], False)) == want and len(index.blocks) == (1 if cells > 1 else 3)
