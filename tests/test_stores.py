@@ -147,3 +147,15 @@ def test_enrichment_metrics(spark):
     each = {(r["id"], r["name"]): r["metric"] for r in en.overlap_per_locus(named, strand, set_col="name").collect()}
     assert each == {(10, "whole"): 1, (10, "two"): 2, (10, "none"): 0, (50, "whole"): 1, (50, "two"): 0, (50, "none"): 0}
     assert en.overlap_per_locus(named, strand.where("false"), set_col="name").isEmpty()
+
+
+def test_store_of_many_sequences_has_few_files(spark, tmp_path):
+    """Files follow the rows, not the number of sequences; stores with a folder for each are read as before."""
+    rows = spark.range(3000).selectExpr("concat('s', id div 2) AS chrom", "if(id % 2 = 0, '+', '-') AS strand", "id AS pos")
+    stores.write_store(rows, path := str(tmp_path / "tags"), "tags")
+    assert len(list((tmp_path / "tags" / "rows").rglob("*.parquet"))) <= 8
+    assert fr.same(stores.read_store(spark, path, "tags")[0], rows)
+    assert sorted(map(tuple, stores.read_store(spark, path, "tags", ["s7", "s1499"])[0].collect())) == [("s1499", "+", 2998), ("s1499", "-", 2999), ("s7", "+", 14), ("s7", "-", 15)]
+    small = rows.where("pos < 6")
+    small.write.mode("overwrite").partitionBy("chrom", "strand").parquet(f"{path}/rows")
+    assert sorted(r["pos"] for r in stores.read_store(spark, path, "tags", ["s1"])[0].collect()) == [2, 3]
