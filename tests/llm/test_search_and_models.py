@@ -240,3 +240,14 @@ def test_tree_gains_on_held_out_documents(spark):
     out = got[got.held_out]
     assert len(out) and out.score.sum() > out.base_score.sum()
     assert suffix_states.scored(frame(spark, []), F.lit(False)).collect() == []
+
+
+def test_suffix_tree_leaves_no_rare_context_out(spark):
+    """By default all contexts are judged by what they gain, however rare and however large the corpus."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{r.randrange(900)}" for _ in range(60))) for i in range(300)] + [(1000 + i, f"rare{i % 40} phrase{i % 40} comes{i % 40} back{i % 40}") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = lambda *cut: {x["doc_id"]: x["score"] for x in suffix_states.scored(df, F.lit(False), *cut).collect()}
+    got, every = scores(), scores(0.0, 1)
+    assert all(math.isclose(got[i], every[i]) for i, _ in rows)
+    assert all(got[i] > scores_few + 1 for few in [scores(0.0, 8)] for i, scores_few in few.items() if i >= 1000)
