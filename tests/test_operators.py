@@ -541,3 +541,29 @@ def test_crowded_places_and_their_counts(monkeypatch):
         monkeypatch.setattr(enrichment, "_CELLS", cells)
         index = enrichment._Index(pa.array([rows])[0], np.array(["a", "b"], object))
         assert dict(index.counts(on, start, start + lengths[who], False)) == want and len(index.blocks) == (1 if cells > 1 else 3)
+
+
+def test_points_in_ranges(spark):
+    """Pairs against plain Python; bins follow the ranges' size, so most points of a bin are in them."""
+    rng = random.Random(5)
+    spans_ = [(i, rng.choice("ab"), p := rng.randrange(60_000), p + rng.choice((0, -3, 1, 700, 6_000, 50_000))) for i in range(80)] + [(80, None, 0, 9), (81, "a", None, 9)]
+    points = [(rng.choice("ab"), rng.randrange(100_000), i) for i in range(300)] + [(None, 3, 300), ("a", None, 301)]
+    a, b = spark.createDataFrame(spans_, "id long, chrom string, start long, stop long"), spark.createDataFrame(points, "chrom string, pos long, n long")
+    want = sorted((i, n) for i, c, x, y in spans_ for d, p, n in points if None not in (c, x, p) and c == d and x <= p < y)
+    for size in (1, 6_000, 1 << 20):
+        assert sorted((r["id"], r["b_n"]) for r in nearest.holding(a, b, size).collect()) == want
+    text = nearest.holding(a, b, 6_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftright(start#" in text.replace("cast(", "").lower() and ", 11)" in text
+
+
+def test_basal_domains_are_looked_up(spark, monkeypatch):
+    """Midpoints without a domain are found by a scan; the pairs are made once, by strand."""
+    made = []
+    real = nearest.within_distance
+    monkeypatch.setattr(nearest, "within_distance", lambda q, p, low, high, **more: made.append((low, high)) or real(q, p, low, high, **more))
+    loci = spark.createDataFrame([(i, "c", m, m + 2) for i, m in enumerate((0, 4_999, 5_000, 5_001, 20_000, 23_999, 24_001, 25_001, 90_000))], "id long, chrom string, start long, stop long")
+    tss = spark.createDataFrame([("c", 10_000, 1, "+"), ("c", 20_000, 2, "-")], "chrom string, pos long, tid long, t_strand string")
+    got = sorted(tuple(r) for r in nearest.associated_basal(loci, tss).collect())
+    basal = [(i, t) for i, m in enumerate((1, 5_000, 5_001, 5_002, 20_001, 24_000, 24_002, 25_002, 90_001)) for p, t, low, high in ((10_000, 1, 1_000, 5_000), (20_000, 2, 5_000, 1_000)) if m - low <= p <= m + high]
+    assert made == [(1_000, 5_000), (5_000, 1_000)] and [x for x in got if x[0] in {i for i, _ in basal}] == sorted(basal)
+    assert {x[0] for x in got} == set(range(9))
